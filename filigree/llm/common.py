@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filigree.sources.scratch import saved, shared_dir  # noqa: F401
+
 #: White space that separates words, as bytes and in patterns.
 SPACE = r"\x20\x09-\x0D"
 
@@ -16,26 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the one that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only where that is unset, as in tests, a folder of this machine is taken.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base is None:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="filigree-")
-    return f"{base.rstrip('/')}/filigree-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` as a written table in the shared folder: it cuts the lineage and survives lost executors."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """True for the fifth of the documents that no model learns from; a null id is held out too."""
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id

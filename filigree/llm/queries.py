@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, packing, toxicity
+from . import chat_format, jaccard_join, language_id, packing, toxicity
 from .common import held_out, table
 
 
@@ -60,11 +60,15 @@ SELECT conv_id, count(*) AS n_turns,
 FROM u GROUP BY conv_id
 """
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_language_id": op2_language_id, "op4_chat_format": op4_chat_format}
-QUERIES |= {"op7_packing": op7_packing}
+QUERIES |= {"op6_jaccard_join": op6_jaccard_join, "op7_packing": op7_packing}
 SQL = {"op4_chat_format": SQL_CHAT}
