@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, jaccard_join, language_id, packing, toxicity
+from . import chat_format, html_extract, jaccard_join, language_id, media, packing, toxicity
 from .common import held_out, table
 
 
@@ -69,6 +69,17 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    weights = html_extract.train(pages)
+    found = pages.select("page_id", "url", html_extract.main_text(weights, F.col("html"), spark).alias("text"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_language_id": op2_language_id, "op4_chat_format": op4_chat_format}
-QUERIES |= {"op6_jaccard_join": op6_jaccard_join, "op7_packing": op7_packing}
+QUERIES |= {"op6_jaccard_join": op6_jaccard_join, "op7_packing": op7_packing, "op8_html_extract": op8_html_extract, "op9_media": op9_media}
 SQL = {"op4_chat_format": SQL_CHAT}
