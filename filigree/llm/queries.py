@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_extract, jaccard_join, language_id, media, packing, toxicity
+from . import chat_format, decontaminate, html_extract, jaccard_join, language_id, media, packing, secret_scan, toxicity
 from .common import held_out, table
 
 
@@ -60,6 +60,11 @@ SELECT conv_id, count(*) AS n_turns,
 FROM u GROUP BY conv_id
 """
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -80,6 +85,12 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "pos", "value", "score", "is_secret")
+
+
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_language_id": op2_language_id, "op4_chat_format": op4_chat_format}
+QUERIES |= {"op5_decontamination": op5_decontamination, "op10_secret_scan": op10_secret_scan}
 QUERIES |= {"op6_jaccard_join": op6_jaccard_join, "op7_packing": op7_packing, "op8_html_extract": op8_html_extract, "op9_media": op9_media}
 SQL = {"op4_chat_format": SQL_CHAT}
