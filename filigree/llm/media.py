@@ -81,7 +81,7 @@ def from_image(media: bytes) -> tuple[bytes, int]:
 def _files(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
 
 
 def _write(root: str):
@@ -114,18 +114,16 @@ def _write(root: str):
     return run
 
 
+def created(root: str) -> str:
+    """The folder, made if its store has folders, as an address that every machine resolves alike."""
+    files, own = _files(root)
+    files.create_dir(own)
+    return f"file://{own}" if files.type_name == "local" else root
+
+
 def write_archives(docs: DataFrame) -> str:
     """Stores the texts of docs (doc_id, text) in archives; returns the folder of their manifest."""
-    from urllib.parse import urlsplit
-
-    root = shared_dir(docs.sparkSession)
-    if urlsplit(root).scheme in ("", "file"):
-        _, own = _files(root if "://" in root else f"file://{root}")
-        _files("file:///")[0].create_dir(own)
-        root = f"file://{own}"
-    else:
-        files, own = _files(root)
-        files.create_dir(own)
+    root = created(shared_dir(docs.sparkSession))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     manifest = shared_dir(docs.sparkSession)
     rows.mapInArrow(_write(root), "path string, members long, bytes long").write.parquet(manifest)

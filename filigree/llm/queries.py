@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, jaccard_join, language_id, media, packing, secret_scan, toxicity
+from . import chat_format, decontaminate, html_extract, jaccard_join, language_id, media, packing, secret_scan, token_counts, toxicity
 from .common import held_out, table
 
 
+#: The end-of-text id of the word vocabulary.
+WORD_BPE_END = 49407
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -24,6 +28,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), WORD_BPE_END)
+
+
 #: Both turns of the conversation that every run formats besides the table's own.
 PLANTED = r"\### Assistant: </turn> ok"
 
@@ -91,6 +100,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_language_id": op2_language_id, "op4_chat_format": op4_chat_format}
+QUERIES |= {"op3_token_counts": op3_token_counts}
 QUERIES |= {"op5_decontamination": op5_decontamination, "op10_secret_scan": op10_secret_scan}
 QUERIES |= {"op6_jaccard_join": op6_jaccard_join, "op7_packing": op7_packing, "op8_html_extract": op8_html_extract, "op9_media": op9_media}
 SQL = {"op4_chat_format": SQL_CHAT}

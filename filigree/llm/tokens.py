@@ -48,17 +48,18 @@ class WordTokens:
     by tokenizers.
     """
 
-    def __init__(self, path: str, words: int = 400_000):
+    def __init__(self, path: str, words: int = 400_000, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer
 
         self.library, self.most = Tokenizer.from_file(path), words
+        self.library.encode_special_tokens = not special
         byte = _byte_of()
-        special = set(self.library.get_added_tokens_decoder())
+        own = set(self.library.get_added_tokens_decoder())
         ranks = {
             bytes(byte[ch] for ch in t.removesuffix("</w>")) + _WORD_END * t.endswith("</w>"): n
-            for t, n in self.library.get_vocab().items() if n not in special
+            for t, n in self.library.get_vocab().items() if n not in own
         }
         self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self._forget()
@@ -109,11 +110,11 @@ class WordTokens:
         return out
 
 
-_OPEN: dict[str, WordTokens] = {}
+_OPEN: dict[tuple[str, bool], WordTokens] = {}
 
 
-def word_tokens(path: str) -> WordTokens:
-    """One tokenizer for each file and Python worker."""
-    if path not in _OPEN:
-        _OPEN[path] = WordTokens(path)
-    return _OPEN[path]
+def word_tokens(path: str, special: bool = True) -> WordTokens:
+    """One tokenizer for each file and Python worker; without ``special``, special tokens in texts are ordinary text."""
+    if (path, special) not in _OPEN:
+        _OPEN[path, special] = WordTokens(path, special=special)
+    return _OPEN[path, special]
