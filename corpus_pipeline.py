@@ -1,16 +1,58 @@
-"""A cleaning pipeline over a corpus: each stage reads what the one before it kept, and writes its own."""
+"""A cleaning pipeline over a corpus: each stage reads what the one before it kept, and writes its own.
+
+Toxic documents go; of each group of near copies the document with the smallest id stays; documents that
+hold a benchmark item go; secrets are masked; what is left is packed into sequences. All but the last
+stage return the columns of the documents. A document without an id cannot be told from others and is
+kept by the first four stages unless its text is toxic.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from filigree.llm import decontaminate, jaccard_join, packing, secret_scan, toxicity
+from filigree.llm.common import saved, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    score = toxicity.toxicity(model, F.col("text"), spark)
+    return docs.withColumn("_score", score).filter("_score < 0.5").drop("_score")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = jaccard_join.near_components(docs.select("doc_id", "text"))
+    gone = saved(groups.filter("component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct())
+    if gone.count() <= jaccard_join.BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+
 
-STAGES: list = []
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean(docs, found)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    masked = secret_scan.redact(docs, secret_scan.scan(docs.select("doc_id", "text")))
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic), ("near copies", drop_near_copies), ("decontamination", drop_contaminated),
+    ("secrets", mask_secrets), ("packing", pack),
+]
+#: The scores of trained models are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from filigree.llm.common import saved, table
-
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir))
