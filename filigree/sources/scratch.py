@@ -24,4 +24,13 @@ def saved(df: DataFrame) -> DataFrame:
     """``df`` as a written table in the shared folder: it cuts the lineage and survives lost executors."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table that ``saved`` wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
