@@ -1 +1,474 @@
-"""Queries."""
+"""Queries of graphs: relabelling, views, rewriting, matching and paths."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from filigree.operators import graph, match, paths, rewrite
+from filigree.operators.components import connected_components
+from filigree.sources.scratch import saved
+
+from .registry import query
+
+KEYS = ["graph_id", "side"]
+K = "graph_id, side"
+INC = f"inc AS (SELECT {K}, branch_id, node1 AS node_id FROM fx_branches UNION SELECT {K}, branch_id, node2 FROM fx_branches)"
+DEG = INC + f""", deg AS (SELECT n.graph_id, n.side, n.node_id, n.y, n.x, count(i.branch_id) AS degree
+  FROM fx_nodes n LEFT JOIN inc i ON i.graph_id = n.graph_id AND i.side = n.side AND i.node_id = n.node_id GROUP BY ALL)"""
+D12 = "sqrt((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x))"
+#: Node clusters of the merge queries: nodes with equal id modulo ten.
+CLUSTER = "node_id % 10"
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+def sides(df):
+    return (df.filter(F.col("side") == k).drop("side") for k in ("pred", "target"))
+
+
+# --- relabelling
+
+
+@query("compact_ids", f"SELECT {K}, node_id, CAST(dense_rank() OVER (PARTITION BY {K} ORDER BY node_id) - 1 AS BIGINT) AS new_id FROM fx_nodes WHERE node_id % 3 <> 0")
+def _(t):
+    return graph.compact_ids(t.fx_nodes.filter("node_id % 3 <> 0"), KEYS, "node_id").select(*KEYS, "node_id", "new_id")
+
+
+def _lookup(t):
+    new = F.when(F.col("node_id") % 7 != 0, F.expr(CLUSTER))
+    return t.fx_nodes.filter("node_id % 2 = 0").select(*KEYS, F.col("node_id").alias("old_id"), new.alias("new_id"))
+
+
+@query("apply_lookup", f"SELECT {K}, branch_id, CASE WHEN node1 % 2 = 1 THEN node1 WHEN node1 % 7 <> 0 THEN node1 % 10 END AS node1, node2 FROM fx_branches")
+def _(t):
+    return graph.apply_lookup(t.fx_branches, _lookup(t), KEYS, "node1")
+
+
+@query("add_background", f"SELECT {K}, branch_id + 1 AS branch_id FROM fx_branches")
+def _(t):
+    return graph.add_background(t.fx_branches.select(*KEYS, "branch_id"), "branch_id")
+
+
+@query("invert_lookup", f"SELECT {K}, node_id % 10 AS new_id, min(node_id) AS old_id, count(*) AS n FROM fx_nodes WHERE node_id % 2 = 0 AND node_id % 7 <> 0 GROUP BY ALL")
+def _(t):
+    return graph.invert_lookup(_lookup(t), KEYS)
+
+
+@query("merge_coordinates", f"""SELECT {K}, node_id % 10 AS node_id, round(sum(y * (node_id + 1e-8)) / sum(node_id + 1e-8), 6) AS y,
+  round(sum(x * (node_id + 1e-8)) / sum(node_id + 1e-8), 6) AS x FROM fx_nodes GROUP BY {K}, node_id % 10""")
+def _(t):
+    lookup = t.fx_nodes.select(*KEYS, F.col("node_id").alias("old_id"), F.expr(CLUSTER).alias("new_id"))
+    out = graph.merge_coordinates(t.fx_nodes, lookup, KEYS, F.col("node_id"))
+    return out.withColumns({"y": r6("y"), "x": r6("x")})
+
+
+def _pixels(t):
+    """Two pixels for each branch, so that there are labels."""
+    spots = F.array(F.col("node1").cast("int"), (F.col("node2") + 40).cast("int"))
+    return t.fx_branches.select(*KEYS, "branch_id", F.explode(spots).alias("y"), (F.col("branch_id") % 50).cast("int").alias("x"))
+
+
+PIX = f"pix AS (SELECT {K}, branch_id, CAST(node1 AS INT) AS y, CAST(branch_id % 50 AS INT) AS x FROM fx_branches UNION ALL SELECT {K}, branch_id, CAST(node2 + 40 AS INT), CAST(branch_id % 50 AS INT) FROM fx_branches)"
+
+
+@query("relabel_pixels", f"WITH {PIX} SELECT {K}, branch_id % 5 AS branch_id, y, x FROM pix WHERE branch_id % 4 <> 0")
+def _(t):
+    lookup = t.fx_branches.select(*KEYS, F.col("branch_id").alias("old_id"), F.when(F.col("branch_id") % 4 != 0, F.col("branch_id") % 5).alias("new_id"))
+    return graph.relabel_pixels(_pixels(t), lookup, KEYS)
+
+
+@query("branch_sizes", f"WITH {PIX} SELECT {K}, branch_id, count(*) AS n_pixels FROM pix GROUP BY ALL")
+def _(t):
+    return graph.branch_sizes(_pixels(t), KEYS)
+
+
+@query("shuffle_nodes", f"SELECT {K}, node_id AS old_id, CAST(row_number() OVER (PARTITION BY {K} ORDER BY CASE WHEN node_id % 5 = 0 THEN 30 - node_id END NULLS LAST, node_id) - 1 AS BIGINT) AS new_id FROM fx_nodes")
+def _(t):
+    listed = t.fx_nodes.filter("node_id % 5 = 0").withColumn("pos", 30 - F.col("node_id"))
+    return graph.shuffle_nodes(t.fx_nodes, listed, KEYS)
+
+
+# --- views
+
+
+@query("adjacency_list", f"WITH {INC} SELECT {K}, branch_id, min(node_id) AS node1, max(node_id) AS node2 FROM inc GROUP BY ALL")
+def _(t):
+    return graph.adjacency_list(graph.incidence(t.fx_branches, KEYS), KEYS)
+
+
+@query("edge_list", f"SELECT {K}, branch_id, node1, node2 FROM fx_branches WHERE node1 <> node2")
+def _(t):
+    return graph.edge_list(graph.incidence(t.fx_branches.filter("node1 <> node2"), KEYS), KEYS)
+
+
+@query("node_graph", f"""SELECT b.graph_id, b.side, node1, node2, min(branch_id) AS branch_id, count(*) AS n_branches, p.y AS y1, p.x AS x1, q.y AS y2, q.x AS x2
+  FROM fx_branches b JOIN fx_nodes p ON p.graph_id = b.graph_id AND p.side = b.side AND p.node_id = node1
+  JOIN fx_nodes q ON q.graph_id = b.graph_id AND q.side = b.side AND q.node_id = node2 WHERE node1 <> node2 GROUP BY ALL""")
+def _(t):
+    return graph.node_graph(t.fx_branches, t.fx_nodes, KEYS)
+
+
+@query("branch_adjacency", f"WITH {INC} SELECT DISTINCT a.graph_id, a.side, a.branch_id AS branch1, b.branch_id AS branch2 FROM inc a JOIN inc b USING (graph_id, side, node_id)")
+def _(t):
+    return graph.branch_adjacency(t.fx_branches, KEYS)
+
+
+@query("node_adjacency", f"WITH {INC} SELECT DISTINCT a.graph_id, a.side, a.node_id AS node_a, b.node_id AS node_b FROM inc a JOIN inc b USING (graph_id, side, branch_id)")
+def _(t):
+    return graph.node_adjacency(t.fx_branches, KEYS)
+
+
+@query("node_degree", f"WITH {DEG} SELECT {K}, node_id, degree FROM deg")
+def _(t):
+    return graph.node_degree(t.fx_branches, t.fx_nodes, KEYS)
+
+
+@query("endpoints", f"WITH {DEG} SELECT {K}, node_id FROM deg WHERE degree = 1")
+def _(t):
+    return graph.endpoints(t.fx_branches, t.fx_nodes, KEYS)
+
+
+@query("graph_counts", f"SELECT {K}, (SELECT count(*) FROM fx_nodes n WHERE n.graph_id = b.graph_id AND n.side = b.side) AS n_nodes, count(*) AS n_branches FROM fx_branches b GROUP BY {K}")
+def _(t):
+    return graph.graph_counts(t.fx_branches, t.fx_nodes, KEYS)
+
+
+@query("path_length", """SELECT path_id, round(sum(coalesce(sqrt(pow(y - py, 2) + pow(x - px, 2)), 0)) + sqrt(pow(min_by(y, seq) - max_by(y, seq), 2) + pow(min_by(x, seq) - max_by(x, seq), 2)), 6) AS length
+  FROM (SELECT *, lag(y) OVER w AS py, lag(x) OVER w AS px FROM fx_vertices WINDOW w AS (PARTITION BY path_id ORDER BY seq)) GROUP BY path_id""")
+def _(t):
+    return graph.path_length(t.fx_vertices).withColumn("length", r6("length"))
+
+
+@query("path_length_open", """SELECT path_id, round(sum(coalesce(sqrt(pow(y - py, 2) + pow(x - px, 2)), 0)), 6) AS length
+  FROM (SELECT *, lag(y) OVER w AS py, lag(x) OVER w AS px FROM fx_vertices WINDOW w AS (PARTITION BY path_id ORDER BY seq)) GROUP BY path_id""")
+def _(t):
+    return graph.path_length(t.fx_vertices, close_loop=False).withColumn("length", r6("length"))
+
+
+def _drawn(t):
+    b = t.fx_branches
+    for k in ("1", "2"):
+        b = b.join(t.fx_nodes.select(*KEYS, F.col("node_id").alias(f"node{k}"), F.col("y").alias(f"y{k}"), F.col("x").alias(f"x{k}")), [*KEYS, f"node{k}"])
+    return rewrite.draw_segments(b, [*KEYS, "branch_id"])
+
+
+SEG = """seg AS (SELECT b.graph_id, b.side, branch_id, CAST(p.y AS BIGINT) AS y1, CAST(p.x AS BIGINT) AS x1, CAST(q.y - p.y AS BIGINT) AS dy, CAST(q.x - p.x AS BIGINT) AS dx
+  FROM fx_branches b JOIN fx_nodes p ON p.graph_id = b.graph_id AND p.side = b.side AND p.node_id = node1 JOIN fx_nodes q ON q.graph_id = b.graph_id AND q.side = b.side AND q.node_id = node2),
+  run AS (SELECT *, greatest(abs(dy), abs(dx)) AS n, unnest(range(greatest(abs(dy), abs(dx)) + 1)) AS k FROM seg),
+  drawn AS (SELECT graph_id, side, branch_id, CAST(y1 + CASE WHEN n = 0 THEN 0 ELSE sign(dy) * ((2 * abs(dy) * k + n - 1) // (2 * n)) END AS BIGINT) AS y,
+  CAST(x1 + CASE WHEN n = 0 THEN 0 ELSE sign(dx) * ((2 * abs(dx) * k + n - 1) // (2 * n)) END AS BIGINT) AS x FROM run)"""
+
+
+@query("draw_segments", f"WITH {SEG} SELECT {K}, branch_id, y, x FROM drawn")
+def _(t):
+    return _drawn(t)
+
+
+@query("node_tangents", f"""WITH {SEG}, near AS (SELECT n.graph_id, n.side, n.node_id, d.y - n.y AS dy, d.x - n.x AS dx
+  FROM fx_nodes n JOIN fx_branches b ON b.graph_id = n.graph_id AND b.side = n.side AND b.node1 = n.node_id AND b.branch_id % 3 = 0 AND b.node1 <> b.node2
+  JOIN drawn d ON d.graph_id = b.graph_id AND d.side = b.side AND d.branch_id = b.branch_id
+  WHERE n.node_id % 2 = 0 AND b.branch_id = (SELECT min(c.branch_id) FROM fx_branches c WHERE c.graph_id = n.graph_id AND c.side = n.side AND c.node1 = n.node_id AND c.node1 <> c.node2 AND c.branch_id % 3 = 0)
+  AND d.y >= greatest(n.y - 21, 0) AND d.y < greatest(n.y - 21, 0) + 42 AND d.x >= greatest(n.x - 21, 0) AND d.x < greatest(n.x - 21, 0) + 42),
+  m AS (SELECT {K}, node_id, sum(dy * w) / sum(w) AS y, sum(dx * w) / sum(w) AS x FROM (SELECT *, exp(-0.5 * pow(sqrt(dy * dy + dx * dx) - 7, 2) / 49) AS w FROM near) GROUP BY ALL)
+  SELECT {K}, node_id, round(-y / sqrt(y * y + x * x), 6) AS ty, round(-x / sqrt(y * y + x * x), 6) AS tx FROM m""")
+def _(t):
+    b = t.fx_branches.filter("node1 <> node2 and branch_id % 3 = 0 and node1 % 2 = 0").groupBy(*KEYS, F.col("node1").alias("node_id")).agg(F.min("branch_id").alias("branch_id"))
+    out = graph.node_tangents(t.fx_nodes.join(b, [*KEYS, "node_id"]), _drawn(t), KEYS)
+    return out.withColumns({"ty": r6("ty"), "tx": r6("tx")})
+
+
+@query("terminal_tangents")
+def _(t):
+    b = t.fx_branches.filter("node1 <> node2")
+    return graph.terminal_tangents(b, t.fx_nodes, _drawn(t), KEYS).withColumns({"ty": r6("ty"), "tx": r6("tx")})
+
+
+# --- rewriting
+
+
+@query("delete_nodes", f"SELECT {K}, branch_id, node1, node2 FROM fx_branches WHERE node1 % 4 <> 0 AND node2 % 4 <> 0")
+def _(t):
+    gone = t.fx_nodes.filter("node_id % 4 = 0").select(*KEYS, "node_id")
+    return rewrite.delete_nodes(t.fx_branches, t.fx_nodes, gone, KEYS)[0]
+
+
+FUSE = DEG.replace("WITH ", "") + f""", two AS (SELECT {K}, node_id FROM deg WHERE degree = 2),
+  link AS (SELECT a.graph_id, a.side, a.branch_id AS b1, b.branch_id AS b2 FROM inc a JOIN inc b USING (graph_id, side, node_id) JOIN two USING (graph_id, side, node_id)),
+  reach AS (SELECT {K}, branch_id, branch_id AS root FROM fx_branches UNION SELECT l.graph_id, l.side, l.b2, r.root FROM reach r JOIN link l ON l.graph_id = r.graph_id AND l.side = r.side AND l.b1 = r.branch_id),
+  root AS (SELECT {K}, branch_id, min(root) AS root FROM reach GROUP BY ALL),
+  ends AS (SELECT {K}, branch_id, unnest([node1, node2]) AS node_id FROM fx_branches),
+  whole AS (SELECT e.graph_id, e.side, r.root AS branch_id, min(e.node_id) AS node1, max(e.node_id) AS node2 FROM ends e JOIN root r USING (graph_id, side, branch_id)
+    ANTI JOIN two ON two.graph_id = e.graph_id AND two.side = e.side AND two.node_id = e.node_id GROUP BY ALL)"""
+
+
+@query("fuse_nodes", f"WITH RECURSIVE {FUSE} SELECT {K}, branch_id, node1, node2 FROM whole")
+def _(t):
+    two = graph.node_degree(t.fx_branches, t.fx_nodes, KEYS).filter("degree = 2")
+    return rewrite.fuse_nodes(t.fx_branches, t.fx_nodes, two, KEYS)[0]
+
+
+@query("simplify_degree2", f"WITH RECURSIVE {FUSE} SELECT {K}, node1 AS node_id FROM whole UNION SELECT {K}, node2 FROM whole")
+def _(t):
+    return rewrite.simplify_degree2(t.fx_branches, t.fx_nodes, KEYS)[1].select(*KEYS, "node_id")
+
+
+@query("fused_pixels")
+def _(t):
+    two = graph.node_degree(t.fx_branches, t.fx_nodes, KEYS).filter("degree = 2").select(*KEYS, "node_id")
+    lookup = rewrite.fuse_nodes(t.fx_branches, t.fx_nodes, two, KEYS)[2]
+    return rewrite.fused_pixels(t.fx_nodes, t.fx_branches, two, lookup, KEYS)
+
+
+def _pairs(t):
+    """Ends of a graph in pairs: the first with the second, and so on."""
+    ends = graph.compact_ids(graph.endpoints(t.fx_branches, t.fx_nodes, KEYS), KEYS, "node_id", "k")
+    both = ends.groupBy(*KEYS, F.floor(F.col("k") / 2).alias("p")).agg(F.min("node_id").alias("a"), F.max("node_id").alias("b"))
+    return saved(both.filter("a < b").select(*KEYS, "a", "b"))
+
+
+@query("fuse_node_pairs")
+def _(t):
+    return rewrite.fuse_node_pairs(t.fx_branches, t.fx_nodes, _pairs(t), KEYS)[0]
+
+
+@query("bridge_nodes")
+def _(t):
+    return rewrite.bridge_nodes(t.fx_branches, t.fx_nodes, _drawn(t).withColumns({k: F.col(k).cast("int") for k in "yx"}), _pairs(t), KEYS)[2]
+
+
+@query("merge_parallel_branches", f"SELECT {K}, min(branch_id) AS branch_id, node1, node2 FROM fx_branches GROUP BY ALL")
+def _(t):
+    return rewrite.merge_parallel_branches(t.fx_branches, KEYS)[0]
+
+
+@query("merge_clusters", f"""SELECT {K}, branch_id, least(c1, c2) AS node1, greatest(c1, c2) AS node2 FROM (
+  SELECT b.graph_id, b.side, branch_id, node1, node2, p.c AS c1, q.c AS c2 FROM fx_branches b
+  JOIN (SELECT *, min(node_id) OVER (PARTITION BY {K}, node_id % 10) AS c FROM fx_nodes) p ON p.graph_id = b.graph_id AND p.side = b.side AND p.node_id = node1
+  JOIN (SELECT *, min(node_id) OVER (PARTITION BY {K}, node_id % 10) AS c FROM fx_nodes) q ON q.graph_id = b.graph_id AND q.side = b.side AND q.node_id = node2)
+  WHERE c1 <> c2 OR node1 = node2""")
+def _(t):
+    clusters = t.fx_nodes.select(*KEYS, "node_id", F.expr(CLUSTER).alias("cluster_id"))
+    return rewrite.merge_clusters(t.fx_branches, t.fx_nodes, clusters, KEYS)[0]
+
+
+@query("near_join", f"SELECT a.graph_id, a.side, a.node_id AS a, b.node_id AS b, round({D12}, 6) AS distance FROM fx_nodes a JOIN fx_nodes b USING (graph_id, side) WHERE a.node_id < b.node_id AND {D12} <= 20")
+def _(t):
+    return rewrite.near_join(t.fx_nodes, KEYS, 20).withColumn("distance", r6("distance"))
+
+
+NEAR = f"""WITH RECURSIVE link AS (SELECT a.graph_id, a.side, a.node_id AS u, b.node_id AS v FROM fx_nodes a JOIN fx_nodes b USING (graph_id, side) WHERE {D12} <= 20),
+  reach AS (SELECT {K}, node_id, node_id AS root FROM fx_nodes UNION SELECT l.graph_id, l.side, l.v, r.root FROM reach r JOIN link l ON l.graph_id = r.graph_id AND l.side = r.side AND l.u = r.node_id),
+  root AS (SELECT {K}, node_id, min(root) AS root FROM reach GROUP BY ALL)"""
+
+
+@query("merge_near_nodes", NEAR + f"""SELECT b.graph_id, b.side, branch_id, least(p.root, q.root) AS node1, greatest(p.root, q.root) AS node2 FROM fx_branches b
+  JOIN root p ON p.graph_id = b.graph_id AND p.side = b.side AND p.node_id = node1 JOIN root q ON q.graph_id = b.graph_id AND q.side = b.side AND q.node_id = node2
+  WHERE p.root <> q.root OR node1 = node2""")
+def _(t):
+    return rewrite.merge_near_nodes(t.fx_branches, t.fx_nodes, KEYS, node=20)[0]
+
+
+@query("connected_components", f"""WITH RECURSIVE reach AS (SELECT {K}, node_id, node_id AS root FROM fx_nodes UNION SELECT b.graph_id, b.side,
+  CASE WHEN b.node1 = r.node_id THEN b.node2 ELSE b.node1 END, r.root FROM reach r JOIN fx_branches b ON b.graph_id = r.graph_id AND b.side = r.side AND (b.node1 = r.node_id OR b.node2 = r.node_id))
+  SELECT {K}, node_id AS id, min(root) AS component FROM reach GROUP BY {K}, node_id""")
+def _(t):
+    return connected_components(t.fx_branches, "node1", "node2", KEYS)
+
+
+@query("unite_clusters", f"""WITH RECURSIVE member AS (SELECT {K}, branch_id AS cluster_id, unnest([node1, node2]) AS item_id FROM fx_branches WHERE branch_id % 2 = 0),
+  reach AS (SELECT {K}, item_id, item_id AS root FROM member UNION SELECT n.graph_id, n.side, n.item_id, r.root FROM reach r
+  JOIN member m ON m.graph_id = r.graph_id AND m.side = r.side AND m.item_id = r.item_id JOIN member n ON n.graph_id = m.graph_id AND n.side = m.side AND n.cluster_id = m.cluster_id)
+  SELECT {K}, item_id, min(root) AS cluster_id FROM reach GROUP BY {K}, item_id""")
+def _(t):
+    from filigree.operators.clusters import unite_clusters
+
+    members = t.fx_branches.filter("branch_id % 2 = 0").select(*KEYS, F.col("branch_id").alias("cluster_id"), F.explode(F.array("node1", "node2")).alias("item_id"))
+    return unite_clusters(members, KEYS)
+
+
+@query("cluster_pairs", f"SELECT a.graph_id, a.side, a.node_id % 10 AS cluster_id, a.node_id AS a, b.node_id AS b FROM fx_nodes a JOIN fx_nodes b USING (graph_id, side) WHERE a.node_id < b.node_id AND a.node_id % 10 = b.node_id % 10")
+def _(t):
+    from filigree.operators.clusters import cluster_pairs
+
+    return cluster_pairs(t.fx_nodes.select(*KEYS, F.expr(CLUSTER).alias("cluster_id"), F.col("node_id").alias("item_id")), KEYS)
+
+
+@query("remove_spurs_by_distance")
+def _(t):
+    return rewrite.remove_spurs_by_distance(t.fx_branches, t.fx_nodes, KEYS, 60)[0]
+
+
+@query("small_cycles", f"""WITH e AS (SELECT DISTINCT {K}, node1 AS p, node2 AS q FROM fx_branches WHERE node1 <> node2),
+  s AS (SELECT {K}, p, q FROM e UNION SELECT {K}, q, p FROM e), d AS (SELECT a.graph_id, a.side, a.node_id AS p, b.node_id AS q, {D12} AS d FROM fx_nodes a JOIN fx_nodes b USING (graph_id, side)),
+  c3 AS (SELECT x.graph_id, x.side, x.p AS n1, x.q AS n2, y.q AS n3, CAST(NULL AS BIGINT) AS n4 FROM s x JOIN s y ON y.graph_id = x.graph_id AND y.side = x.side AND y.p = x.q AND y.q > x.q
+    JOIN s z ON z.graph_id = x.graph_id AND z.side = x.side AND z.p = y.q AND z.q = x.p WHERE x.p < x.q),
+  c4 AS (SELECT w.graph_id, w.side, w.p AS n1, w.q AS n2, x.q AS n3, y.q AS n4 FROM s w JOIN s x ON x.graph_id = w.graph_id AND x.side = w.side AND x.p = w.q AND x.q > w.p
+    JOIN s y ON y.graph_id = w.graph_id AND y.side = w.side AND y.p = x.q AND y.q > w.q JOIN s z ON z.graph_id = w.graph_id AND z.side = w.side AND z.p = y.q AND z.q = w.p
+    WHERE w.p < w.q AND NOT EXISTS (SELECT 1 FROM s c WHERE c.graph_id = w.graph_id AND c.side = w.side AND (c.p = w.p AND c.q = x.q OR c.p = w.q AND c.q = y.q))),
+  a AS (SELECT * FROM c3 UNION ALL SELECT * FROM c4)
+  SELECT {K}, n1, n2, n3, n4 FROM a WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.graph_id = a.graph_id AND d.side = a.side AND d.d >= 150 AND d.p IN (n1, n2, n3, n4) AND d.q IN (n1, n2, n3, n4))""")
+def _(t):
+    c = rewrite.small_cycles(t.fx_branches, t.fx_nodes, KEYS, 150)
+    return c.select(*KEYS, *[F.get("cycle_nodes", k).alias(f"n{k + 1}") for k in range(4)])
+
+
+@query("collapse_small_cycles")
+def _(t):
+    return rewrite.collapse_small_cycles(t.fx_branches, t.fx_nodes, KEYS, 150)[0]
+
+
+@query("clean_graph")
+def _(t):
+    return rewrite.clean_graph(t.fx_branches, t.fx_nodes, KEYS, spurs=40, node=10, cycles=60, simplify="both")[0]
+
+
+@query("clean_graph_by_width")
+def _(t):
+    return rewrite.clean_graph_by_width(t.fx_branches, t.fx_nodes, KEYS, 13)[0]
+
+
+# --- matching
+
+AB = "fx_nodes a JOIN fx_nodes b ON a.graph_id = b.graph_id AND a.side = 'pred' AND b.side = 'target'"
+NEAREST = f"""near AS (SELECT graph_id, pred_node, target_node, distance FROM (SELECT a.graph_id, a.node_id AS pred_node, b.node_id AS target_node, {D12} AS distance,
+  row_number() OVER (PARTITION BY a.graph_id, a.node_id ORDER BY {D12}, b.node_id) AS k FROM {AB}) WHERE k = 1),
+  back AS (SELECT graph_id, pred_node, target_node FROM (SELECT a.graph_id, a.node_id AS pred_node, b.node_id AS target_node,
+  row_number() OVER (PARTITION BY b.graph_id, b.node_id ORDER BY {D12}, a.node_id) AS k FROM {AB}) WHERE k = 1)"""
+
+
+@query("cross_distance", f"SELECT a.graph_id, a.node_id AS pred_node, b.node_id AS target_node, round({D12}, 6) AS distance FROM {AB}")
+def _(t):
+    return match.cross_distance(*sides(t.fx_nodes), ["graph_id"]).withColumn("distance", r6("distance"))
+
+
+@query("distance_matrix", f"SELECT a.graph_id, a.side, round(max({D12}), 6) AS diameter, count(*) AS n FROM fx_nodes a JOIN fx_nodes b USING (graph_id, side) GROUP BY ALL")
+def _(t):
+    return match.distance_matrix(t.fx_nodes, KEYS).groupBy(*KEYS).agg(r6(F.max("distance")).alias("diameter"), F.count("*").alias("n"))
+
+
+@query("nearest_node", f"WITH {NEAREST} SELECT graph_id, pred_node, target_node, round(distance, 6) AS distance FROM near")
+def _(t):
+    out = match.nearest_node(match.cross_distance(*sides(t.fx_nodes), ["graph_id"]), ["graph_id"])
+    return out.withColumn("distance", r6("distance"))
+
+
+@query("mutual_nearest", f"WITH {NEAREST} SELECT graph_id, pred_node, target_node, round(distance, 6) AS distance FROM near JOIN back USING (graph_id, pred_node, target_node) WHERE distance <= 20")
+def _(t):
+    out = match.mutual_nearest(match.cross_distance(*sides(t.fx_nodes), ["graph_id"], 20), ["graph_id"])
+    return out.withColumn("distance", r6("distance"))
+
+
+DENSITY = f"""dens AS (SELECT a.graph_id, a.side, a.node_id, (least(greatest(sum(CASE WHEN a.side = b.side THEN exp(-{D12} * {D12} / 800.0) ELSE 0 END) - 1, 0), 1)
+  + least(sum(CASE WHEN a.side <> b.side THEN exp(-{D12} * {D12} / 800.0) ELSE 0 END), 1)) / 2 AS density FROM fx_nodes a JOIN fx_nodes b ON a.graph_id = b.graph_id GROUP BY ALL)"""
+
+
+@query("node_density", f"WITH {DENSITY} SELECT graph_id, node_id, round(density, 6) AS density FROM dens WHERE side = 'pred'")
+def _(t):
+    return match.node_density(*sides(t.fx_nodes), ["graph_id"], 20.0).withColumn("density", r6("density"))
+
+
+@query("match_limits", f"WITH {NEAREST}, {DENSITY} SELECT n.graph_id, pred_node AS node_id, round(least(greatest(40 * (1 - density), 2), 40), 6) AS max_distance FROM near n JOIN dens d ON d.graph_id = n.graph_id AND d.side = 'target' AND d.node_id = n.target_node")
+def _(t):
+    return match.match_limits(*sides(t.fx_nodes), ["graph_id"], 40, 20.0).withColumn("max_distance", r6("max_distance"))
+
+
+@query("match_weights", f"SELECT graph_id, pred_node, target_node, round(m - d, 6) AS weight, round(20 - d, 6) AS gain FROM (SELECT a.graph_id, a.node_id AS pred_node, b.node_id AS target_node, {D12} AS d, max({D12}) OVER (PARTITION BY a.graph_id) AS m FROM {AB}) WHERE d < 20")
+def _(t):
+    out = match.match_weights(*sides(t.fx_nodes), ["graph_id"], 20).filter("gain > 0")
+    return out.select("graph_id", "pred_node", "target_node", r6("weight").alias("weight"), r6("gain").alias("gain"))
+
+
+@query("match_nodes")
+def _(t):
+    return match.match_nodes(*sides(t.fx_nodes), ["graph_id"], 20)
+
+
+@query("assign_component")
+def _(t):
+    gains = match.match_weights(*sides(t.fx_nodes), ["graph_id"], 20).filter("gain > 0").withColumn("component", F.lit(0))
+    return match.assign_component(gains, ["graph_id"])
+
+
+@query("greedy_match")
+def _(t):
+    return match.greedy_match(match.match_weights(*sides(t.fx_nodes), ["graph_id"], 20), ["graph_id"])
+
+
+def _same(t):
+    """Nodes with one id on both sides, as a match."""
+    pred, target = sides(t.fx_nodes.select("graph_id", "side", "node_id"))
+    both = pred.join(target, ["graph_id", "node_id"]).filter("node_id % 3 <> 0")
+    return saved(both.select("graph_id", F.col("node_id").alias("pred_node"), F.col("node_id").alias("target_node")))
+
+
+@query("semi_anti_nodes", """SELECT a.graph_id, a.node_id, EXISTS (SELECT 1 FROM fx_nodes b WHERE b.side = 'target' AND b.graph_id = a.graph_id AND b.node_id = a.node_id)
+  AND a.node_id % 3 <> 0 AS matched FROM fx_nodes a WHERE a.side = 'pred'""")
+def _(t):
+    pred, _ = sides(t.fx_nodes)
+    hit, miss = match.split_matched(pred, _same(t), ["graph_id"], "pred_node")
+    return hit.select("graph_id", "node_id", F.lit(True).alias("matched")).unionByName(miss.select("graph_id", "node_id", F.lit(False).alias("matched")))
+
+
+# --- paths
+
+HOPS = """stop AS (SELECT a.graph_id, a.node_id FROM fx_nodes a JOIN fx_nodes b ON a.graph_id = b.graph_id AND a.node_id = b.node_id AND a.side = 'pred' AND b.side = 'target' WHERE a.node_id % 3 <> 0),
+  s AS (SELECT graph_id, side, node1 AS p, node2 AS q FROM fx_branches UNION SELECT graph_id, side, node2, node1 FROM fx_branches),
+  walk AS (SELECT s.graph_id, s.side, s.p AS source, s.q AS node, 1 AS hops FROM s JOIN stop ON stop.graph_id = s.graph_id AND stop.node_id = s.p
+  UNION SELECT w.graph_id, w.side, w.source, s.q, w.hops + 1 FROM walk w JOIN s ON s.graph_id = w.graph_id AND s.side = w.side AND s.p = w.node
+  WHERE w.hops < 30 AND w.node <> w.source AND s.q <> w.source AND NOT EXISTS (SELECT 1 FROM stop WHERE stop.graph_id = w.graph_id AND stop.node_id = w.node)),
+  hop AS (SELECT graph_id, side, source, node, CAST(min(hops) AS BIGINT) AS hops FROM walk GROUP BY ALL)"""
+
+
+def _paths(t):
+    ids = _same(t).select("graph_id", F.col("pred_node").alias("node_id"))
+    return [paths.unmatched_paths(b, ids, ["graph_id"]) for b in sides(t.fx_branches)]
+
+
+@query("unmatched_paths", f"WITH RECURSIVE {HOPS} SELECT graph_id, side, source, node, hops FROM hop")
+def _(t):
+    p, q = _paths(t)
+    return p.withColumn("side", F.lit("pred")).unionByName(q.withColumn("side", F.lit("target"))).select("graph_id", "side", "source", "node", "hops")
+
+
+@query("backtrack_paths")
+def _(t):
+    return paths.backtrack_paths(_paths(t)[0], ["graph_id"])
+
+
+ADJ = HOPS + """, adj AS (SELECT p.graph_id, p.source, p.node, p.hops AS hops_pred, t.hops AS hops_target FROM hop p JOIN hop t ON p.side = 'pred' AND t.side = 'target'
+  AND t.graph_id = p.graph_id AND t.source = p.source AND t.node = p.node JOIN stop ON stop.graph_id = p.graph_id AND stop.node_id = p.node)"""
+
+
+@query("matched_adjacency", f"""WITH RECURSIVE {ADJ} SELECT graph_id, source, node, hops_pred, hops_target,
+  CASE WHEN hops_pred = 1 AND hops_target = 1 THEN 'valid' WHEN hops_target = 1 THEN 'split' WHEN hops_pred = 1 THEN 'fused' ELSE 'both' END AS kind FROM adj""")
+def _(t):
+    pred, target = sides(t.fx_branches)
+    return paths.adjacency_of(pred, target, _same(t), ["graph_id"]).select("graph_id", "source", "node", "hops_pred", "hops_target", "kind")
+
+
+@query("label_edge_diff")
+def _(t):
+    pred, target = sides(t.fx_branches)
+    adjacency = paths.adjacency_of(pred, target, _same(t), ["graph_id"])
+    out = [paths.label_edge_diff(b, adjacency, ["graph_id"], k).withColumn("side", F.lit(k)) for b, k in ((pred, "pred"), (target, "target"))]
+    return out[0].unionByName(out[1])
+
+
+@query("unique_branches")
+def _(t):
+    pred, target = sides(t.fx_branches)
+    adjacency = paths.adjacency_of(pred, target, _same(t), ["graph_id"])
+    out = [paths.unique_branches(b, adjacency, ["graph_id"], k).withColumn("side", F.lit(k)) for b, k in ((pred, "pred"), (target, "target"))]
+    return out[0].unionByName(out[1])
+
+
+def edits(t):
+    (bp, bt), (np_, nt) = sides(t.fx_branches), sides(t.fx_nodes)
+    return paths.edit_distance(bp, np_, bt, nt, ["graph_id"], 20)
+
+
+@query("edit_distance")
+def _(t):
+    return edits(t)

@@ -1 +1,216 @@
-"""Queries."""
+"""Queries of neighbourhoods, components and skeletons."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from filigree.operators import raster, skeleton
+from filigree.sources.scratch import saved
+
+from .registry import query
+
+CELL = ["image_id", "y", "x"]
+OFFS = "offs AS (SELECT k, k // 3 - 1 AS dy, k % 3 - 1 AS dx FROM (SELECT unnest(range(9)) AS k))"
+CODES = OFFS + """, codes AS (SELECT p.image_id, p.y - o.dy AS y, p.x - o.dx AS x, CAST(sum(1 << o.k) AS BIGINT) AS code
+  FROM fx_pixels p CROSS JOIN offs o GROUP BY ALL)"""
+
+
+def _values(family: str) -> str:
+    rows = ", ".join(f"({p}, {n})" for p, n in skeleton.pattern_masks()[family])
+    return f"(VALUES {rows}) AS {family}(pos, neg)"
+
+
+def _hit(family: str, code: str = "c.code") -> str:
+    return f"EXISTS (SELECT 1 FROM {_values(family)} WHERE {code} & pos = pos AND {code} & neg = 0)"
+
+
+@query("extract_patches", f"""WITH {CODES} SELECT p.image_id, p.y, p.x,
+  array_to_string([(code >> k) & 1 for k in range(9)], '') AS patch FROM fx_pixels p JOIN codes USING (image_id, y, x)""")
+def _(t):
+    out = raster.extract_patches(t.fx_pixels, t.fx_pixels)
+    return out.withColumn("patch", F.array_join(F.transform("patch", lambda v: v.cast("string")), ""))
+
+
+@query("extract_ring", f"""WITH {CODES} SELECT p.image_id, p.y, p.x,
+  array_to_string([(code >> k) & 1 for k in [1, 3, 5, 7]], '') AS ring FROM fx_pixels p JOIN codes USING (image_id, y, x)""")
+def _(t):
+    out = raster.extract_ring(t.fx_pixels, t.fx_pixels, [[0, 1, 0], [1, 0, 1], [0, 1, 0]])
+    return out.withColumn("ring", F.array_join(F.transform("ring", lambda v: v.cast("string")), ""))
+
+
+@query("neighbour_code", f"""WITH {CODES} SELECT image_id, y, x, CAST(((code >> 0) & 1) + ((code >> 1) & 1) * 2 + ((code >> 2) & 1) * 4
+  + ((code >> 5) & 1) * 8 + ((code >> 8) & 1) * 16 + ((code >> 7) & 1) * 32 + ((code >> 6) & 1) * 64 + ((code >> 3) & 1) * 128 AS BIGINT) AS code
+  FROM codes WHERE code & 16 <> 0""")
+def _(t):
+    return raster.neighbour_code(t.fx_pixels).withColumn("code", F.col("code").cast("long"))
+
+
+@query("hit_or_miss", f"WITH {CODES} SELECT image_id, y, x FROM codes c WHERE code & 16 <> 0 AND {_hit('junction3')}")
+def _(t):
+    p = skeleton.junction_patterns(t.spark).filter("family = 'junction3'")
+    return raster.hit_or_miss(raster.window_code(t.fx_pixels), p).select(*CELL)
+
+
+@query("hit_or_miss_rows", f"""WITH {CODES} SELECT image_id, y, x, (SELECT count(*) FROM {_values('endpoint')} WHERE c.code & pos = pos AND c.code & neg = 0) AS n
+  FROM codes c WHERE code & 16 <> 0""")
+def _(t):
+    p = skeleton.junction_patterns(t.spark).filter("family = 'endpoint'")
+    return raster.hit_or_miss(raster.window_code(t.fx_pixels), p, "sum").select(*CELL, "n")
+
+
+@query("dilate", f"WITH {CODES} SELECT image_id, y, x FROM codes")
+def _(t):
+    return raster.dilate(t.fx_pixels)
+
+
+@query("erode", f"WITH {OFFS} SELECT v.image_id, v.y - o.dy AS y, v.x - o.dx AS x FROM fx_vessels v CROSS JOIN offs o GROUP BY ALL HAVING count(*) = 9")
+def _(t):
+    return raster.erode(t.fx_vessels)
+
+
+@query("convolve", f"""WITH {OFFS} SELECT i.image_id, i.y + o.dy AS y, i.x + o.dx AS x, CAST(sum(i.r * (o.k + 1)) AS DOUBLE) AS v
+  FROM fx_image i CROSS JOIN offs o GROUP BY ALL""")
+def _(t):
+    kernel = t.spark.range(9).select((F.floor(F.col("id") / 3) - 1).alias("dy"), (F.col("id") % 3 - 1).alias("dx"), (F.col("id") + 1).cast("double").alias("w"))
+    return raster.convolve(t.fx_image, kernel, "r")
+
+
+@query("median_blur", """SELECT i.image_id, i.y, i.x, quantile_cont(n.r, 0.5) AS v FROM fx_image i
+  CROSS JOIN (SELECT k // 3 - 1 AS dy, k % 3 - 1 AS dx FROM (SELECT unnest(range(9)) AS k)) o
+  JOIN fx_image n ON n.image_id = i.image_id AND n.y = least(greatest(i.y + o.dy, 0), 47) AND n.x = least(greatest(i.x + o.dx, 0), 47) GROUP BY ALL""")
+def _(t):
+    return raster.median_blur(t.fx_image, "r", 3, 48, 48)
+
+
+@query("avg_pyramid", """WITH a AS (SELECT image_id, y, x, CAST(r AS DOUBLE) AS v FROM fx_image),
+  b AS (SELECT image_id, y // 2 AS y, x // 2 AS x, avg(v) AS v FROM a GROUP BY ALL), c AS (SELECT image_id, y // 2 AS y, x // 2 AS x, avg(v) AS v FROM b GROUP BY ALL)
+  SELECT 0 AS level, image_id, y, x, v FROM a UNION ALL SELECT 1, image_id, y, x, v FROM b UNION ALL SELECT 2, image_id, y, x, v FROM c""")
+def _(t):
+    return raster.avg_pyramid(t.fx_image, 2, 48, 48, "r")
+
+
+@query("distance_transform", """WITH o AS (SELECT a - 3 AS dy, b - 3 AS dx FROM (SELECT unnest(range(7)) AS a), (SELECT unnest(range(7)) AS b) WHERE (a - 3) * (a - 3) + (b - 3) * (b - 3) <= 9)
+  SELECT v.image_id, v.y, v.x, round(sqrt(min(CASE WHEN q.image_id IS NULL AND v.y + dy BETWEEN 0 AND 47 AND v.x + dx BETWEEN 0 AND 47 THEN dy * dy + dx * dx END)), 6) AS distance
+  FROM fx_vessels v CROSS JOIN o LEFT JOIN fx_vessels q ON q.image_id = v.image_id AND q.y = v.y + dy AND q.x = v.x + dx GROUP BY ALL""")
+def _(t):
+    return raster.distance_transform(t.fx_vessels, 3, 48, 48).withColumn("distance", F.round("distance", 6))
+
+
+# --- components
+
+
+def _closure(side: str) -> str:
+    return f"""WITH RECURSIVE reach AS (SELECT image_id, y, x, y * 100 + x AS root FROM fx_pixels
+  UNION SELECT p.image_id, p.y, p.x, r.root FROM reach r JOIN fx_pixels p ON p.image_id = r.image_id AND {side})"""
+
+
+EIGHT = "p.y BETWEEN r.y - 1 AND r.y + 1 AND p.x BETWEEN r.x - 1 AND r.x + 1"
+FOUR = "abs(p.y - r.y) + abs(p.x - r.x) <= 1"
+
+
+@query("components_pixels", _closure(EIGHT) + " SELECT image_id, y, x, CAST(min(root) AS BIGINT) AS component FROM reach GROUP BY ALL")
+def _(t):
+    out = skeleton.components_pixels(t.fx_pixels)
+    first = F.shiftright("component", 31) * 100 + F.col("component").bitwiseAND(F.lit((1 << 31) - 1))
+    return out.withColumn("component", first)
+
+
+@query("remove_small_components", _closure(EIGHT) + """, c AS (SELECT image_id, y, x, min(root) AS c FROM reach GROUP BY ALL)
+  SELECT image_id, y, x FROM (SELECT *, count(*) OVER (PARTITION BY image_id, c) AS n FROM c) WHERE n >= 3""")
+def _(t):
+    return skeleton.remove_small_components(t.fx_pixels, 3)
+
+
+@query("largest_component", _closure(FOUR) + """, c AS (SELECT image_id, y, x, min(root) AS c FROM reach GROUP BY ALL),
+  s AS (SELECT image_id, c, row_number() OVER (PARTITION BY image_id ORDER BY count(*) DESC, c) AS k FROM c GROUP BY image_id, c)
+  SELECT c.image_id, c.y, c.x FROM c JOIN s USING (image_id, c) WHERE k = 1""")
+def _(t):
+    return skeleton.largest_component(t.fx_pixels, 1)
+
+
+@query("component_sizes", _closure(EIGHT) + """, c AS (SELECT image_id, y, x, min(root) AS c FROM reach GROUP BY ALL)
+  SELECT image_id, CAST(c AS BIGINT) AS component, count(*) AS n FROM c GROUP BY ALL""")
+def _(t):
+    from filigree.operators.metrics import component_sizes
+
+    first = F.shiftright("component", 31) * 100 + F.col("component").bitwiseAND(F.lit((1 << 31) - 1))
+    return component_sizes(skeleton.components_pixels(t.fx_pixels), ["image_id"]).withColumn("component", first)
+
+
+@query("roi_mask", """SELECT i.image_id, i.y, i.x FROM fx_image i CROSS JOIN (SELECT k // 5 - 2 AS dy, k % 5 - 2 AS dx FROM (SELECT unnest(range(25)) AS k)) o
+  JOIN fx_image n ON n.image_id = i.image_id AND n.y = least(greatest(i.y + o.dy, 0), 47) AND n.x = least(greatest(i.x + o.dx, 0), 47)
+  WHERE i.y >= 4 GROUP BY i.image_id, i.y, i.x HAVING quantile_cont(n.r, 0.5) > 5""")
+def _(t):
+    return skeleton.roi_mask(t.fx_image, 48, 48)
+
+
+# --- skeletons
+
+
+@query("junction_patterns", f"""WITH {CODES} SELECT image_id, y, x, {_hit('junction3')} AS j3, {_hit('junction4')} AS j4, {_hit('endpoint')} AS e, {_hit('hollow')} AS h FROM codes c""")
+def _(t):
+    flags = skeleton._flags(raster.window_code(t.fx_pixels, background=True), "junction3", "junction4", "endpoint", "hollow")
+    return flags.select(*CELL, F.col("junction3").alias("j3"), F.col("junction4").alias("j4"), F.col("endpoint").alias("e"), F.col("hollow").alias("h"))
+
+
+@query("classify_pixels", f"""WITH {CODES} SELECT image_id, y, x, CAST(CASE WHEN {_hit('junction4')} THEN 4 WHEN {_hit('junction3')} THEN 3 ELSE 2 END
+  - CASE WHEN {_hit('endpoint')} THEN 1 ELSE 0 END AS INT) AS kind FROM codes c WHERE code & 16 <> 0""")
+def _(t):
+    return skeleton.classify_pixels(t.fx_pixels, fix_hollow=False)
+
+
+@query("fix_hollow_cross")
+def _(t):
+    return skeleton.fix_hollow_cross(t.fx_pixels)
+
+
+def _kinds(t):
+    return saved(skeleton.classify_pixels(skeleton.thin(t.fx_vessels)))
+
+
+@query("thin")
+def _(t):
+    return skeleton.thin(t.fx_vessels)
+
+
+@query("remove_1px_spurs")
+def _(t):
+    return skeleton.remove_1px_spurs(saved(skeleton.classify_pixels(t.fx_pixels)))
+
+
+@query("remove_short_spurs")
+def _(t):
+    return skeleton.remove_short_spurs(_kinds(t), 4)
+
+
+@query("drop_close_neighbours")
+def _(t):
+    return skeleton.drop_close_neighbours(_kinds(t))
+
+
+@query("label_branches")
+def _(t):
+    return skeleton.label_branches(_kinds(t))
+
+
+@query("branch_ends")
+def _(t):
+    pixels, ends, _ = skeleton.parse_skeleton(_kinds(t), keep_open=True)
+    return ends
+
+
+@query("parse_skeleton")
+def _(t):
+    return skeleton.parse_skeleton(_kinds(t))[1]
+
+
+@query("skeleton_of_labels")
+def _(t):
+    return skeleton.skeleton_of_labels(skeleton.label_branches(_kinds(t)))
+
+
+@query("masks_to_graphs")
+def _(t):
+    from filigree.operators.rewrite import masks_to_graphs
+
+    return masks_to_graphs(t.fx_vessels, 5, 2)[0]

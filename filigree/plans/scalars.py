@@ -9,8 +9,14 @@ from filigree.operators import graph, raster
 
 from .registry import query
 
-R = g.rect(F.col("h"), F.col("w"), F.col("y"), F.col("x"))
-S = g.rect(F.col("w"), F.col("h"), F.col("x"), F.col("y"))  # each rectangle's mirror image
+
+def R():
+    return g.rect(F.col("h"), F.col("w"), F.col("y"), F.col("x"))
+
+
+def S():
+    """Each rectangle's mirror image."""
+    return g.rect(F.col("w"), F.col("h"), F.col("x"), F.col("y"))
 
 
 def r6(c):
@@ -23,13 +29,13 @@ def sides(r, prefix: str = ""):
 
 @query("rect_props", "SELECT rect_id, y + floor(h / 2) AS cy, x + floor(w / 2) AS cx, y + h AS bottom, x + w AS rightmost, h * w AS area FROM fx_rects")
 def _(t):
-    return t.fx_rects.select("rect_id", g.center(R)["y"].alias("cy"), g.center(R)["x"].alias("cx"), g.bottom(R).alias("bottom"), g.right(R).alias("rightmost"), g.area(R).alias("area"))
+    return t.fx_rects.select("rect_id", g.center(R())["y"].alias("cy"), g.center(R())["x"].alias("cx"), g.bottom(R()).alias("bottom"), g.right(R()).alias("rightmost"), g.area(R()).alias("area"))
 
 
 @query("rect_round", """SELECT rect_id, CAST(round_even(h / 2, 0) AS BIGINT) AS h, CAST(round_even(w / 2, 0) AS BIGINT) AS w,
   CAST(round_even(y / 2, 0) AS BIGINT) AS y, CAST(round_even(x / 2, 0) AS BIGINT) AS x FROM fx_rects""")
 def _(t):
-    return t.fx_rects.select("rect_id", *sides(g.rounded(g.scale(R, 0.5))))
+    return t.fx_rects.select("rect_id", *sides(g.rounded(g.scale(R(), 0.5))))
 
 
 @query("rect_from", """SELECT rect_id, abs(h - y) AS h, abs(w - x) AS w, least(y, h) AS y, least(x, w) AS x,
@@ -49,20 +55,20 @@ def _(t):
 
 @query("rect_union", "SELECT grp, max(y + h) - min(y) AS h, max(x + w) - min(x) AS w, min(y) AS y, min(x) AS x FROM fx_rects GROUP BY grp")
 def _(t):
-    return t.fx_rects.groupBy("grp").agg(g.union_all(R).alias("r")).select("grp", *sides(F.col("r")))
+    return t.fx_rects.groupBy("grp").agg(g.union_all(R()).alias("r")).select("grp", *sides(F.col("r")))
 
 
 @query("rect_union_pair", """SELECT rect_id, greatest(y + h, x + w) - least(y, x) AS h, greatest(x + w, y + h) - least(x, y) AS w,
   least(y, x) AS y, least(x, y) AS x FROM fx_rects""")
 def _(t):
-    return t.fx_rects.select("rect_id", *sides(g.union(R, S)))
+    return t.fx_rects.select("rect_id", *sides(g.union(R(), S())))
 
 
 @query("rect_intersection", """SELECT rect_id, CASE WHEN e THEN 0 ELSE b - a END AS h, CASE WHEN e THEN 0 ELSE b - a END AS w,
   CASE WHEN e THEN 0 ELSE a END AS y, CASE WHEN e THEN 0 ELSE a END AS x FROM (
   SELECT rect_id, greatest(y, x) AS a, least(y + h, x + w) AS b, least(y + h, x + w) < greatest(y, x) AS e FROM fx_rects)""")
 def _(t):
-    return t.fx_rects.select("rect_id", *sides(g.intersection(R, S)))
+    return t.fx_rects.select("rect_id", *sides(g.intersection(R(), S())))
 
 
 @query("rect_intersection_group", """SELECT grp, CASE WHEN e THEN 0 ELSE b - a END AS h, CASE WHEN e THEN 0 ELSE d - c END AS w,
@@ -70,17 +76,17 @@ def _(t):
   SELECT grp, a, b, c, d, b < a OR d < c AS e FROM (
   SELECT grp, max(y) AS a, min(y + h) AS b, max(x) AS c, min(x + w) AS d FROM fx_rects GROUP BY grp))""")
 def _(t):
-    return t.fx_rects.groupBy("grp").agg(g.intersection_all(R).alias("r")).select("grp", *sides(F.col("r")))
+    return t.fx_rects.groupBy("grp").agg(g.intersection_all(R()).alias("r")).select("grp", *sides(F.col("r")))
 
 
 @query("rect_translate", "SELECT rect_id, h, w, y + 3 AS y, x - 2 AS x FROM fx_rects")
 def _(t):
-    return t.fx_rects.select("rect_id", *sides(g.translate(R, 3, -2)))
+    return t.fx_rects.select("rect_id", *sides(g.translate(R(), 3, -2)))
 
 
 @query("rect_scale", "SELECT rect_id, h * 2 AS h, w * 0.5 AS w, y * 2 AS y, x * 0.5 AS x FROM fx_rects")
 def _(t):
-    return t.fx_rects.select("rect_id", *sides(g.scale(R, 2.0, 0.5)))
+    return t.fx_rects.select("rect_id", *sides(g.scale(R(), 2.0, 0.5)))
 
 
 @query("rect_clip", """SELECT rect_id, CASE WHEN e THEN 0 ELSE b - a END AS h, CASE WHEN e THEN 0 ELSE d - c END AS w,
@@ -88,18 +94,18 @@ def _(t):
   SELECT rect_id, a, b, c, d, b < a OR d < c AS e FROM (
   SELECT rect_id, greatest(y, 0) AS a, least(y + h, 50) AS b, greatest(x, 0) AS c, least(x + w, 60) AS d FROM fx_rects))""")
 def _(t):
-    return t.fx_rects.select("rect_id", *sides(g.clip(R, 50, 60)))
+    return t.fx_rects.select("rect_id", *sides(g.clip(R(), 50, 60)))
 
 
 @query("rect_pad", "SELECT rect_id, h + 4 AS h, w + 6 AS w, y - 1 AS y, x - 4 AS x FROM fx_rects")
 def _(t):
-    return t.fx_rects.select("rect_id", *sides(g.pad(R, 1, 2, 3, 4)))
+    return t.fx_rects.select("rect_id", *sides(g.pad(R(), 1, 2, 3, 4)))
 
 
 @query("bbox_filter", "SELECT rect_id, (10 BETWEEN y AND y + h AND 20 BETWEEN x AND x + w) AS flag FROM fx_rects WHERE y BETWEEN 5 AND 60 AND x BETWEEN 5 AND 60")
 def _(t):
     kept = t.fx_rects.filter(raster.inside((5, 5, 60, 60)))
-    return kept.select("rect_id", g.contains(R, g.point(10, 20)).alias("flag"))
+    return kept.select("rect_id", g.contains(R(), g.point(10, 20)).alias("flag"))
 
 
 @query("point_ops", "SELECT rect_id, (y + h) * 2 AS y, (x + w) * 2 AS x, least(greatest(y, 10), 40) AS ly, least(greatest(x, 20), 70) AS lx FROM fx_rects")
