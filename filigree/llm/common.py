@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.sources.scratch import saved, shared_dir  # noqa: F401
+from filigree.sources.scratch import discard, saved, shared_dir  # noqa: F401
 
 #: White space that separates words, as bytes and in patterns.
 SPACE = r"\x20\x09-\x0D"
@@ -23,6 +23,25 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(df: DataFrame, ids: DataFrame, column: str, broadcast_rows: int = 500_000) -> DataFrame:
+    """``df`` without the rows whose ``column`` is one of ``ids`` (one column); null ids stay.
+
+    The ids are broadcast if they are few, else both sides are shuffled.
+    """
+    own = fresh(df, "_gone")
+    ids = saved(ids.toDF(own).dropna().distinct())
+    small = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
+    return df.join(small, df[column] == F.col(own), "left_anti")
+
+
 def chunks(texts: Iterable[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
     """The texts, nulls as empty, in lists of about ``limit`` characters, with the index of each list's first."""
     part: list[str] = []

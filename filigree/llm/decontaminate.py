@@ -24,7 +24,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, saved
+from .common import SPACE, saved, without
 
 WORDS, SIMILARITY = 5, 0.75
 BITS, BLOCK, RADIUS = 64, 8, 23
@@ -70,7 +70,7 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 
 def anchors_of(items: DataFrame) -> DataFrame:
-    """(item_id, at, word, wat, shingle): the item's shingles whose rarest word is rarest, one more than a window may lack.
+    """(item_id, at, word, wat, width, shingle): the item's shingles whose rarest word is rarest, one more than a window may lack.
 
     A shingle is looked up by that word, which is its word number wat.
     """
@@ -83,8 +83,8 @@ def anchors_of(items: DataFrame) -> DataFrame:
     ranked = best.groupBy("item_id", "many").agg(F.sort_array(F.collect_list(F.struct("f", "word", "at", "wat", "shingle"))).alias("r"))
     total = F.size("r")
     # Lacking m of n shingles, a window of n has similarity (n - m) / (n + m): m is at most n / 7.
-    taken = ranked.select("item_id", F.explode(F.slice("r", F.lit(1), F.floor(total / 7).cast("int") + 1)).alias("a"))
-    return taken.select("item_id", "a.word", "a.at", "a.wat", "a.shingle")
+    taken = ranked.select("item_id", "many", F.explode(F.slice("r", F.lit(1), F.floor(total / 7).cast("int") + 1)).alias("a"))
+    return taken.select("item_id", "a.word", "a.at", "a.wat", F.least(F.lit(WORDS), F.col("many")).alias("width"), "a.shingle")
 
 
 def windows_of(docs: DataFrame, items: DataFrame, anchors: DataFrame, anchor_rows: int, item_rows: int) -> DataFrame:
@@ -93,7 +93,7 @@ def windows_of(docs: DataFrame, items: DataFrame, anchors: DataFrame, anchor_row
     each = rows.select("doc_id", "words", F.posexplode("words").alias("pos", "word"))
     hits = each.join(_hint(anchors.withColumnRenamed("word", "aword"), anchor_rows), F.col("word") == F.col("aword"))
     start = F.col("pos") - F.col("wat")
-    here = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.lit(WORDS))
+    here = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("width"))
     hits = hits.filter((start >= 0) & (F.xxhash64(F.array_join(here, " ")) == F.col("shingle")))
     sized = hits.join(_hint(items.select(F.col("item_id").alias("_item"), F.size("iwords").alias("many")), item_rows), F.col("item_id") == F.col("_item"))
     slack = F.floor((F.col("many") - WORDS + 1) / 7).cast("int")
@@ -139,5 +139,4 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold an item; all columns stay."""
-    bad = saved(found.select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(_hint(bad, bad.count()), F.col("doc_id") == F.col("_id"), "left_anti")
+    return without(docs, found.select("doc_id"), "doc_id")

@@ -168,8 +168,15 @@ def extract(page: str | None, weights: Weights) -> str:
     return "\n".join(b for b in (" ".join("".join(p).split()) for p in blocks.values()) if b)
 
 
-def fit(pages: list[str], inside=lambda t: "article" in t.inside) -> Weights:
-    """Weights from labelled pages; ``inside`` is the label of a run of text, by default its author's markup."""
+def marked(t: Text) -> bool:
+    """The author's own label: the text is in an article, and in no container inside it that is named as furniture."""
+    if "article" not in t.inside:
+        return False
+    return not any(_furniture(k) for k in t.inside[t.inside.index("article") :] if k != "header")
+
+
+def fit(pages: list[str], inside=marked) -> Weights:
+    """Weights from labelled pages; ``inside`` is the label of a run of text."""
     words, tags = {True: Counter(), False: Counter()}, {True: Counter(), False: Counter()}
     for page in pages:
         for t in texts_of(page):

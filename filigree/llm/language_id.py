@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, held_out
+from .common import chunks, fresh, held_out
 
 LETTERS = 64
 HASHED = 1 << 15
@@ -181,5 +181,6 @@ def language(model: Model, text: Column, spark: SparkSession) -> Column:
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and score."""
-    found = docs.withColumn("_found", language(model, F.col("text"), docs.sparkSession))
-    return found.withColumns({k: F.col(f"_found.{k}") for k in ("lang_pred", "score")}).drop("_found")
+    own = fresh(docs, "_found")
+    found = docs.withColumn(own, language(model, F.col("text"), docs.sparkSession))
+    return found.withColumns({k: F.col(own)[k] for k in ("lang_pred", "score")}).drop(own)

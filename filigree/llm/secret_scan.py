@@ -23,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import fresh, saved
 
 LEAST, COMMON = 12, 5
 MASK = "[SECRET]"
@@ -125,12 +125,12 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, findings: DataFrame) -> DataFrame:
     """``docs`` with each secret of its own row's doc_id masked; all columns and rows stay."""
-    held = findings.filter("is_secret").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("value").alias("_values"))
-    held = saved(held)
+    own, values = fresh(docs, "_secret_of"), fresh(docs, "_secrets")
+    held = saved(findings.filter("is_secret").groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("value").alias(values)))
     if held.count() <= BROADCAST_ROWS:
         held = F.broadcast(held)
     # Longer values first, so that none is masked in part.
-    longest = F.array_sort("_values", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    masked = F.aggregate(longest, F.col("text"), lambda text, v: F.replace(text, v, F.lit(MASK)))
-    joined = docs.join(held, F.col("doc_id") == F.col("_id"), "left")
-    return joined.withColumn("text", F.when(F.col("_values").isNotNull(), masked).otherwise(F.col("text"))).drop("_id", "_values")
+    before = lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)
+    masked = F.aggregate(F.array_sort(values, before), docs["text"], lambda text, v: F.replace(text, v, F.lit(MASK)))
+    joined = docs.join(held, docs["doc_id"] == F.col(own), "left")
+    return joined.withColumn("text", F.when(F.col(values).isNotNull(), masked).otherwise(F.col("text"))).drop(own, values)
