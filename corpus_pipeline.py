@@ -13,21 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree.llm import decontaminate, jaccard_join, packing, secret_scan, toxicity
-from filigree.llm.common import saved, table
+from filigree.llm.common import saved, table, without
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    score = toxicity.toxicity(model, F.col("text"), spark)
-    return docs.withColumn("_score", score).filter("_score < 0.5").drop("_score")
+    return docs.filter(toxicity.toxicity(model, F.col("text"), spark) < 0.5)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = jaccard_join.near_components(docs.select("doc_id", "text"))
-    gone = saved(groups.filter("component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct())
-    if gone.count() <= jaccard_join.BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    return without(docs, groups.filter("component_id < doc_id").select("doc_id"), "doc_id")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
