@@ -4,7 +4,8 @@
    whose representative is its smallest doc_id.
 2. A class announces its smallest hashes: as many as two linked sets cannot avoid sharing (the prefix
    filter), and a tenth of the set more, so that linked sets share several. Classes that share fewer with
-   anyone than any link needs are out; what is left is routed into groups by connected components.
+   anyone than any link needs are out. As linked sets share several, each class forgoes its most frequent
+   hashes but for one of that many; what is left is routed into groups by connected components.
 3. In a group a signature tree is built: its leaves hold a bitmap of a set's hashes, the nodes above the OR
    of their children's bitmaps and the range of their sizes. Two copies of the tree are traversed together;
    a pair of nodes is pruned if no sets below them can overlap enough by bitmaps and sizes, or if all of
@@ -21,12 +22,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filigree.operators.components import connected_components
 
-from .common import chunks, saved
+from .common import chunks, discard, saved
 
 WORDS = 5
 #: Hashes of one group that a task takes at most from each side.
@@ -134,7 +135,7 @@ def _announced(batches):
 
 
 def _repeated(batches):
-    """Of rows sorted by h, those whose h occurs again; one row is held back between batches."""
+    """Of rows sorted by h and doc_id, those whose h another doc_id has; one row is held back between batches."""
     last: tuple[int, int, bool] | None = None
     empty = np.zeros(0, np.int64)
     for batch in batches:
@@ -144,6 +145,8 @@ def _repeated(batches):
         before = last is not None and last[2]
         if last is not None:
             h, d = np.r_[last[0], h], np.r_[last[1], d]
+        new = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]
+        h, d = h[new], d[new]
         same = h[1:] == h[:-1]
         twice = np.r_[before, same] | np.r_[same, False]
         last = (int(h[-1]), int(d[-1]), bool(twice[-1]))
@@ -324,24 +327,34 @@ def near_components(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = saved(texts.mapInArrow(_sets, "doc_id long, n long, k1 long, k2 long, prefix binary"))
-    named = sets.select("doc_id", "n", "k1", "k2")
+    named = saved(sets.select("doc_id", "n", "k1", "k2"))
     classes = saved(named.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")))
     dealt = sets.filter("doc_id is not null and n > 0").select("doc_id", "prefix").mapInArrow(_announced, "h long, doc_id long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, "h").sortWithinPartitions("h", "doc_id")
     shared = saved(dealt.mapInArrow(_repeated, "h long, doc_id long"))
-
-    reps = classes.filter("n > 0").groupBy(F.col("rep").alias("doc_id")).agg(F.max("n").alias("n"), F.min("n").alias("least"))
-
-    def peeled(rows: DataFrame) -> DataFrame:
-        again = rows.groupBy("h").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("_last")).filter("hub < _last").drop("_last")
-        rows = rows.drop("hub").join(again, "h")
-        enough = rows.groupBy("doc_id", "least").agg(F.count("*").alias("_c")).filter(F.col("_c") >= shared_need(F.col("least")))
-        return saved(rows.join(enough.select("doc_id"), "doc_id", "left_semi"))
-
-    kept = peeled(peeled(shared.distinct().join(reps, "doc_id")).select("h", "doc_id", "n", "least"))
-    again = kept.groupBy("h").agg(F.min("doc_id").alias("hub"))
-    routes = connected_components(kept.drop("hub").join(again, "h").select("doc_id", "hub").distinct(), "doc_id", "hub")
+    discard(sets)
+    # A doc_id with several texts needs as many shared hashes as the least of them.
+    reps = classes.filter("n > 0").groupBy(F.col("rep").alias("doc_id")).agg(F.min("n").alias("n"))
+
+    def enough(rows: DataFrame) -> DataFrame:
+        """rows of the representatives that share as many hashes as a link needs."""
+        count = rows.groupBy("doc_id").agg(F.count("*").alias("_c")).join(reps, "doc_id")
+        ids = saved(count.filter(F.col("_c") >= shared_need(F.col("n"))).select("doc_id"))
+        return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+
+    first = saved(enough(shared))
+    discard(shared)
+    # Linked sets share at least the need of either, so each may forgo all but one of that many; it forgoes
+    # its hashes with the largest blocks, and of those that are left, links still share one.
+    blocks = first.groupBy("h").agg(F.count("*").alias("_size")).filter("_size > 1")
+    order = Window.partitionBy("doc_id").orderBy(F.col("_size").desc(), "h")
+    ranked = first.join(blocks, "h").withColumn("_rank", F.row_number().over(order)).join(reps, "doc_id")
+    kept = saved(ranked.filter(F.col("_rank") >= shared_need(F.col("n"))).select("h", "doc_id"))
+    discard(first)
+    again = kept.groupBy("h").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("_last")).filter("hub < _last").drop("_last")
+    edges = kept.join(again, "h").select("doc_id", "hub").distinct()
+    routes = connected_components(edges, "doc_id", "hub")
     sizes = routes.groupBy("component").count().filter("count > 1").select("component")
     members = saved(routes.join(sizes, "component", "left_semi").select(F.col("id").alias("_id"), "component"))
     if members.count() <= BROADCAST_ROWS:
