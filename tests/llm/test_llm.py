@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from filigree.llm import (
     chat_format, decontaminate, html_extract, jaccard_join, language_id, media, packing, queries, secret_scan, token_counts, toxicity,
 )
+from filigree.llm.common import saved
 from filigree.llm.tokens import WordTokens
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -401,7 +402,7 @@ def test_pipeline_stages_on_odd_rows(spark, odd, none):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, SMALL)
             assert out.columns == docs.columns, name
-            docs = spark.createDataFrame(out.toPandas().astype(object).where(lambda d: d.notna(), None), docs.schema)
+            docs = saved(out)
         assert (docs.count() > 0) == (start is odd)
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).columns[0] == "doc_id"
 
