@@ -4,6 +4,7 @@ import os
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from filigree.plans import catalog
@@ -14,11 +15,14 @@ SLOW = {"remove_small_components", "component_sizes", "largest_component", "roi_
 NAMES = sorted(set(catalog.SQL) - SLOW)
 
 
+def shown(v) -> str:
+    if pd.isna(v):
+        return "null"
+    return v if isinstance(v, str) else f"{float(v) + 0.0:.5f}"
+
+
 def rows(df):
-    out = []
-    for values in df[sorted(df.columns)].itertuples(index=False):
-        out.append(tuple("null" if v is None or v != v else f"{float(v) + 0.0:.5f}" if hasattr(v, "__float__") and not isinstance(v, str) else str(v) for v in values))
-    return sorted(out)
+    return sorted(tuple(map(shown, values)) for values in df[sorted(df.columns)].itertuples(index=False))
 
 
 @pytest.fixture(scope="module")
