@@ -4,8 +4,8 @@
    whose representative is its smallest doc_id.
 2. A class announces its smallest hashes: as many as two linked sets cannot avoid sharing (the prefix
    filter), and a tenth of the set more, so that linked sets share several. Classes that share fewer with
-   anyone than any link needs are out. As linked sets share several, each class forgoes its most frequent
-   hashes but for one of that many; what is left is routed into groups by connected components.
+   anyone than any link needs are out. Those that are left announce all their hashes and keep the rarest, as
+   many as the prefix filter asks for; what still shares one is routed into groups by connected components.
 3. In a group a signature tree is built: its leaves hold a bitmap of a set's hashes, the nodes above the OR
    of their children's bitmaps and the range of their sizes. Two copies of the tree are traversed together;
    a pair of nodes is pruned if no sets below them can overlap enough by bitmaps and sizes, or if all of
@@ -134,10 +134,17 @@ def _announced(batches):
             yield pa.RecordBatch.from_arrays([pa.array(h[k : k + (1 << 18)]), pa.array(ids[k : k + (1 << 18)])], ["h", "doc_id"])
 
 
-def _repeated(batches):
-    """Of rows sorted by h and doc_id, those whose h another doc_id has; one row is held back between batches."""
+def _shared(batches):
+    """(doc_id, c) from rows sorted by h and doc_id: how many of its hashes another doc_id has too, in parts.
+
+    One row is held back between batches.
+    """
     last: tuple[int, int, bool] | None = None
-    empty = np.zeros(0, np.int64)
+
+    def counted(ids):
+        found, c = np.unique(ids, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(c, pa.int64())], ["doc_id", "c"])
+
     for batch in batches:
         h, d = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         if not len(h):
@@ -150,10 +157,9 @@ def _repeated(batches):
         same = h[1:] == h[:-1]
         twice = np.r_[before, same] | np.r_[same, False]
         last = (int(h[-1]), int(d[-1]), bool(twice[-1]))
-        h, d, twice = h[:-1], d[:-1], twice[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(h[twice]), pa.array(d[twice])], ["h", "doc_id"])
-    rest = last is not None and last[2]
-    yield pa.RecordBatch.from_arrays([pa.array([last[k]] if rest else empty, pa.int64()) for k in (0, 1)], ["h", "doc_id"])
+        yield counted(d[:-1][twice[:-1]])
+    if last is not None and last[2]:
+        yield counted(np.array([last[1]]))
 
 
 class SignatureTree:
@@ -323,53 +329,55 @@ def _across(members: DataFrame, chunk: int) -> DataFrame:
     return _join(rows, ["component", "chunk1", "chunk2"], sides=True)
 
 
+def _full(batches):
+    """(doc_id, n, set) of (doc_id, text): the whole set."""
+    for batch in batches:
+        for start, part in chunks(batch.column(1).to_pylist()):
+            found = shingle_sets(part)
+            n, raw = pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), n, raw], ["doc_id", "n", "set"])
+
+
+def _by_hash(rows: DataFrame) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "h").sortWithinPartitions("h", "doc_id")
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """A saved table of ids, broadcast if its rows are few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def near_components(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = saved(texts.mapInArrow(_sets, "doc_id long, n long, k1 long, k2 long, prefix binary"))
     named = saved(sets.select("doc_id", "n", "k1", "k2"))
     classes = saved(named.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")))
-    dealt = sets.filter("doc_id is not null and n > 0").select("doc_id", "prefix").mapInArrow(_announced, "h long, doc_id long")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "h").sortWithinPartitions("h", "doc_id")
-    shared = saved(dealt.mapInArrow(_repeated, "h long, doc_id long"))
-    discard(sets)
     # A doc_id with several texts needs as many shared hashes as the least of them.
-    reps = classes.filter("n > 0").groupBy(F.col("rep").alias("doc_id")).agg(F.min("n").alias("n"))
-
-    def enough(rows: DataFrame) -> DataFrame:
-        """rows of the representatives that share as many hashes as a link needs."""
-        count = rows.groupBy("doc_id").agg(F.count("*").alias("_c")).join(reps, "doc_id")
-        ids = saved(count.filter(F.col("_c") >= shared_need(F.col("n"))).select("doc_id"))
-        return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
-
-    first = saved(enough(shared))
-    discard(shared)
-    # Linked sets share at least the need of either, so each may forgo all but one of that many; it forgoes
-    # its hashes with the largest blocks, and of those that are left, links still share one.
-    blocks = first.groupBy("h").agg(F.count("*").alias("_size")).filter("_size > 1")
-    order = Window.partitionBy("doc_id").orderBy(F.col("_size").desc(), "h")
-    ranked = first.join(blocks, "h").withColumn("_rank", F.row_number().over(order)).join(reps, "doc_id")
-    kept = saved(ranked.filter(F.col("_rank") >= shared_need(F.col("n"))).select("h", "doc_id"))
-    discard(first)
+    reps = classes.filter("n > 0").groupBy(F.col("rep").alias("doc_id")).agg(F.min("n").alias("_n"))
+    announced = sets.filter("doc_id is not null and n > 0").select("doc_id", "prefix").mapInArrow(_announced, "h long, doc_id long")
+    parts = saved(_by_hash(announced).mapInArrow(_shared, "doc_id long, c long"))
+    discard(sets)
+    count = parts.groupBy("doc_id").agg(F.sum("c").alias("_c")).join(reps, "doc_id")
+    able = saved(count.filter(F.col("_c") >= shared_need(F.col("_n"))).select(F.col("doc_id").alias("_id")))
+    picked = texts.join(_small(able), F.col("doc_id") == F.col("_id")).select("doc_id", "text")
+    full = saved(picked.mapInArrow(_full, "doc_id long, n long, set binary").filter("n > 0"))
+    # All hashes of those that are left, the rarest first: the prefix filter in its usual order.
+    each = full.select("doc_id", "set").mapInArrow(_announced, "h long, doc_id long")
+    blocks = each.groupBy("h").agg(F.count("*").alias("_size")).filter("_size > 1")
+    order = Window.partitionBy("doc_id").orderBy("_size", "h")
+    ranked = each.join(blocks, "h").withColumns({"_rank": F.row_number().over(order), "_all": F.count("*").over(Window.partitionBy("doc_id"))})
+    size = full.groupBy("doc_id").agg(F.max("n").alias("_n"), F.count("*").alias("_rows"))
+    # Its hashes that nobody shares come first. A doc_id with several rows keeps all that it shares.
+    rare = F.col("_rank") + F.col("_n") - F.col("_all") <= F.col("_n") - F.ceil(F.col("_n") * 3 / 4) + 1
+    kept = saved(ranked.join(size, "doc_id").filter((F.col("_rows") > 1) | rare).select("h", "doc_id"))
     again = kept.groupBy("h").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("_last")).filter("hub < _last").drop("_last")
     edges = kept.join(again, "h").select("doc_id", "hub").distinct()
     routes = connected_components(edges, "doc_id", "hub")
     sizes = routes.groupBy("component").count().filter("count > 1").select("component")
     members = saved(routes.join(sizes, "component", "left_semi").select(F.col("id").alias("_id"), "component"))
-    if members.count() <= BROADCAST_ROWS:
-        members = F.broadcast(members)
-    picked = texts.join(members, F.col("doc_id") == F.col("_id")).select("component", "doc_id", "text")
-
-    def full(batches):
-        for batch in batches:
-            for start, part in chunks(batch.column(2).to_pylist()):
-                found = shingle_sets(part)
-                n = pa.array([len(s) for s in found], pa.int64())
-                raw = pa.array([s.tobytes() for s in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), batch.column(1).slice(start, len(part)), n, raw], ["component", "doc_id", "n", "set"])
-
-    whole = saved(picked.mapInArrow(full, "component long, doc_id long, n long, set binary").filter("n > 0"))
+    whole = full.join(_small(members), F.col("doc_id") == F.col("_id")).select("component", "doc_id", "n", "set")
     links = _links(whole, chunk)
     # One doc_id may represent more classes than one, if its rows differ; they meet in its id.
     roots = connected_components(links, "a", "b").select(F.col("id").alias("rep"), F.col("component").alias("_root"))
