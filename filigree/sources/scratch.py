@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folder that a session without ``spark.checkpoint.dir`` uses, by its application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the one that ``spark.checkpoint.dir`` names.
 
@@ -14,9 +19,10 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base is None:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="filigree-")
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="filigree-")
+        base = _OWN[app]
     return f"{base.rstrip('/')}/filigree-{uuid.uuid4().hex}"
 
 
