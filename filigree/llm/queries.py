@@ -96,7 +96,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "pos", "value", "score", "is_secret")
+    return found.select("doc_id", "pos", "part", "run", "value", "score", "is_secret")
 
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_language_id": op2_language_id, "op4_chat_format": op4_chat_format}

@@ -1,7 +1,10 @@
 """Secrets in texts: candidates by shape, false positives removed by a random forest. DataFrame functions only.
 
-A candidate is a run of at least ``LEAST`` letters, digits and ``+/_-`` at the end of a word (behind ``=`` or
-``:`` and quotes, if any) that is no plain word: it has a digit, or a capital after a small letter. Its
+A candidate is any longest run of at least ``LEAST`` letters, digits and ``+/_-`` in a text, with up to two ``=``
+that pad it, that is no plain word: it has a digit, or a capital after a small letter. A word between white
+space is cut into parts, each from a name that is assigned (``token=``, ``"token":``) to the next one. A run's
+context is its part's beginning and what stands right before the run; in a word's first part, the two
+words before, too; of each, at most ``CONTEXT`` characters. A run's
 features are its length, its transitions between small letters, capitals, digits and other characters,
 the shares of those, how many different characters it has, which share of its letters the corpus's own
 words cover (words of letters only, counted over all documents, that occur at least ``COMMON`` times),
@@ -11,7 +14,7 @@ The forest learns from labelled findings: a bounded sample of candidates with a
 findings were labelled by hand, ``labelled`` takes those of which context or shape leave no doubt.
 
 Null and empty texts have no candidates. A value that occurs several times is found each time. Findings of
-repeated rows are repeated. Null ids stay null. Other columns are dropped by ``candidates`` and kept by
+repeated rows are repeated. pos, part and run say where one stands. Null ids stay null. Other columns are dropped by ``candidates`` and kept by
 ``redact``.
 """
 
@@ -25,13 +28,19 @@ from pyspark.sql import functions as F
 
 from .common import fresh, saved
 
-LEAST, COMMON = 12, 5
+LEAST, COMMON, CONTEXT = 12, 5, 200
 MASK = "[SECRET]"
 #: What texts call their secrets.
 NAMED = r"(?i)(passw|passphrase|pwd|secret|token|api.?key|access.?key|private.?key|auth|credential|bearer)"
-#: Beginnings of keys whose issuers publish them.
-ISSUED = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^sk_(live|test)_[A-Za-z0-9]{16,}$|^AIza[A-Za-z0-9_-]{35}$"
-VALUE = r"([A-Za-z0-9+/_\-]{12,}={0,2})[\"'`.,;:!?)\]}>|%$*#&]*$"
+#: Keys whose issuers publish how they begin, alone or between other characters of a run.
+ISSUED = (
+    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}"
+    r"|sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9])"
+)
+#: A longest run; = at its end belongs to it unless it assigns what follows.
+RUN = r"[A-Za-z0-9+/_\-]{12,}(?:={1,2}(?![\"'`]?[A-Za-z0-9+/_\-=]))?"
+#: Where a part of a word begins: at a name that is assigned.
+NAME = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z_][A-Za-z0-9_\-]*[\"'`]?[:=][\"'`]?[A-Za-z0-9+/_\-{\[])"
 FEATURES = ["length", "transitions", "digits", "capitals", "different", "coverage", "depth", "named", "assigned", "issued"]
 BROADCAST_ROWS = 200_000
 
@@ -49,12 +58,21 @@ def dictionary(docs: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, value, and what stands before it) for each candidate; pos counts words from 0."""
-    long = words(docs).filter(F.length("word") >= LEAST).withColumn("value", F.regexp_extract("word", VALUE, 1))
-    odd = F.col("value").rlike(r"[0-9]") | F.col("value").rlike(r"[a-z][A-Z]")
-    picked = long.filter((F.length("value") >= LEAST) & odd)
-    before = F.concat_ws(" ", F.get("words", F.col("pos") - 2), F.get("words", F.col("pos") - 1), F.expr("substring_index(word, value, 1)"))
-    return picked.select("doc_id", F.col("pos").cast("long").alias("pos"), "value", "word", before.alias("before"))
+    """(doc_id, pos, part, run, value, and what stands before it) for each candidate.
+
+    pos counts words from 0, part the parts of the word, and run the runs of the part.
+    """
+    odd = lambda c: F.col(c).rlike(r"[0-9]") | F.col(c).rlike(r"[a-z][A-Z]")
+    long = words(docs).filter((F.length("word") >= LEAST) & odd("word") & F.col("word").rlike(RUN))
+    ahead = F.right(F.concat_ws(" ", F.get("words", F.col("pos") - 2), F.get("words", F.col("pos") - 1)), F.lit(CONTEXT))
+    parts = long.select("doc_id", F.col("pos").cast("long").alias("pos"), ahead.alias("ahead"), F.posexplode(F.split("word", NAME)).alias("part", "word"))
+    between = parts.select("*", F.regexp_count("word", F.lit("[/\\\\]")).alias("slashes"), F.split("word", RUN).alias("between"), F.regexp_extract_all("word", F.lit(RUN), F.lit(0)).alias("runs"))
+    each = between.select("*", F.posexplode("runs").alias("run", "value")).filter(odd("value"))
+    start = lambda c: F.left(c, F.lit(CONTEXT))
+    end = lambda c: F.right(c, F.lit(CONTEXT))
+    head = F.concat(start(F.get("between", F.lit(0))), start(F.get("runs", F.lit(0))), F.lit(" "), end(F.get("runs", F.col("run") - 1)))
+    before = F.concat_ws(" ", F.when(F.col("part") == 0, F.col("ahead")), F.concat(F.when(F.col("run") > 0, head).otherwise(""), end(F.get("between", F.col("run")))))
+    return each.select("doc_id", "pos", "part", "run", "value", "slashes", before.alias("before"))
 
 
 def _share(pattern: str) -> Column:
@@ -72,12 +90,12 @@ def described(found: DataFrame, known: DataFrame) -> DataFrame:
     covered = runs.join(known, "run").groupBy("value").agg(F.sum(F.length("run")).alias("_covered"))
     joined = found.join(covered, "value", "left")
     return joined.select(
-        "doc_id", "pos", "value", "before",
+        "doc_id", "pos", "part", "run", "value", "before",
         F.length("value").cast("double").alias("length"), (F.length(kinds) - 1).cast("double").alias("transitions"),
         _share("[0-9]").cast("double").alias("digits"), _share("[A-Z]").cast("double").alias("capitals"),
         (F.size(F.array_distinct(F.split("value", ""))) / F.length("value")).alias("different"),
         (F.coalesce("_covered", F.lit(0)) / F.length("value")).cast("double").alias("coverage"),
-        F.regexp_count("word", F.lit("[/\\\\]")).cast("double").alias("depth"),
+        F.col("slashes").cast("double").alias("depth"),
         F.col("before").rlike(NAMED).cast("double").alias("named"),
         F.col("before").rlike(r"[=:]\s*[\"'`]?$").cast("double").alias("assigned"),
         F.col("value").rlike(ISSUED).cast("double").alias("issued"),
@@ -96,7 +114,7 @@ def labelled(findings: DataFrame) -> DataFrame:
 
 def fit(findings: DataFrame, per_label: int = 4000, trees: int = 20, depth: int = 6):
     """A forest from at most ``per_label`` labelled findings of each label; None if a label is missing."""
-    order = [F.xxhash64("doc_id", "pos"), F.col("doc_id"), F.col("pos"), F.col("value")]
+    order = [F.xxhash64("doc_id", "pos"), *map(F.col, ("doc_id", "pos", "part", "run", "value"))]
     parts = [findings.filter(F.col("real") == k).orderBy(*order).limit(per_label) for k in (1.0, 0.0)]
     sample = saved(parts[0].unionByName(parts[1]).select("real", *FEATURES).coalesce(1))
     if sample.select("real").distinct().count() < 2:

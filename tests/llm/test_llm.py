@@ -391,6 +391,34 @@ def test_secrets_are_found_and_masked(spark, odd, none):
     assert secret_scan.scan(none).count() == 0
 
 
+def test_secrets_inside_words_are_found_and_masked(spark):
+    rng = random.Random(12)
+    key = lambda n, letters="abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789": "".join(rng.choices(letters, k=n))
+    github, amazon = lambda: "ghp_" + key(36), lambda: "AKIA" + key(16, "ABCDEFGHIJ234567")
+    shapes = [
+        lambda: ('{"token":"%s","n":1}', [github()]), lambda: ("https://user:%s@github.com/org/repo", [github()]),
+        lambda: ("https://a.example/?access_token=%s&lang=en", [key(40)]), lambda: ("%s,%s,%s", [amazon(), amazon(), amazon()]),
+        lambda: ('{"a":"%s==","secret":"%s=="}', [github(), key(30)]), lambda: ("https://a.example/x/%s/y", [github()]),
+        lambda: ("token=%s.%s.%s", ["eyJ" + key(25), "eyJ" + key(60), key(43)]),
+    ]
+    rows, values = [], []
+    for k in range(140):
+        form, own = shapes[k % 7]()
+        rows.append((k, f"some words {form % tuple(own)} and more"))
+        values.append(own)
+    fake = [f'{{"run":"{key(10, "0123456789")}-{key(8, "0123456789")}","n":1}}' for _ in range(60)]
+    rows += [(200 + k, f"some words {f} and more") for k, f in enumerate(fake)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = saved(secret_scan.scan(docs))
+    seen = {(r.doc_id, r.value.rstrip("=")) for r in found.collect()}
+    assert all((k, v) in seen or (k, f"example/x/{v}/y") in seen for k, own in enumerate(values) for v in own)
+    assert found.count() == found.select("doc_id", "pos", "part", "run").distinct().count()
+    masked = {r.doc_id: r.text for r in secret_scan.redact(docs, found).collect()}
+    assert not [v for k, own in enumerate(values) for v in own if v in masked[k]]
+    assert all(masked[k] == t for k, t in rows[140:])
+    assert "lang=en" in masked[2] and masked[1].endswith("@github.com/org/repo and more")
+
+
 # --- the pipeline
 
 
