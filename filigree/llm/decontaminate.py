@@ -4,10 +4,11 @@ Texts are lower-cased (A to Z) and cut into words; shingles are five words in a
 every shingle counts as often as it occurs, so it is the common count over the united count, and an item
 is found in a document if one of the document's windows of the item's size reaches ``SIMILARITY``.
 
-Windows: such a window lacks at most a seventh of the item's shingles, so it holds one of any
+Windows: such a window lacks at most a quarter of the item's shingles (a seventh, unless the document
+ends before the window has the item's size), so it holds one of any
 set of the item's shingles larger than that. Those anchors are chosen by their rarest words. Where an anchor occurs in a
-document, the windows that can be aligned with it, up to as many words off as the lacking shingles allow,
-are taken. Their SimHash has ``BITS`` bits, cut into blocks of ``BLOCK`` bits: two fingerprints within
+document, all windows that contain the occurrence are taken, whatever the order of the item's parts in them,
+but for those that hold too few of the item's shingles to reach ``SIMILARITY``. Their SimHash has ``BITS`` bits, cut into blocks of ``BLOCK`` bits: two fingerprints within
 ``RADIUS`` differ in at most ``RADIUS / blocks`` bits of some block, so joining the blocks of windows with
 all variants of an item's blocks at that distance misses no pair within the radius. What is left is
 verified by the exact weighted similarity.
@@ -82,31 +83,35 @@ def anchors_of(items: DataFrame) -> DataFrame:
     best = best.select("item_id", "at", "shingle", "many", "b.f", "b.word", "b.wat")
     ranked = best.groupBy("item_id", "many").agg(F.sort_array(F.collect_list(F.struct("f", "word", "at", "wat", "shingle"))).alias("r"))
     total = F.size("r")
-    # Lacking m of n shingles, a window of n has similarity (n - m) / (n + m): m is at most n / 7.
-    taken = ranked.select("item_id", "many", F.explode(F.slice("r", F.lit(1), F.floor(total / 7).cast("int") + 1)).alias("a"))
+    # Lacking m of n shingles, a window of n has similarity (n - m) / (n + m): m is at most n / 7. A shorter document
+    # reaches (n - m) / n at best: m is at most n / 4.
+    taken = ranked.select("item_id", "many", F.explode(F.slice("r", F.lit(1), F.floor(total / 4).cast("int") + 1)).alias("a"))
     return taken.select("item_id", "a.word", "a.at", "a.wat", F.least(F.lit(WORDS), F.col("many")).alias("width"), "a.shingle")
 
 
 def windows_of(docs: DataFrame, items: DataFrame, anchors: DataFrame, anchor_rows: int, item_rows: int) -> DataFrame:
-    """(doc_id, item_id, wshingles) for each window that an anchor's occurrence allows."""
+    """(doc_id, item_id, wshingles) for each window that contains an anchor's occurrence and may reach SIMILARITY."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
     each = rows.select("doc_id", "words", F.posexplode("words").alias("pos", "word"))
     hits = each.join(_hint(anchors.withColumnRenamed("word", "aword"), anchor_rows), F.col("word") == F.col("aword"))
     start = F.col("pos") - F.col("wat")
     here = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("width"))
     hits = hits.filter((start >= 0) & (F.xxhash64(F.array_join(here, " ")) == F.col("shingle")))
-    sized = hits.join(_hint(items.select(F.col("item_id").alias("_item"), F.size("iwords").alias("many")), item_rows), F.col("item_id") == F.col("_item"))
-    slack = F.floor((F.col("many") - WORDS + 1) / 7).cast("int")
-    slack = F.greatest(slack, F.lit(0))
-    first = F.greatest(start - F.col("at") - slack, F.lit(0))
-    # The region that holds all windows of one alignment; each alignment is looked at once.
-    region = sized.select("doc_id", "item_id", "many", slack.alias("slack"), first.alias("first"), (start - F.col("at")).alias("aligned"),
-        F.slice("words", first + 1, F.col("many") + start - F.col("at") + slack - first).alias("region"))
-    region = region.dropDuplicates(["doc_id", "item_id", "aligned", "region"])
-    last = F.greatest(F.lit(0), F.least(2 * F.col("slack"), F.size("region") - 1))
-    shifted = region.select("doc_id", "item_id", "many", "region", F.explode(F.sequence(F.lit(0), last)).alias("shift"))
-    window = shifted.select("doc_id", "item_id", F.slice("region", F.col("shift") + 1, F.col("many")).alias("wwords")).filter(F.size("wwords") > 0)
-    return window.withColumn("wshingles", shingles_of(F.col("wwords"))).drop("wwords").dropDuplicates(["doc_id", "item_id", "wshingles"])
+    own = items.select(F.col("item_id").alias("_item"), F.size("iwords").alias("many"), "ishingles")
+    sized = hits.join(_hint(own, item_rows), F.col("item_id") == F.col("_item"))
+    # The region that holds all windows around one occurrence.
+    first = F.greatest(start - F.col("many") + F.col("width"), F.lit(0))
+    region = sized.select("doc_id", "item_id", "ishingles", (start - first).alias("last"),
+        F.slice("words", first + 1, start + F.col("many") - first).alias("region"))
+    region = region.dropDuplicates(["doc_id", "item_id", "last", "region"]).withColumn("rshingles", shingles_of(F.col("region")))
+    n = F.size("ishingles")
+    held = F.transform("rshingles", lambda h: F.array_contains("ishingles", h).cast("int"))
+    each = region.select("doc_id", "item_id", "ishingles", "rshingles", "last", held.alias("held"))
+    # At SIMILARITY, 7 times the common shingles are at least 3 times those of both; no more are common than are the item's.
+    window = lambda xs, i: F.slice(xs, i + 1, n)
+    enough = lambda i: 7 * F.aggregate(window("held", i), F.lit(0), lambda c, x: c + x) >= 3 * (n + F.size(window("held", i)))
+    kept = each.select("doc_id", "item_id", "ishingles", "rshingles", F.explode(F.filter(F.sequence(F.lit(0), F.col("last")), enough)).alias("shift"))
+    return kept.select("doc_id", "item_id", window("rshingles", F.col("shift")).alias("wshingles")).dropDuplicates(["doc_id", "item_id", "wshingles"])
 
 
 def block_variants() -> list[tuple[int, int]]:

@@ -211,6 +211,15 @@ def test_decontamination_against_brute_force(spark):
     assert left == {r.doc_id for r in df.collect()} - {d for d, _ in got}
 
 
+def test_items_in_another_order_or_in_shorter_documents_are_found(spark):
+    item = [f"i{k}" for k in range(40)]
+    docs = [item[20:] + item[:20], [f"o{k}" for k in range(50)] + item[20:] + item[:20] + [f"p{k}" for k in range(50)], item[:32], item[8:], item[10:] + ["x"] * 9]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.similarity for r in decontaminate.matches(df, bench).collect()}
+    assert got == pytest.approx({0: 32 / 40, 1: 32 / 40, 2: 28 / 36, 3: 28 / 36})
+
+
 def test_decontamination_of_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(0, "one"), (1, None)], "item_id long, text string")
     found = decontaminate.matches(odd, bench)
