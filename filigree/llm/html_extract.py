@@ -3,7 +3,10 @@
 A page is read as a row of tokens. Each word scores by the containers it stands in (sections and divisions
 with their classes), each tag scores below zero; both weights are log odds from labelled pages. One linear
 scan finds the contiguous region with the largest sum. Words inside it that stand in a container of
-negative weight (an advert, a form, comments) are left out. Scripts, styles, comments and the head score
+negative weight (an advert, a form, comments) are left out. A text's home is the article or main element
+around it, or else its container. Where such words stand between texts of one home that holds them, they
+and their tags cost nothing; and from its second text on, a home's tags cost at most half of what the words
+behind them score. So neither an advert nor a list of short items cuts an article. Scripts, styles, comments and the head score
 nothing. Containers that no labelled page shows get a weight only if their tag or class names page
 furniture.
 
@@ -60,6 +63,12 @@ class Text:
     inside: tuple[str, ...]
     tags: list[str]
     words: int = 0
+    places: tuple[tuple[int, str], ...] = ()
+
+    @property
+    def home(self) -> tuple[int, str] | None:
+        """The innermost article or main element around the text, or else its innermost container, by where it begins."""
+        return next((p for p in reversed(self.places) if p[1] in ("article", "main")), self.places[-1] if self.places else None)
 
 
 @dataclass
@@ -92,7 +101,8 @@ def _keys(tag: str, attributes: str) -> list[str]:
 def texts_of(page: str) -> list[Text]:
     """The runs of text of a page in order."""
     out: list[Text] = []
-    open_: list[tuple[str, list[str]]] = []
+    open_: list[tuple[str, list[str], int]] = []
+    places = lambda: tuple((start, tag) for tag, keys, start in open_ if keys)
     tags: list[str] = []
     block = at = 0
     skip_to = None
@@ -101,7 +111,7 @@ def texts_of(page: str) -> list[Text]:
         nonlocal tags
         if raw and (raw.strip() or out):
             decoded = entities.unescape(raw)
-            out.append(Text(decoded, block, tuple(k for _, ks in open_ for k in ks), tags, len(decoded.split())))
+            out.append(Text(decoded, block, tuple(k for _, ks, _ in open_ for k in ks), tags, len(decoded.split()), places()))
             tags = []
 
     for m in TOKEN.finditer(page):
@@ -123,7 +133,7 @@ def texts_of(page: str) -> list[Text]:
                 at = end.end() if end else len(page)
             continue
         if tag == "br":
-            out.append(Text(" ", block, tuple(k for _, ks in open_ for k in ks), [], 0))
+            out.append(Text(" ", block, tuple(k for _, ks, _ in open_ for k in ks), [], 0, places()))
             continue
         if tag not in INLINE:
             block += 1
@@ -140,7 +150,7 @@ def texts_of(page: str) -> list[Text]:
                     if open_[k][0] == "p":
                         del open_[k:]
                         break
-            open_.append((tag, _keys(tag, m[3] or m[6] or "") if tag in CONTAINERS else []))
+            open_.append((tag, _keys(tag, m[3] or m[6] or "") if tag in CONTAINERS else [], m.start()))
     text(page[at:])
     return out
 
@@ -150,10 +160,20 @@ def extract(page: str | None, weights: Weights) -> str:
         return ""
     texts = texts_of(page)
     score = [t.words * weights.of_words(t.inside) for t in texts]
+    homes = [t.home if s > 0 else None for t, s in zip(texts, score, strict=True)]
+    until = {h: k for k, h in enumerate(homes) if h}
+    seen: set[tuple[int, str]] = set()
     best = total = 0.0
     first = begin = last = -1
     for k, t in enumerate(texts):
-        total += sum(weights.tag.get(x, TAG) for x in t.tags)
+        if score[k] <= 0 and any(p in seen and until[p] > k for p in t.places):
+            continue
+        cost = sum(weights.tag.get(x, TAG) for x in t.tags)
+        if homes[k] in seen:
+            cost = max(cost, -score[k] / 2)
+        elif homes[k]:
+            seen.add(homes[k])
+        total += cost
         if total <= 0:
             total, begin = 0.0, k
         total += score[k]

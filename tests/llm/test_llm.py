@@ -327,6 +327,17 @@ def test_extraction_of_a_page():
     assert html_extract.extract(None, weights) == html_extract.extract("", weights) == html_extract.extract("<nav>x</nav>", weights) == ""
 
 
+@pytest.mark.parametrize(("opened", "closed"), [("<article>", "</article>"), ("<div class='story'>", "</div>")])
+def test_articles_with_an_aside_and_lists_are_whole(opened, closed):
+    weights = html_extract.fit([PAGE.replace("Menu one", "<ul><li>Menu</li><li>one</li></ul>")] * 200)
+    items = lambda c: [f"{c}{k}" for k in range(8)]
+    listed = lambda c: "<ul>" + "".join(f"<li>{w}</li>" for w in items(c)) + "</ul>"
+    lead, rest = " ".join(["lead"] * 20), " ".join(["rest"] * 60)
+    aside = "<aside><form><p>" + "sign up " * 20 + "</p></form></aside>"
+    page = f"<body><nav><ul><li>Menu</li></ul></nav>{opened}{listed('a')}<p>{lead}</p>{aside}<p>{rest}</p>{listed('b')}{closed}<footer>me too</footer></body>"
+    assert html_extract.extract(page, weights).split("\n") == [*items("a"), lead, rest, *items("b")]
+
+
 def test_extraction_equals_the_article_of_each_page(spark):
     import html
 
