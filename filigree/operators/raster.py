@@ -7,7 +7,7 @@ images at once, keyed by ``image_id``; rows with a null coordinate match nothing
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = "image_id"
@@ -221,19 +221,32 @@ def avg_pyramid(dense: DataFrame, n: int, h: int, w: int, value: str = "v") -> D
     return out
 
 
-def distance_transform(pixels: DataFrame, radius: int, h: int, w: int) -> DataFrame:
-    """(image, y, x, distance) of each set pixel to the nearest background cell of its image, up to the radius.
+def _to_ends(pixels: DataFrame, along: str, size: int, name: str) -> DataFrame:
+    """The pixels with their run along an axis, name_run, and their distance to the nearest background cell at its ends, name."""
+    line = [KEY, *(c for c in CELL if c not in (KEY, along))]
+    ranked = pixels.withColumn(f"{name}_run", F.col(along) - F.dense_rank().over(Window.partitionBy(*line).orderBy(along)))
+    run = Window.partitionBy(*line, f"{name}_run")
+    first, last = F.min(along).over(run), F.max(along).over(run)
+    # Beyond the image there is no background.
+    ends = F.least(F.when(first > 0, F.col(along) - first + 1), F.when(last < size - 1, last - F.col(along) + 1))
+    return ranked.withColumn(name, ends.cast("long"))
 
-    Pixels with no background within the radius get a null distance.
+
+def distance_transform(pixels: DataFrame, radius: int | None, h: int, w: int) -> DataFrame:
+    """(image, y, x, distance) of each set pixel to the nearest background cell of its image; up to the radius, if one is given.
+
+    Exact at any depth: distances along rows first, then the least sum of squares over the rows of the
+    pixel's run in its column, as no row beyond the background at its ends is nearer. Null where the image
+    has no background (within the radius).
     """
-    cells = sorted(((dy * dy + dx * dx, dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if 0 < dy * dy + dx * dx <= radius * radius))
-    around = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for d, dy, dx in cells])
-    probes = pixels.select(*CELL, F.explode(around).alias("o"))
-    probes = probes.select(KEY, F.col("y").alias("cy"), F.col("x").alias("cx"), (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "o.d")
-    probes = probes.filter(F.col("y").between(0, h - 1) & F.col("x").between(0, w - 1))
-    free = probes.join(pixels.select(*CELL), CELL, "left_anti")
-    near = free.groupBy(KEY, F.col("cy").alias("y"), F.col("cx").alias("x")).agg(F.sqrt(F.min("d")).alias("distance"))
-    return pixels.select(*CELL).join(near, CELL, "left")
+    cells = _to_ends(_to_ends(pixels.select(*CELL).distinct(), "x", w, "_row"), "y", h, "_col")
+    own = F.least(F.col("_row"), F.col("_col"))
+    others = cells.filter(F.col("_row").isNotNull()).select(KEY, "x", "_col_run", F.col("y").alias("_y"), F.col("_row").alias("_far"))
+    near = cells.select(*CELL, "_col_run", own.alias("_own")).join(others, [KEY, "x", "_col_run"], "left")
+    off = F.col("y") - F.col("_y")
+    near = near.groupBy(*CELL).agg(F.least(F.min(off * off + F.col("_far") * F.col("_far")), F.first(F.col("_own") * F.col("_own"))).alias("_d"))
+    kept = F.col("_d") if radius is None else F.when(F.col("_d") <= radius * radius, F.col("_d"))
+    return pixels.select(*CELL).join(near.select(*CELL, F.sqrt(kept).alias("distance")), CELL, "left")
 
 
 def inside(box: tuple[float, float, float, float]) -> Column:

@@ -93,7 +93,7 @@ def _(t):
   SELECT v.image_id, v.y, v.x, round(sqrt(min(CASE WHEN q.image_id IS NULL AND v.y + dy BETWEEN 0 AND 47 AND v.x + dx BETWEEN 0 AND 47 THEN dy * dy + dx * dx END)), 6) AS distance
   FROM fx_vessels v CROSS JOIN o LEFT JOIN fx_vessels q ON q.image_id = v.image_id AND q.y = v.y + dy AND q.x = v.x + dx GROUP BY ALL""")
 def _(t):
-    return raster.distance_transform(t.fx_vessels, 3, 48, 48).withColumn("distance", F.round("distance", 6))
+    return raster.distance_transform(t.fx_vessels, None, 48, 48).withColumn("distance", F.round("distance", 6))
 
 
 # --- components

@@ -224,3 +224,15 @@ def test_streams_agree_with_batches(spark):
     stream = lambda: spark.readStream.schema(counts.schema).option("maxFilesPerTrigger", 1).parquet(counts._scratch)
     assert tuple(stream_micro(stream()).first()) == pytest.approx(tuple(metrics.micro(counts).first()))
     assert tuple(stream_macro(stream()).first()) == pytest.approx(tuple(metrics.macro(counts).first()))
+
+
+def test_distances_are_exact_at_any_depth(spark):
+    rng = random.Random(9)
+    grids = {0: {(y, x) for y in range(14) for x in range(17) if (y, x) != (2, 3)}, 1: {(y, x) for y in range(14) for x in range(17)}}
+    grids[2] = {c for c in grids[1] if rng.random() < 0.95}
+    df = spark.createDataFrame([(k, y, x) for k, g in grids.items() for y, x in g], "image_id long, y long, x long")
+    got = {(r.image_id, r.y, r.x): r.distance for r in raster.distance_transform(df, None, 14, 17).collect()}
+    assert len(got) == df.count()
+    for (k, y, x), d in got.items():
+        free = [(y - v) ** 2 + (x - u) ** 2 for v, u in grids[1] - grids[k]]
+        assert d == (pytest.approx(min(free) ** 0.5) if free else None)
