@@ -4,8 +4,9 @@ The kernel compares words as sequences of letters. It counts common subsequences
 ``SPAN`` letters, each weighted by ``DECAY`` to the power of the letters it stretches over, so that a
 gapped or misspelt insult stays close to the plain one; marks inside a word ("i.d.i.o.t"), digits in
 place of letters and single spaced-out letters are undone before. It is normalised by the lengths of both
-words. A sentence of a clean document is clean; of a toxic document at least one sentence holds a toxic
-word, which training finds by turns (multiple-instance learning). Nystroem features of a word are its
+words. No text is split into sentences: a word of a clean document is clean; of a toxic document at least one
+word is toxic, which training finds by turns (multiple-instance learning). Insults of several ordinary words are
+not found. Nystroem features of a word are its
 kernel values with the landmarks times the inverse square root of the landmarks' own kernel matrix; as
 they are linear in the word's subsequences, the trained machine folds into one table of subsequence
 weights, and scoring is linear in the length of the text.
