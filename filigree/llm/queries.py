@@ -74,6 +74,38 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
 
 
+#: All windows that hold a shingle of an item, each compared with it.
+SQL_DECONTAMINATION = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), i AS (
+  SELECT item_id, w, len(w) AS n, least(5, len(w)) AS k, len(w) - least(5, len(w)) + 1 AS m FROM (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark
+  ) WHERE len(w) > 0
+), own AS (
+  SELECT item_id, n, k, m, s, count(*) AS ci FROM (SELECT item_id, n, k, m, array_to_string(w[p + 1 : p + k], ' ') AS s FROM (SELECT *, unnest(range(m)) AS p FROM i))
+  GROUP BY ALL
+), sh AS (
+  SELECT r, k, p, size, array_to_string(w[p + 1 : p + k], ' ') AS s
+  FROM (SELECT r, w, k, len(w) AS size, unnest(range(len(w) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM i))
+), hits AS (
+  SELECT r, item_id, n, k, m, s, ci, p, size FROM sh JOIN own USING (k, s)
+), enough AS (
+  SELECT r, item_id FROM hits GROUP BY ALL HAVING 4 * count(*) >= 3 * min(m)
+), starts AS (
+  SELECT *, unnest(range(greatest(p - m + 1, 0), least(p, greatest(size - n, 0)) + 1)) AS b FROM hits SEMI JOIN enough USING (r, item_id)
+), per AS (
+  SELECT r, item_id, b, m, least(m, size - k + 1) AS own, s, least(count(*), min(ci)) AS c FROM starts GROUP BY r, item_id, b, m, size, k, s
+), win AS (
+  SELECT r, item_id, m + own AS total, sum(c) AS c FROM per GROUP BY r, item_id, b, m, own
+)
+SELECT doc_id, item_id, max(c / (total - c)) AS similarity FROM win JOIN d USING (r)
+WHERE 100 * c >= 75 * (total - c) GROUP BY r, doc_id, item_id
+"""
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -103,4 +135,4 @@ QUERIES = {"op1_toxicity": op1_toxicity, "op2_language_id": op2_language_id, "op
 QUERIES |= {"op3_token_counts": op3_token_counts}
 QUERIES |= {"op5_decontamination": op5_decontamination, "op10_secret_scan": op10_secret_scan}
 QUERIES |= {"op6_jaccard_join": op6_jaccard_join, "op7_packing": op7_packing, "op8_html_extract": op8_html_extract, "op9_media": op9_media}
-SQL = {"op4_chat_format": SQL_CHAT}
+SQL = {"op4_chat_format": SQL_CHAT, "op5_decontamination": SQL_DECONTAMINATION}
