@@ -127,7 +127,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "pos", "part", "run", "value", "score", "is_secret")
 
 

@@ -481,6 +481,33 @@ def test_secrets_inside_words_are_found_and_masked(spark):
     assert "lang=en" in masked[2] and masked[1].endswith("@github.com/org/repo and more")
 
 
+def test_the_forest_overrules_names_both_ways(spark):
+    known = saved(secret_scan.dictionary(spark.read.parquet(f"{SMALL}/documents.parquet")))
+    samples = secret_scan.labelled_samples(spark, known)
+    model = secret_scan.Model(samples.filter("part_of <> 0"))
+    held = model.score(samples.filter("part_of = 0")).toPandas()
+    real, said = held.real == 1, held.is_secret
+    named = held.before.str.contains("(?i)passw|passphrase|pwd|secret|token|api.?key|access.?key|private.?key|auth|credential|bearer") & (held.assigned == 1)
+    share = lambda p: ((p & real).sum() / max(1, p.sum()), (p & real).sum() / real.sum())
+    print("forest: precision, recall", share(said), "name rule:", share(named), "of", len(held))
+    assert min(share(said)) >= 0.9 and len(held) > 500
+    # Named but no secrets, and secrets without a name.
+    assert (~said[named & ~real]).mean() > 0.8 and (named & ~real).sum() > 50
+    assert said[real & ~named].mean() > 0.8 and (real & ~named).sum() > 50
+
+
+def test_secrets_of_all_lengths_and_marks_and_rows_without_ids(spark):
+    real = ["password=hunter22", "password: p@ss!w0rd#2024xyz", 'db_password = "Tr0ub4dor&3"', "ssh 9fKq2LmX8vRt3WzB7nYc5PdH1sGj6TaQ4eUo0iVbNxZ", '"secret":"correcthorsebatterystaple"']
+    fake = ["max_tokens=4096000", "commit 3f2a9b1c3f2a9b1c3f2a9b1c3f2a9b1c3f2a9b1c", "request_id=550e8400-e29b-41d4-a716-446655440000", "/usr/lib/python3/dist-packages/foo.so.1", "password=changeme"]
+    lines = [f"we set {x} there and then" for x in real + fake]
+    small = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    docs = small.unionByName(spark.createDataFrame([(None, t) for t in lines] + [(10**6, lines[0])] * 2, "doc_id long, text string"))
+    masked = [r.text for r in secret_scan.redact(docs, secret_scan.scan(docs)).filter("doc_id is null or doc_id = 1000000").collect()]
+    left = [x for x in real if any(x in t for t in masked)]
+    assert len(masked) == 12 and left == [] and sum(secret_scan.MASK in t for t in masked) == 7, masked
+    assert all(any(x in t for t in masked) for x in fake)
+
+
 # --- the pipeline
 
 
