@@ -1,21 +1,26 @@
 """N-gram Jaccard join: which documents share 75 % of their word 5-grams, by signature trees.
 
-1. Each text becomes the set of 64-bit hashes of its word 5-grams. Equal sets are one class from then on,
-   whose representative is its smallest doc_id.
+1. Each text becomes the set of 64-bit hashes of its word 5-grams. Equal sets are one class from then on, named by
+   64 bits of all its hashes.
 2. A class announces its smallest hashes: as many as two linked sets cannot avoid sharing (the prefix
-   filter), and a tenth of the set more, so that linked sets share several. Classes that share fewer with
-   anyone than any link needs are out. Those that are left announce all their hashes and keep the rarest, as
-   many as the prefix filter asks for; what still shares one is routed into groups by connected components.
+   filter), and a tenth of the set more, so that linked sets share several. Each batch of rows announces a class
+   once, and a hash that several of its classes have twice, so that no hash gathers all its rows in a task. Classes
+   that share fewer with anyone than any link needs are out. Those that are left announce all their hashes and
+   keep the rarest, as many as the prefix filter asks for; what still shares one is routed into groups by
+   connected components.
 3. In a group a signature tree is built: its leaves hold a bitmap of a set's hashes, the nodes above the OR
-   of their children's bitmaps and the range of their sizes. Two copies of the tree are traversed together;
-   a pair of nodes is pruned if no sets below them can overlap enough by bitmaps and sizes, or if all of
-   them are in one component already. Pairs of leaves that are left are verified on the sets themselves.
-4. A group over ``CHUNK`` hashes is cut into chunks: each is joined alone, then the roots of what was
-   linked, then those pairs of chunks that are not yet in one component. No group meets in one task.
-
-Texts without a word have the empty set and are linked with nothing. Rows of one doc_id with different
-texts count as linked; repeated rows stay repeated; a null doc_id never represents a class. Other columns
-are dropped.
+   of their children's bitmaps and the ranges of their sizes and of the labels of what is connected already. Two
+   copies of the tree are traversed together; a pair of nodes is pruned if no sets below them can overlap enough by
+   bitmaps and sizes, or if all of them have one label. Pairs of leaves that are left are verified on the sets
+   themselves. Sets with equal smallest hashes are tried first, and the tree is ordered by label, so that a group of
+   near copies, whose pairs are all links, is one label before its pairs are enumerated.
+4. A group is dealt out in parts of ``PART``, each linked alone. Of groups with several parts, the roots of what was
+   linked are joined next, then all sets that are not yet of one label, by pairs of chunks of ``CHUNK``. Chunks are
+   cut by size too, and only chunks whose sizes can link are paired. No group meets in one task.
+
+Texts without a word have the empty set and are linked with nothing. Each row is a document of its own, repeated
+rows and rows with a null doc_id too; a null doc_id is linked like others, but names no component unless no
+other document is in it. Other columns are dropped.
 """
 
 from __future__ import annotations
@@ -27,11 +32,11 @@ from pyspark.sql import functions as F
 
 from filigree.operators.components import connected_components
 
-from .common import chunks, discard, saved
+from .common import chunks, discard, fresh, saved
 
 WORDS = 5
-#: Hashes of one group that a task takes at most from each side.
-CHUNK = 2_000_000
+#: What a task takes of one group at most from each side, and what of it is dealt out first: a set of n hashes counts as n + EACH.
+CHUNK, PART, EACH = 2_000_000, 50_000, 256
 #: Ids that may be broadcast (some 24 MB); beyond, the tables are joined by shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -108,57 +113,100 @@ def shared_need(n: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.ceil(n * 3 / 4) / 10))
 
 
+def class_of(s: np.ndarray) -> int:
+    """The name of a set: 64 bits of all its hashes and their number."""
+    return int(_mix(_mix(s ^ _BASE).sum(dtype=np.uint64, keepdims=True) ^ (s.sum(dtype=np.uint64, keepdims=True) * _MIX) ^ np.uint64(len(s)))[0])
+
+
+def _named(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.array([class_of(s) for s in sets], np.uint64).view(np.int64))
+
+
 def _sets(batches):
-    """(doc_id, n, k1, k2, prefix) for each text: k1 and k2 name the set."""
+    """(doc_id, t1, t2, n, class, prefix) for each row (doc_id, t1, t2, text)."""
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for start, part in chunks(texts):
+        for start, part in chunks(batch.column(3).to_pylist()):
             sets = shingle_sets(part)
-            k1 = np.array([s.sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64)
-            k2 = np.array([_mix(s ^ _BASE).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64)
+            own = [batch.column(k).slice(start, len(part)) for k in range(3)]
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(start, len(part)), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
-                 pa.array([s[: prefix_size(len(s))].tobytes() for s in sets], pa.binary())],
-                ["doc_id", "n", "k1", "k2", "prefix"],
+                [*own, pa.array([len(s) for s in sets], pa.int64()), _named(sets), pa.array([s[: prefix_size(len(s))].tobytes() for s in sets], pa.binary())],
+                ["doc_id", "t1", "t2", "n", "class", "prefix"],
             )
 
 
+def _exploded(batch) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and their classes of (class, hashes), each class once."""
+    ids, raw = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+    first = np.unique(ids, return_index=True)[1]
+    raw = [raw[k] for k in first]
+    return np.frombuffer(b"".join(raw), np.int64), np.repeat(ids[first], [len(r) // 8 for r in raw])
+
+
+def _in_pieces(columns: dict, size: int = 1 << 18):
+    whole = pa.RecordBatch.from_pydict(columns)
+    for k in range(0, whole.num_rows, size):
+        yield whole.slice(k, size)
+
+
+def _hashes(batches):
+    """(h, class) for each hash of each class."""
+    for batch in batches:
+        h, ids = _exploded(batch)
+        yield from _in_pieces({"h": h, "class": ids})
+
+
 def _announced(batches):
-    """(h, doc_id) for each announced hash."""
+    """(h, class, c) for each announced hash: c is 0, or -1 if the class is counted already.
+
+    Hashes that several classes of the batch have are counted here: a row with c over 0 (and any h) says how many
+    such hashes the class has; of such a hash only two classes are sent on, for those of other batches.
+    """
     for batch in batches:
-        raw = batch.column(1).to_pylist()
-        size = [len(r) // 8 for r in raw]
-        h = np.frombuffer(b"".join(raw), np.int64)
-        ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), size)
-        for k in range(0, len(h), 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array(h[k : k + (1 << 18)]), pa.array(ids[k : k + (1 << 18)])], ["h", "doc_id"])
+        h, ids = _exploded(batch)
+        if not len(h):
+            continue
+        order = np.lexsort((ids, h))
+        h, ids = h[order], ids[order]
+        new = np.r_[True, h[1:] != h[:-1]]
+        at = np.flatnonzero(new)
+        many = np.diff(np.r_[at, len(h)])
+        rank = np.arange(len(h)) - np.repeat(at, many)
+        shared = np.repeat(many > 1, many)
+        found, c = np.unique(ids[shared], return_counts=True)
+        keep = rank < 2
+        yield from _in_pieces({"h": np.r_[h[keep], found], "class": np.r_[ids[keep], found], "c": np.r_[-shared[keep].astype(np.int64), c]})
 
 
 def _shared(batches):
-    """(doc_id, c) from rows sorted by h and doc_id: how many of its hashes another doc_id has too, in parts.
+    """(class, c) from rows of ``_announced`` sorted by h and class: how many of its hashes another class has too, in parts.
 
-    One row is held back between batches.
+    What is known of the last hash is held back between batches: class, whether another one had it, whether it is counted.
     """
-    last: tuple[int, int, bool] | None = None
+    last = None
 
     def counted(ids):
         found, c = np.unique(ids, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(c, pa.int64())], ["doc_id", "c"])
+        return pa.RecordBatch.from_pydict({"class": found.astype(np.int64), "c": c.astype(np.int64)})
 
     for batch in batches:
-        h, d = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        h, d, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        told = c > 0
+        if told.any():
+            yield pa.RecordBatch.from_pydict({"class": d[told], "c": c[told]})
+        h, d, done = h[~told], d[~told], c[~told] < 0
         if not len(h):
             continue
         before = last is not None and last[2]
         if last is not None:
-            h, d = np.r_[last[0], h], np.r_[last[1], d]
-        new = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]
-        h, d = h[new], d[new]
+            h, d, done = np.r_[last[0], h], np.r_[last[1], d], np.r_[last[3], done]
+        start = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
+        done = np.maximum.reduceat(done, start)
+        h, d = h[start], d[start]
         same = h[1:] == h[:-1]
         twice = np.r_[before, same] | np.r_[same, False]
-        last = (int(h[-1]), int(d[-1]), bool(twice[-1]))
-        yield counted(d[:-1][twice[:-1]])
-    if last is not None and last[2]:
+        last = (int(h[-1]), int(d[-1]), bool(twice[-1]), bool(done[-1]))
+        yield counted(d[:-1][twice[:-1] & ~done[:-1]])
+    if last is not None and last[2] and not last[3]:
         yield counted(np.array([last[1]]))
 
 
@@ -203,31 +251,93 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= 75 * (len(a) + len(b) - common)
 
 
+class Labels:
+    """What is connected: labels that unite, the smaller one stays."""
+
+    def __init__(self, label: np.ndarray):
+        self.own, self.parent, self.changed = label, np.arange(int(label.max()) + 1), False
+
+    def find(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = x = self.parent[self.parent[x]]
+        return int(x)
+
+    def unite(self, i: int, j: int) -> bool:
+        """Of sets i and j; False if they were one before."""
+        a, b = self.find(self.own[i]), self.find(self.own[j])
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+            self.changed = True
+        return a != b
+
+    def all(self) -> np.ndarray:
+        while not np.array_equal(up := self.parent[self.parent], self.parent):
+            self.parent = up
+        self.changed = False
+        return self.parent[self.own]
+
+
+def _first_tries(sets: list[np.ndarray], orders: int = 4) -> np.ndarray:
+    """Pairs of sets next to each other among those that have one smallest hash, by several orders of the hashes."""
+    at = np.cumsum([0, *map(len, sets[:-1])])
+    whole, found = np.concatenate(sets), []
+    for k in range(orders):
+        low = np.minimum.reduceat(_mix(whole ^ _BYTE[k]), at)
+        order = np.argsort(low, kind="stable")
+        same = np.flatnonzero(low[order][1:] == low[order][:-1])
+        found.append(np.c_[order[same], order[same + 1]])
+    return np.concatenate(found)
+
+
 def link(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Pairs of linked sets that join all of them that links connect, given who is connected already.
+    """Pairs of linked sets that join all of them that links connect, given who is connected already (label, from 0).
 
     side: with it, only pairs from different sides are looked at.
     """
     if len(sets) < 2:
         return []
-    order = sorted(range(len(sets)), key=lambda k: (int(sets[k][0]), len(sets[k]), k))
-    label, found = label[order].copy(), []
+    labels, found = Labels(label), []
+
+    def try_(a: int, b: int) -> None:
+        if labels.find(label[a]) != labels.find(label[b]) and similar(sets[a], sets[b]):
+            labels.unite(a, b)
+            found.append((a, b))
+
+    for a, b in _first_tries(sets).tolist():
+        if side is None or side[a] != side[b]:
+            try_(a, b)
+    now = labels.all()
+    order = np.array(sorted(range(len(sets)), key=lambda k: (now[k], int(sets[k][0]), len(sets[k]), k)))
     mean = sum(map(len, sets)) / len(sets)
     tree = SignatureTree([sets[k] for k in order], 1 << min(16, max(8, int(4 * mean).bit_length())))
-    side = None if side is None else side[order]
     slab = max(64, (1 << 23) // (8 * tree.words))
     top = len(tree.levels) - 1
-    stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+
+    def ranges() -> list[tuple[np.ndarray, np.ndarray]]:
+        """The smallest and the largest label below each node, by level."""
+        low = high = labels.all()[order]
+        out = [(low, high)]
+        for _ in range(top):
+            at = np.arange(0, len(low), SignatureTree.FAN)
+            low, high = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
+            out.append((low, high))
+        return out
+
+    span, stack = ranges(), [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         level, i, j = stack.pop()
         if len(i) > slab:
             stack += [(level, i[k : k + slab], j[k : k + slab]) for k in range(0, len(i), slab)][::-1]
             continue
+        if labels.changed:
+            span = ranges()
+        low, high = span[level]
+        keep = ~((low[i] == high[i]) & (low[j] == high[j]) & (low[i] == low[j]))
         if not level:
-            keep = (i < j) & (label[i] != label[j])
+            keep &= i < j
             if side is not None:
-                keep &= side[i] != side[j]
-            i, j = i[keep], j[keep]
+                keep &= side[order[i]] != side[order[j]]
+        i, j = i[keep], j[keep]
         keep = tree.may_link(level, i, j, tree)
         i, j = i[keep], j[keep]
         if level:
@@ -238,10 +348,8 @@ def link(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray | None = No
             if len(a):
                 stack.append((level - 1, a[keep], b[keep]))
             continue
-        for a, b in zip(i.tolist(), j.tolist(), strict=True):
-            if label[a] != label[b] and similar(tree.sets[a], tree.sets[b]):
-                found.append((order[a], order[b]))
-                label[label == label[b]] = label[a]
+        for a, b in zip(order[i].tolist(), order[j].tolist(), strict=True):
+            try_(a, b)
     return found
 
 
@@ -289,58 +397,67 @@ def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.drop("label").join(found, "doc_id", "left").withColumn("label", F.coalesce("_root", "doc_id")).drop("_root")
 
 
-def _links(members: DataFrame, chunk: int) -> DataFrame:
+def _bucket() -> Column:
+    """A set links only with those of its own size class or the one before or behind it."""
+    return F.floor(F.log(4 / 3, F.col("n"))).cast("long")
+
+
+def _links(members: DataFrame, chunk: int, part: int) -> DataFrame:
     """Links that connect what is to be connected, of members (component, doc_id, n, set)."""
-    size = members.groupBy("component").agg(F.sum("n").alias("_n"))
-    parts = size.select("component", F.ceil(F.col("_n") / chunk).cast("int").alias("parts"))
+    size = members.groupBy("component").agg(F.sum(F.col("n") + EACH).alias("_n"))
+    parts = size.select("component", F.ceil(F.col("_n") / part).alias("parts"))
     members = members.join(parts, "component").withColumn("label", F.col("doc_id")).withColumn("side", F.lit(0))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("parts").cast("long")).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
     links = saved(_join(members.withColumn("chunk", own), ["component", "chunk"]))
     large = members.filter("parts > 1")
     if large.isEmpty():
         return links
     labelled = saved(_relabel(large, links))
     roots = labelled.filter("doc_id = label")
-    links = links.unionByName(saved(_across(roots, chunk)))
-    return links.unionByName(saved(_across(_relabel(large, links), chunk)))
+    links = links.unionByName(saved(_across(roots, chunk, part)))
+    return links.unionByName(saved(_across(_relabel(large, links), chunk, part)))
 
 
-def _across(members: DataFrame, chunk: int) -> DataFrame:
+def _across(members: DataFrame, chunk: int, part: int) -> DataFrame:
     """Links between and inside the chunks of members that are not yet connected.
 
-    Chunks are cut so that most hold members of one label; a pair of chunks with one label needs no look.
+    Chunks hold sets of one size class; a label with a part's worth of sets has chunks of its own, the others share
+    theirs. A pair of chunks with one label, or of sizes too far apart, needs no look.
     """
-    size = members.groupBy("component", "label").agg(F.sum("n").alias("_n"))
-    total = members.groupBy("component").agg(F.ceil(F.sum("n") / chunk).cast("long").alias("_all"))
-    share = size.join(total, "component").select(
-        "component", "label", F.when(F.col("_n") >= chunk, F.col("label")).alias("_own"), F.ceil(F.col("_n") / chunk).cast("long").alias("_m"), "_all"
+    members = members.withColumn("bucket", _bucket())
+    weight = F.sum(F.col("n") + EACH)
+    size = members.groupBy("component", "bucket", "label").agg(weight.alias("_n"))
+    total = members.groupBy("component", "bucket").agg(F.ceil(weight / chunk).alias("_all"))
+    share = size.join(total, ["component", "bucket"]).select(
+        "component", "bucket", "label", (F.col("_n") >= part).alias("_own"), F.ceil(F.col("_n") / part).alias("_m"), "_all"
     )
-    cut = members.join(share, ["component", "label"])
-    # A label with a chunk's worth of hashes has chunks of its own; the others share theirs by hash.
-    cut = cut.withColumn("chunk", F.when(F.col("_own").isNotNull(), F.xxhash64("label", F.pmod(F.xxhash64("doc_id"), F.col("_m")))).otherwise(F.pmod(F.xxhash64("label"), F.col("_all"))))
-    cut = saved(cut.select("component", "doc_id", "n", "set", "label", "chunk"))
-    seen = saved(cut.groupBy("component", "chunk").agg(F.min("label").alias("lo"), F.max("label").alias("hi")))
-    x, y = (seen.select("component", *(F.col(c).alias(f"{c}{k}") for c in ("chunk", "lo", "hi"))) for k in (1, 2))
+    cut = members.join(share, ["component", "bucket", "label"])
+    alone = F.xxhash64("label", "bucket", F.pmod(F.xxhash64("doc_id"), F.col("_m")))
+    cut = cut.withColumn("chunk", F.when(F.col("_own"), alone).otherwise(F.xxhash64(F.lit("shared"), "bucket", F.pmod(F.xxhash64("label"), F.col("_all")))))
+    cut = saved(cut.select("component", "doc_id", "n", "set", "label", "bucket", "chunk"))
+    seen = saved(cut.groupBy("component", "bucket", "chunk").agg(F.min("label").alias("lo"), F.max("label").alias("hi")))
+    x, y = (seen.select("component", *(F.col(c).alias(f"{c}{k}") for c in ("bucket", "chunk", "lo", "hi"))) for k in (1, 2))
     one = (F.col("lo1") == F.col("hi1")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo1") == F.col("lo2"))
-    pairs = x.join(y, "component").filter((F.col("chunk1") <= F.col("chunk2")) & ~one).select("component", "chunk1", "chunk2")
+    near = (F.col("bucket1") < F.col("bucket2")) & (F.col("bucket2") - F.col("bucket1") <= 1) | (F.col("bucket1") == F.col("bucket2")) & (F.col("chunk1") <= F.col("chunk2"))
+    pairs = x.join(y, "component").filter(near & ~one).select("component", "chunk1", "chunk2")
     left = pairs.withColumn("chunk", F.col("chunk1")).withColumn("side", F.lit(0))
-    right = pairs.filter("chunk1 < chunk2").withColumn("chunk", F.col("chunk2")).withColumn("side", F.lit(1))
+    right = pairs.filter("chunk1 <> chunk2").withColumn("chunk", F.col("chunk2")).withColumn("side", F.lit(1))
     rows = cut.join(left.unionByName(right), ["component", "chunk"])
     return _join(rows, ["component", "chunk1", "chunk2"], sides=True)
 
 
 def _full(batches):
-    """(doc_id, n, set) of (doc_id, text): the whole set."""
+    """(class, n, set) of (text): the whole set of each class, once a batch."""
     for batch in batches:
-        for start, part in chunks(batch.column(1).to_pylist()):
-            found = shingle_sets(part)
+        for _, part in chunks(batch.column(0).to_pylist()):
+            found = list({class_of(s): s for s in shingle_sets(part) if len(s)}.values())
             n, raw = pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), n, raw], ["doc_id", "n", "set"])
+            yield pa.RecordBatch.from_arrays([_named(found), n, raw], ["class", "n", "set"])
 
 
 def _by_hash(rows: DataFrame) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "h").sortWithinPartitions("h", "doc_id")
+    return rows.repartition(parts, "h").sortWithinPartitions("h", "class")
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -348,40 +465,73 @@ def _small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
-def near_components(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def near_components(docs: DataFrame, chunk: int = CHUNK, part: int = PART) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = saved(texts.mapInArrow(_sets, "doc_id long, n long, k1 long, k2 long, prefix binary"))
-    named = saved(sets.select("doc_id", "n", "k1", "k2"))
-    classes = saved(named.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")))
-    # A doc_id with several texts needs as many shared hashes as the least of them.
-    reps = classes.filter("n > 0").groupBy(F.col("rep").alias("doc_id")).agg(F.min("n").alias("_n"))
-    announced = sets.filter("doc_id is not null and n > 0").select("doc_id", "prefix").mapInArrow(_announced, "h long, doc_id long")
-    parts = saved(_by_hash(announced).mapInArrow(_shared, "doc_id long, c long"))
+    return _components(docs.select("doc_id", "text"), chunk, part).select("doc_id", "n_shingles", "component_id")
+
+
+def _components(docs: DataFrame, chunk: int, part: int) -> DataFrame:
+    """(doc_id, t1, t2, n_shingles, component_id, root): t1 and t2 name the row's text, root its component."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_text_keys(), "text")
+    sets = saved(texts.mapInArrow(_sets, "doc_id long, t1 long, t2 long, n long, class long, prefix binary"))
+    named = saved(sets.drop("prefix"))
+    classes = saved(named.filter("n > 0").groupBy("class").agg(F.min("n").alias("n"), F.min("doc_id").alias("rep"), F.min(F.struct("t1", "t2")).alias("t")))
+    announced = sets.filter("n > 0").select("class", "prefix").mapInArrow(_announced, "h long, class long, c long")
+    parts = saved(_by_hash(announced).mapInArrow(_shared, "class long, c long"))
     discard(sets)
-    count = parts.groupBy("doc_id").agg(F.sum("c").alias("_c")).join(reps, "doc_id")
-    able = saved(count.filter(F.col("_c") >= shared_need(F.col("_n"))).select(F.col("doc_id").alias("_id")))
-    picked = texts.join(_small(able), F.col("doc_id") == F.col("_id")).select("doc_id", "text")
-    full = saved(picked.mapInArrow(_full, "doc_id long, n long, set binary").filter("n > 0"))
+    count = parts.groupBy("class").agg(F.sum("c").alias("_c")).join(classes.select("class", "n", "t"), "class")
+    able = saved(count.filter(F.col("_c") >= shared_need(F.col("n"))).select("t.t1", "t.t2"))
+    picked = texts.select("t1", "t2", "text").join(_small(able), ["t1", "t2"], "left_semi").select("text")
+    full = saved(picked.mapInArrow(_full, "class long, n long, set binary").groupBy("class").agg(F.first("n").alias("n"), F.first("set").alias("set")))
     # All hashes of those that are left, the rarest first: the prefix filter in its usual order.
-    each = full.select("doc_id", "set").mapInArrow(_announced, "h long, doc_id long")
+    each = full.select("class", "set").mapInArrow(_hashes, "h long, class long")
     blocks = each.groupBy("h").agg(F.count("*").alias("_size")).filter("_size > 1")
-    order = Window.partitionBy("doc_id").orderBy("_size", "h")
-    ranked = each.join(blocks, "h").withColumns({"_rank": F.row_number().over(order), "_all": F.count("*").over(Window.partitionBy("doc_id"))})
-    size = full.groupBy("doc_id").agg(F.max("n").alias("_n"), F.count("*").alias("_rows"))
-    # Its hashes that nobody shares come first. A doc_id with several rows keeps all that it shares.
-    rare = F.col("_rank") + F.col("_n") - F.col("_all") <= F.col("_n") - F.ceil(F.col("_n") * 3 / 4) + 1
-    kept = saved(ranked.join(size, "doc_id").filter((F.col("_rows") > 1) | rare).select("h", "doc_id"))
-    again = kept.groupBy("h").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("_last")).filter("hub < _last").drop("_last")
-    edges = kept.join(again, "h").select("doc_id", "hub").distinct()
-    routes = connected_components(edges, "doc_id", "hub")
+    order = Window.partitionBy("class").orderBy("_size", "h")
+    ranked = each.join(blocks, "h").withColumns({"_rank": F.row_number().over(order), "_all": F.count("*").over(Window.partitionBy("class"))})
+    # Its hashes that nobody shares come first.
+    rare = F.col("_rank") + F.col("n") - F.col("_all") <= F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1
+    kept = saved(ranked.join(full.select("class", "n"), "class").filter(rare).select("h", "class"))
+    again = kept.groupBy("h").agg(F.min("class").alias("hub"), F.max("class").alias("_last")).filter("hub < _last").drop("_last")
+    edges = kept.join(again, "h").select("class", "hub").distinct()
+    routes = connected_components(edges, "class", "hub")
     sizes = routes.groupBy("component").count().filter("count > 1").select("component")
-    members = saved(routes.join(sizes, "component", "left_semi").select(F.col("id").alias("_id"), "component"))
-    whole = full.join(_small(members), F.col("doc_id") == F.col("_id")).select("component", "doc_id", "n", "set")
-    links = _links(whole, chunk)
-    # One doc_id may represent more classes than one, if its rows differ; they meet in its id.
-    roots = connected_components(links, "a", "b").select(F.col("id").alias("rep"), F.col("component").alias("_root"))
-    rooted = classes.join(roots, "rep", "left").select("k1", "k2", F.col("n").alias("n"), F.coalesce("_root", "rep").alias("_root"))
-    out = named.join(rooted, ["k1", "k2", "n"])
-    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("_root"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    members = saved(routes.join(sizes, "component", "left_semi").select(F.col("id").alias("class"), "component"))
+    whole = full.join(_small(members), "class").select("component", F.col("class").alias("doc_id"), "n", "set")
+    links = _links(whole, chunk, part)
+    roots = connected_components(links, "a", "b").select(F.col("id").alias("class"), F.col("component").alias("_root"))
+    rooted = classes.select("class", "rep").join(roots, "class", "left").withColumn("_root", F.coalesce("_root", "class"))
+    least = rooted.groupBy("_root").agg(F.min("rep").alias("component_id"))
+    found = rooted.join(least, "_root").select("class", "component_id", F.col("_root").alias("root"))
+    out = named.join(found, "class", "left")
+    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "t1", "t2", F.col("n").alias("n_shingles"), own.alias("component_id"), "root")
+
+
+def _text_keys() -> list[Column]:
+    """128 bits of hashes of the text."""
+    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), F.col("text")).alias("t2")]
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of linked ones: that of the smallest doc_id, one of repeated ones. All columns stay.
+
+    Rows without a doc_id come last in their group; texts without a word all stay.
+    """
+    keys = ["_doc", "t1", "t2"]
+    rows = saved(_components(docs, CHUNK, PART).filter("n_shingles > 0").withColumnRenamed("doc_id", "_doc").select(*keys, "root"))
+    first = F.min(F.struct(F.col("_doc").isNull().alias("none"), *keys))
+    groups = rows.groupBy("root").agg(first.alias("f"), F.count("*").alias("many")).filter("many > 1")
+    stays = F.col("_doc").eqNullSafe(F.col("f._doc")) & (F.col("t1") == F.col("f.t1")) & (F.col("t2") == F.col("f.t2"))
+    told = saved(rows.join(groups, "root").select(*keys, stays.alias("stays")).groupBy(*keys, "stays").agg(F.count("*").alias("many")))
+    own = [fresh(docs, k) for k in keys]
+    named = docs.withColumns(dict(zip(own, [F.col("doc_id").cast("long"), *_text_keys()], strict=True)))
+
+    def meet(df: DataFrame, others: DataFrame, how: str) -> DataFrame:
+        others = _small(others.select(*(F.col(k).alias(f"_of_{o}") for k, o in zip(keys, own, strict=True))))
+        on = [F.col(o).eqNullSafe(F.col(f"_of_{o}")) for o in own]
+        return df.join(others, on[0] & on[1] & on[2], how)
+
+    left, twice = meet(named, told.filter("not stays"), "left_anti"), told.filter("stays and many > 1")
+    if not twice.isEmpty():
+        left = meet(left, twice, "left_anti").unionByName(meet(left, twice, "left_semi").dropDuplicates(own))
+    return left.select(*docs.columns)

@@ -4,9 +4,9 @@ Writing: each payload becomes one 8-bit grey image (PNG, rows of 576 samples, wr
 images into archives (ZIP, members stored) in the shared folder and reports them to a manifest. A task that
 runs again writes new archives; only what the manifest names is read.
 
-Reading: the data source ``media_archive`` plans byte ranges over the archives, without reading them. A range
-reads its archive's directory and streams the members that begin inside it as Arrow batches; a member that
-fails is read again by its offset, without the others.
+Reading: the data source ``media_archive`` plans byte ranges over the archives, without reading them. A range opens
+its archive once, reads its directory and streams the members that begin inside it as Arrow batches; only for a
+member that fails is the file opened again, and the member read by its offset without the others.
 
 A null text is the empty payload, which is padded to one row. A null doc_id stays null; repeated rows are
 members of their own. Other columns are dropped; an empty table gives no rows.
@@ -155,40 +155,50 @@ class ArchiveReader(DataSourceReader):
         if not part.path:
             return
         files, own = _files(part.path)
+        names, offsets, media, held = [], [], [], 0
         with files.open_input_file(own) as file:
             members = [m for m in zipfile.ZipFile(file).infolist() if part.start <= m.header_offset < part.end]
-        names, offsets, media, held = [], [], [], 0
-        for m in members:
-            data = read_member(files, own, m)
-            names.append(m.filename)
-            offsets.append(m.header_offset)
-            media.append(data)
-            held += len(data)
-            if held >= BATCH_BYTES:
-                yield _batch(part.path, names, offsets, media)
-                names, offsets, media, held = [], [], [], 0
+            for m in members:
+                data = read_member(files, own, m, file)
+                names.append(m.filename)
+                offsets.append(m.header_offset)
+                media.append(data)
+                held += len(data)
+                if held >= BATCH_BYTES:
+                    yield _batch(part.path, names, offsets, media)
+                    names, offsets, media, held = [], [], [], 0
         if names:
             yield _batch(part.path, names, offsets, media)
 
 
-def read_member(files, path: str, member: zipfile.ZipInfo, attempts: int = ATTEMPTS) -> bytes:
-    """A member's bytes by its offset; after a failure the file is opened anew, up to ``attempts`` times."""
-    for left in reversed(range(attempts)):
-        try:
-            with files.open_input_file(path) as file:
-                file.seek(member.header_offset)
-                head = file.read(30)
-                name, extra = struct.unpack_from("<HH", head, 26)
-                file.seek(member.header_offset + 30 + name + extra)
-                data = file.read(member.compress_size)
-            if head[:4] != b"PK\x03\x04" or zlib.crc32(data) != member.CRC:
-                raise OSError(f"damaged member at {member.header_offset} of {path}")
-            return data
-        except OSError:
-            if not left:
-                raise
-            time.sleep(0.1 * (attempts - left))
-    raise AssertionError
+def member_at(file, member: zipfile.ZipInfo) -> bytes:
+    """A member's bytes by its offset, verified."""
+    file.seek(member.header_offset)
+    head = file.read(30)
+    if head[:4] != b"PK\x03\x04":
+        raise OSError(f"no member at {member.header_offset}")
+    name, extra = struct.unpack_from("<HH", head, 26)
+    file.seek(member.header_offset + 30 + name + extra)
+    data = file.read(member.compress_size)
+    if zlib.crc32(data) != member.CRC:
+        raise OSError(f"damaged member at {member.header_offset}")
+    return data
+
+
+def read_member(files, path: str, member: zipfile.ZipInfo, file, attempts: int = ATTEMPTS) -> bytes:
+    """A member's bytes by the range's open file; only after a failure the file is opened anew, up to ``attempts`` times in all."""
+    try:
+        return member_at(file, member)
+    except OSError:
+        for left in reversed(range(attempts - 1)):
+            time.sleep(0.1 * (attempts - left - 1))
+            try:
+                with files.open_input_file(path) as again:
+                    return member_at(again, member)
+            except OSError:
+                if not left:
+                    raise
+        raise
 
 
 def _batch(path, names, offsets, media):

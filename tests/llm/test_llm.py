@@ -273,14 +273,61 @@ def test_decontamination_of_odd_rows(spark, odd, none):
 # --- 6 Jaccard join
 
 
-@pytest.mark.parametrize(("seed", "chunk"), [(1, jaccard_join.CHUNK), (2, 150)])
-def test_components_of_links_are_exact(spark, seed, chunk):
+@pytest.mark.parametrize(("seed", "chunk", "part"), [(1, jaccard_join.CHUNK, jaccard_join.PART), (2, 3000, 900)])
+def test_components_of_links_are_exact(spark, seed, chunk, part):
     docs = corpus(seed)
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_components(df, chunk).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_components(df, chunk, part).collect()}
     assert got == components(docs)
 
 
+def test_hashes_shared_within_and_across_batches_are_counted():
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    held = {c: sorted(rng.sample(range(100, 160), rng.randint(0, 12))) for c in range(40)}
+    batch = lambda ids: pa.RecordBatch.from_pydict({"class": pa.array(ids, pa.int64()), "p": [np.array(held[c], "<i8").tobytes() for c in ids]})
+    order = [rng.randrange(40) for _ in range(90)]
+    sent = list(jaccard_join._announced(batch(order[k : k + 9]) for k in range(0, 90, 9)))
+    rows = sorted((r["h"], r["class"], r["c"]) for b in sent for r in b.to_pylist())
+    back = [pa.RecordBatch.from_pydict({n: pa.array(x, pa.int64()) for n, x in zip(("h", "class", "c"), zip(*rows[k : k + 7], strict=True), strict=True)}) for k in range(0, len(rows), 7)]
+    got = collections.Counter()
+    for b in jaccard_join._shared(back):
+        for r in b.to_pylist():
+            got[r["class"]] += r["c"]
+    seen = set(order)
+    want = {c: sum(any(h in held[o] for o in seen - {c}) for h in held[c]) for c in seen}
+    assert all(got[c] >= want[c] for c in seen) and {c for c in seen if got[c]} == {c for c in seen if want[c]}
+
+
+def test_linking_near_copies_grows_with_their_number():
+    import time
+
+    rng, took = np.random.default_rng(1), []
+    for n in (4000, 8000, 16000):
+        base = rng.integers(0, 1 << 62, 40).astype(np.uint64)
+        sets = [base.copy() for _ in range(n)]
+        for s in sets:
+            k = rng.integers(0, 4)
+            s[rng.choice(40, k, False)] = rng.integers(0, 1 << 62, k).astype(np.uint64)
+        sets = [np.unique(s) for s in sets]
+        began = time.process_time()
+        assert len(jaccard_join.link(sets, np.arange(n))) == n - 1
+        took.append(time.process_time() - began)
+    assert took[2] < 8 * took[0]
+
+
+def test_one_of_each_group_stays(spark, odd, none):
+    w = [f"w{k}" for k in range(40)]
+    rows = [(None, " ".join(w)), (None, " ".join(w)), (3, " ".join(w + ["x"])), (3, " ".join(w + ["x"])), (2, " ".join(w + ["y"])), (None, "alone here"), (None, "alone here"), (7, "other"), (7, "text"), (8, ""), (9, None)]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, t1 int").repartition(3)
+    groups = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard_join.near_components(docs).collect() if r.n_shingles > 1)
+    assert groups == [(0, 36, 2), (0, 36, 2), (2, 37, 2), (3, 37, 2), (3, 37, 2)]
+    left = jaccard_join.keep_one(docs)
+    assert left.columns == docs.columns and sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, "alone here"), (2, rows[4][1]), (7, "other"), (7, "text"), (8, ""), (9, "")]
+    assert jaccard_join.keep_one(none).count() == 0 and jaccard_join.keep_one(odd).columns == odd.columns
+
+
 def test_signature_tree_finds_every_component():
     rng = random.Random(3)
     docs = [d for s in range(5) for d in corpus(s, 80) if d]
@@ -428,9 +475,34 @@ def test_members_are_read_again_by_offset(tmp_path):
                 raise OSError("lost")
             return local.open_input_file(p)
 
-    assert media.read_member(Flaky(), str(path), member) == b"two" * 100 and len(calls) == 3
+    class Lost:
+        def seek(self, at):
+            raise OSError("lost")
+
+    assert media.read_member(Flaky(), str(path), member, Lost()) == b"two" * 100 and len(calls) == 3
     with pytest.raises(OSError):
-        media.read_member(Flaky.__new__(type("Never", (), {"open_input_file": lambda s, p: (_ for _ in ()).throw(OSError())})), str(path), member, 2)
+        media.read_member(Flaky.__new__(type("Never", (), {"open_input_file": lambda s, p: (_ for _ in ()).throw(OSError())})), str(path), member, Lost(), 2)
+
+
+def test_a_range_opens_its_archive_once(tmp_path, monkeypatch):
+    import zipfile
+
+    from pyarrow import fs
+
+    path, opened = tmp_path / "a.zip", []
+    with zipfile.ZipFile(path, "w") as z:
+        for k in range(200):
+            z.writestr(f"{k}_{k}.png", bytes([k]) * 1000)
+
+    class Counting:
+        def open_input_file(self, p):
+            opened.append(p)
+            return fs.LocalFileSystem().open_input_file(p)
+
+    monkeypatch.setattr(media, "_files", lambda p: (Counting(), p))
+    cuts = [0, 70_000, 150_000, path.stat().st_size]
+    got = [x for a, b in zip(cuts, cuts[1:], strict=False) for batch in media.ArchiveReader({"path": ""}).read(media.Range(str(path), a, b)) for x in batch.column("media").to_pylist()]
+    assert got == [bytes([k]) * 1000 for k in range(200)] and len(opened) == 3
 
 
 # --- 10 secrets
