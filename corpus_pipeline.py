@@ -2,8 +2,8 @@
 
 Toxic documents go; of each group of near copies the document with the smallest id stays; documents that
 hold a benchmark item go; secrets are masked; what is left is packed into sequences. All but the last
-stage return the columns of the documents. A document without an id cannot be told from others and is
-kept by the first four stages unless its text is toxic.
+stage return the columns of the documents. Decisions act on rows by their texts, so rows without an id and
+repeated ones are treated like others; of repeated rows with words one stays.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree.llm import decontaminate, jaccard_join, packing, secret_scan, toxicity
-from filigree.llm.common import saved, table, without
+from filigree.llm.common import saved, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_join.near_components(docs.select("doc_id", "text"))
-    return without(docs, groups.filter("component_id < doc_id").select("doc_id"), "doc_id")
+    return jaccard_join.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +30,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    masked = secret_scan.redact(docs, secret_scan.scan(docs.select("doc_id", "text")))
+    masked = secret_scan.redact(docs, secret_scan.scan(docs))
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
