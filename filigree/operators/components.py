@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filigree.sources.scratch import saved
+from filigree.sources.scratch import discard, saved
 
 
 def _stars(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,7 +32,9 @@ def connected_components(edges: DataFrame, a: str, b: str, keys: list[str] = ())
     loops = links.filter("u = v").select(*keys, F.col("u").alias("id"))
     state, mark = links.filter("u > v"), None
     while True:
-        state = saved(_stars(state, keys))
+        before, state = state, saved(_stars(state, keys))
+        if mark is not None:  # the first state is a part of links, which the result reads
+            discard(before)
         # The sum of hashes is taken as a decimal, which cannot overflow.
         total = F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(38,0)"))
         new = tuple(state.agg(F.count("*"), total).first())

@@ -15,10 +15,12 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the one that ``spark.checkpoint.dir`` names.
 
-    Only where that is unset, as in tests, a folder of this machine is taken.
+    Only where that is unset and the master is local, as in tests, a folder of this machine is taken.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="filigree-")
