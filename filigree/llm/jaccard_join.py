@@ -37,6 +37,7 @@ from .common import chunks, discard, fresh, saved
 WORDS = 5
 #: What a task takes of one group at most from each side, and what of it is dealt out first: a set of n hashes counts as n + EACH.
 CHUNK, PART, EACH = 2_000_000, 50_000, 256
+FEW = 16
 #: Ids that may be broadcast (some 24 MB); beyond, the tables are joined by shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -427,7 +428,9 @@ def _across(members: DataFrame, chunk: int, part: int) -> DataFrame:
     members = members.withColumn("bucket", _bucket())
     weight = F.sum(F.col("n") + EACH)
     size = members.groupBy("component", "bucket", "label").agg(weight.alias("_n"))
-    total = members.groupBy("component", "bucket").agg(F.ceil(weight / chunk).alias("_all"))
+    # Small groups are cut into parts; of larger ones, FEW chunks or more, so that their pairs do not grow with the square of the parts.
+    chunks_ = F.least(F.ceil(weight / part), F.greatest(F.lit(FEW), F.ceil(weight / chunk)))
+    total = members.groupBy("component", "bucket").agg(chunks_.alias("_all"))
     share = size.join(total, ["component", "bucket"]).select(
         "component", "bucket", "label", (F.col("_n") >= part).alias("_own"), F.ceil(F.col("_n") / part).alias("_m"), "_all"
     )
