@@ -98,6 +98,24 @@ def match_weights(pred: DataFrame, target: DataFrame, keys: list[str], limit: fl
     return pairs.withColumn("gain", F.col("weight") - both).select(*keys, "pred_node", "target_node", "distance", "weight", "gain")
 
 
+def match_gains(pred: DataFrame, target: DataFrame, keys: list[str], limit: float | None = None, sigma: float | None = None, least: float | None = None, gamma: float = 0) -> DataFrame:
+    """(keys, pred_node, target_node, distance, gain) of the pairs with a gain, which lie within the limit.
+
+    The largest distance of a graph cancels out of gains, so only near pairs are looked at. With a sigma, the limits
+    of the nodes are at most ``limit`` too; they still come from all pairs, as no density is cut.
+    """
+    if limit is None:
+        return match_weights(pred, target, keys, limit, sigma, least, gamma).filter("gain > 0").drop("weight")
+    weigh = (lambda d: F.exp(-gamma * d / 1000)) if gamma > 0 else (lambda d: -d)
+    pairs, alone = cross_distance(pred, target, keys, limit), weigh(F.lit(float(limit)))
+    if sigma is not None:
+        for side, a, b in (("pred_node", pred, target), ("target_node", target, pred)):
+            own = match_limits(a, b, keys, limit, sigma, least).withColumnsRenamed({"node_id": side, "max_distance": f"_m{side}"})
+            pairs = pairs.join(own, [*keys, side])
+        alone = (weigh(F.col("_mpred_node")) + weigh(F.col("_mtarget_node"))) / 2
+    return pairs.withColumn("gain", weigh(F.col("distance")) - alone).filter("gain > 0").select(*keys, "pred_node", "target_node", "distance", "gain")
+
+
 def assign(gain: np.ndarray) -> list[tuple[int, int]]:
     """The pairs of largest total gain (potentials and augmenting paths); pairs without gain stay unmatched."""
     n, m = gain.shape
@@ -149,7 +167,7 @@ def match_nodes(pred: DataFrame, target: DataFrame, keys: list[str], limit: floa
 
     Pairs without a gain never improve it, so it is solved in each connected part of the pairs with one.
     """
-    gains = saved(match_weights(pred, target, keys, limit, sigma, least, gamma).filter("gain > 0"))
+    gains = saved(match_gains(pred, target, keys, limit, sigma, least, gamma))
     edges = gains.select(*keys, (F.col("pred_node") * 2).alias("a"), (F.col("target_node") * 2 + 1).alias("b"))
     part = connected_components(edges, "a", "b", keys).filter("id % 2 = 0").select(*keys, (F.col("id") / 2).cast("long").alias("pred_node"), "component")
     return assign_component(gains.join(part, [*keys, "pred_node"]), keys)

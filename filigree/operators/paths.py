@@ -24,15 +24,24 @@ def unmatched_paths(branches: DataFrame, matched: DataFrame, keys: list[str]) ->
     step = start.select(*keys, F.col("_from").alias("source"), F.col("_to").alias("node"), F.lit(1).cast("long").alias("hops"), F.array("branch_id").alias("path"))
     loops = links.filter("_from = _to").join(matched.select(*keys, F.col("node_id").alias("_from")), [*keys, "_from"])
     loops = loops.select(*keys, F.col("_from").alias("source"), F.col("_to").alias("node"), F.lit(1).cast("long").alias("hops"), F.array("branch_id").alias("path"))
-    found = frontier = saved(step)
-    while not frontier.isEmpty():
-        open_ = frontier.join(flags, [*keys, "node"], "left").filter("_stop is null").withColumnRenamed("node", "_from")
+    # Nodes that are open are new if the last two levels do not have them, as links run both ways; stops may lie at any level.
+    flagged = lambda df: df.join(flags, [*keys, "node"], "left")
+    at = [*keys, "source", "node"]
+    last = saved(flagged(step))
+    before, stops, levels = last.filter("false"), last.filter("_stop"), [last]
+    while not last.filter("_stop is null").isEmpty():
+        open_ = last.filter("_stop is null").drop("_stop").withColumnRenamed("node", "_from")
         ahead = open_.join(links, [*keys, "_from"]).filter("_to <> source")
         new = ahead.select(*keys, "source", F.col("_to").alias("node"), (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("branch_id")).alias("path"))
-        new = new.groupBy(*keys, "source", "node").agg(F.min(F.struct("hops", "path")).alias("_b")).select(*keys, "source", "node", "_b.hops", "_b.path")
-        frontier = saved(new.join(found.select(*keys, "source", "node"), [*keys, "source", "node"], "left_anti"))
-        found = found.unionByName(frontier)
-    return found.unionByName(loops)
+        new = new.groupBy(*at).agg(F.min(F.struct("hops", "path")).alias("_b")).select(*at, "_b.hops", "_b.path")
+        known = last.select(*at).unionByName(before.select(*at)).unionByName(stops.select(*at))
+        before, last = last, saved(flagged(new.join(known, at, "left_anti")))
+        stops = stops.unionByName(last.filter("_stop"))
+        levels.append(last)
+    found = levels[0]
+    for level in levels[1:]:
+        found = found.unionByName(level)
+    return found.select(*at, "hops", "path").unionByName(loops.select(*at, "hops", "path"))
 
 
 def backtrack_paths(paths: DataFrame, keys: list[str]) -> DataFrame:

@@ -380,20 +380,39 @@ def _(t):
     return out.select("graph_id", "pred_node", "target_node", r6("weight").alias("weight"), r6("gain").alias("gain"))
 
 
-@query("match_nodes")
+#: All choices of pairs that share no node, part by part of the pairs that gain, and the best of each part.
+BEST = f"""gains AS MATERIALIZED (SELECT * FROM (SELECT a.graph_id, a.node_id AS p, b.node_id AS q, {D12} AS d FROM {AB}) WHERE d < 20),
+  steps AS (SELECT DISTINCT x.graph_id, x.p AS a, y.p AS b FROM gains x JOIN gains y ON x.graph_id = y.graph_id AND x.q = y.q),
+  reach AS (SELECT graph_id, a, b FROM steps UNION SELECT r.graph_id, r.a, s.b FROM reach r JOIN steps s ON s.graph_id = r.graph_id AND s.a = r.b),
+  part AS (SELECT graph_id, a AS p, min(b) AS c FROM reach GROUP BY graph_id, a),
+  listed AS MATERIALIZED (SELECT g.*, c, row_number() OVER (PARTITION BY g.graph_id, c ORDER BY d, g.p, q) AS k FROM gains g JOIN part USING (graph_id, p)),
+  choice AS (SELECT DISTINCT graph_id, c, 0::BIGINT AS k, []::BIGINT[] AS ps, []::BIGINT[] AS qs, 0.0::DOUBLE AS total FROM listed
+    UNION ALL SELECT x.graph_id, x.c, x.k + 1, CASE WHEN take THEN list_append(ps, l.p) ELSE ps END, CASE WHEN take THEN list_append(qs, l.q) ELSE qs END, total + CASE WHEN take THEN 20 - d ELSE 0 END
+    FROM choice x JOIN listed l ON l.graph_id = x.graph_id AND l.c = x.c AND l.k = x.k + 1, (VALUES (true), (false)) v(take)
+    WHERE NOT take OR NOT list_contains(ps, l.p) AND NOT list_contains(qs, l.q)),
+  won AS (SELECT graph_id, arg_max(ps, total) AS ps, arg_max(qs, total) AS qs FROM choice GROUP BY graph_id, c),
+  best AS MATERIALIZED (SELECT graph_id, unnest(ps) AS p, unnest(qs) AS q FROM won)"""
+BEST_PAIRS = f"WITH RECURSIVE {BEST} SELECT graph_id, p AS pred_node, q AS target_node, round(d, 6) AS distance FROM best JOIN gains USING (graph_id, p, q)"
+
+
+@query("match_nodes", BEST_PAIRS)
 def _(t):
-    return match.match_nodes(*sides(t.fx_nodes), ["graph_id"], 20)
+    return match.match_nodes(*sides(saved(t.fx_nodes)), ["graph_id"], 20).withColumn("distance", r6("distance"))
 
 
-@query("assign_component")
+@query("assign_component", BEST_PAIRS)
 def _(t):
-    gains = match.match_weights(*sides(t.fx_nodes), ["graph_id"], 20).filter("gain > 0").withColumn("component", F.lit(0))
-    return match.assign_component(gains, ["graph_id"])
+    gains = match.match_gains(*sides(t.fx_nodes), ["graph_id"], 20).withColumn("component", F.lit(0))
+    return match.assign_component(gains, ["graph_id"]).withColumn("distance", r6("distance"))
 
 
-@query("greedy_match")
+@query("greedy_match", f"""WITH pairs AS (SELECT a.graph_id, a.node_id AS p, b.node_id AS q, {D12} AS d FROM {AB}),
+  listed AS (SELECT graph_id, list({{'p': p, 'q': q, 'd': d}} ORDER BY d, p, q) AS xs FROM pairs WHERE d < 20 GROUP BY graph_id),
+  taken AS (SELECT graph_id, unnest(list_reduce(list_transform(xs, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.p = x[1].p OR y.q = x[1].q)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS x FROM listed)
+  SELECT graph_id, x.p AS pred_node, x.q AS target_node, round(x.d, 6) AS distance FROM taken""")
 def _(t):
-    return match.greedy_match(match.match_weights(*sides(t.fx_nodes), ["graph_id"], 20), ["graph_id"])
+    out = match.greedy_match(match.match_gains(*sides(t.fx_nodes), ["graph_id"], 20), ["graph_id"])
+    return out.withColumn("distance", r6("distance"))
 
 
 def _same(t):
@@ -432,7 +451,37 @@ def _(t):
     return p.withColumn("side", F.lit("pred")).unionByName(q.withColumn("side", F.lit("target"))).select("graph_id", "side", "source", "node", "hops")
 
 
-@query("backtrack_paths")
+#: The links between nodes, the ways by hops, and of the shortest ones the one with the smallest branches, step by step.
+WAYS = """lk AS MATERIALIZED (SELECT graph_id, side, p, q, min(branch_id) AS branch_id FROM (SELECT graph_id, side, node1 AS p, node2 AS q, branch_id FROM fx_branches
+    UNION ALL SELECT graph_id, side, node2, node1, branch_id FROM fx_branches) GROUP BY ALL),
+  way AS (SELECT l.graph_id, l.side, p AS source, q AS node, 1::BIGINT AS hops, [branch_id] AS path FROM lk l JOIN stop ON stop.graph_id = l.graph_id AND stop.side = l.side AND stop.node_id = l.p
+  UNION ALL SELECT w.graph_id, w.side, w.source, l.q, w.hops + 1, min(list_append(w.path, l.branch_id)) FROM way w
+  JOIN lk l ON l.graph_id = w.graph_id AND l.side = w.side AND l.p = w.node
+  JOIN hop h ON h.graph_id = w.graph_id AND h.side = w.side AND h.source = w.source AND h.node = l.q AND h.hops = w.hops + 1
+  WHERE w.node <> w.source AND l.q <> w.source AND NOT EXISTS (SELECT 1 FROM stop WHERE stop.graph_id = w.graph_id AND stop.side = w.side AND stop.node_id = w.node)
+  GROUP BY w.graph_id, w.side, w.source, l.q, w.hops + 1)"""
+#: The same node ids on both sides as matches; pair is what a match is called on both sides.
+SAME = """stop AS MATERIALIZED (SELECT a.graph_id, s.side, a.node_id, a.node_id AS pair FROM fx_nodes a JOIN fx_nodes b ON a.graph_id = b.graph_id AND a.node_id = b.node_id
+  AND a.side = 'pred' AND b.side = 'target', (VALUES ('pred'), ('target')) s(side) WHERE a.node_id % 3 <> 0)"""
+MATCHED = BEST + """, stop AS MATERIALIZED (SELECT graph_id, 'pred' AS side, p AS node_id, p AS pair FROM best UNION ALL SELECT graph_id, 'target', q, p FROM best)"""
+BY_HOPS = """s AS MATERIALIZED (SELECT graph_id, side, node1 AS p, node2 AS q FROM fx_branches UNION SELECT graph_id, side, node2, node1 FROM fx_branches),
+  walk AS (SELECT s.graph_id, s.side, s.p AS source, s.q AS node, 1 AS hops FROM s JOIN stop ON stop.graph_id = s.graph_id AND stop.side = s.side AND stop.node_id = s.p
+  UNION SELECT w.graph_id, w.side, w.source, s.q, w.hops + 1 FROM walk w JOIN s ON s.graph_id = w.graph_id AND s.side = w.side AND s.p = w.node
+  WHERE w.hops < 30 AND w.node <> w.source AND s.q <> w.source AND NOT EXISTS (SELECT 1 FROM stop WHERE stop.graph_id = w.graph_id AND stop.side = w.side AND stop.node_id = w.node)),
+  hop AS MATERIALIZED (SELECT graph_id, side, source, node, CAST(min(hops) AS BIGINT) AS hops FROM walk GROUP BY ALL)"""
+#: Pairs of matches that both graphs link, with both ways.
+LINKED = WAYS + """, ends AS (SELECT w.graph_id, w.side, a.pair AS x, b.pair AS y, w.hops, w.path FROM way w JOIN stop a ON a.graph_id = w.graph_id AND a.side = w.side AND a.node_id = w.source
+    JOIN stop b ON b.graph_id = w.graph_id AND b.side = w.side AND b.node_id = w.node),
+  both_ AS MATERIALIZED (SELECT p.graph_id, p.hops AS hp, t.hops AS ht, p.path AS pp, t.path AS pt FROM ends p JOIN ends t ON p.side = 'pred' AND t.side = 'target' AND t.graph_id = p.graph_id AND t.x = p.x AND t.y = p.y),
+  used AS MATERIALIZED (SELECT graph_id, 'pred' AS side, unnest(pp) AS branch_id, CASE WHEN hp = 1 AND ht = 1 THEN 1 WHEN ht = 1 THEN 2 WHEN hp = 1 THEN 3 ELSE 0 END AS l FROM both_
+    UNION ALL SELECT graph_id, 'target', unnest(pt), CASE WHEN hp = 1 AND ht = 1 THEN 1 WHEN hp = 1 THEN 2 WHEN ht = 1 THEN 3 ELSE 0 END FROM both_),
+  label AS (SELECT graph_id, side, branch_id, max(l) AS l FROM used GROUP BY ALL)"""
+EDITS = f"""{MATCHED}, {BY_HOPS}, {LINKED}, each AS (SELECT b.graph_id, b.side, CASE WHEN l IS NULL THEN 1 ELSE 0 END AS lone FROM fx_branches b LEFT JOIN label USING (graph_id, side, branch_id)),
+  edits AS (SELECT graph_id, count(*) FILTER (side = 'pred') AS n_pred, count(*) FILTER (side = 'target') AS n_target,
+  CAST(coalesce(sum(lone) FILTER (side = 'pred'), 0) AS BIGINT) AS diff_pred, CAST(coalesce(sum(lone) FILTER (side = 'target'), 0) AS BIGINT) AS diff_target FROM each GROUP BY graph_id)"""
+
+
+@query("backtrack_paths", f"""WITH RECURSIVE {SAME}, {BY_HOPS}, {WAYS} SELECT graph_id, source, node, CAST(unnest(range(len(path))) AS INT) AS step, unnest(path) AS branch_id FROM way WHERE side = 'pred'""")
 def _(t):
     return paths.backtrack_paths(_paths(t)[0], ["graph_id"])
 
@@ -448,7 +497,7 @@ def _(t):
     return paths.adjacency_of(pred, target, _same(t), ["graph_id"]).select("graph_id", "source", "node", "hops_pred", "hops_target", "kind")
 
 
-@query("label_edge_diff")
+@query("label_edge_diff", f"WITH RECURSIVE {SAME}, {BY_HOPS}, {LINKED} SELECT b.graph_id, b.side, b.branch_id, CAST(coalesce(l, 0) AS INT) AS label FROM fx_branches b LEFT JOIN label USING (graph_id, side, branch_id)")
 def _(t):
     pred, target = sides(t.fx_branches)
     adjacency = paths.adjacency_of(pred, target, _same(t), ["graph_id"])
@@ -456,7 +505,7 @@ def _(t):
     return out[0].unionByName(out[1])
 
 
-@query("unique_branches")
+@query("unique_branches", f'WITH RECURSIVE {SAME}, {BY_HOPS}, {LINKED} SELECT b.graph_id, b.side, b.branch_id, CAST(CASE WHEN l IS NULL THEN 1 ELSE 0 END AS INT) AS "unique" FROM fx_branches b LEFT JOIN label USING (graph_id, side, branch_id)')
 def _(t):
     pred, target = sides(t.fx_branches)
     adjacency = paths.adjacency_of(pred, target, _same(t), ["graph_id"])
@@ -465,10 +514,10 @@ def _(t):
 
 
 def edits(t):
-    (bp, bt), (np_, nt) = sides(t.fx_branches), sides(t.fx_nodes)
+    (bp, bt), (np_, nt) = sides(saved(t.fx_branches)), sides(saved(t.fx_nodes))
     return paths.edit_distance(bp, np_, bt, nt, ["graph_id"], 20)
 
 
-@query("edit_distance")
+@query("edit_distance", f"WITH RECURSIVE {EDITS} SELECT * FROM edits")
 def _(t):
     return edits(t)

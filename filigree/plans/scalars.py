@@ -300,8 +300,8 @@ def _(t):
     return raster.threshold_class(t.fx_image.withColumn("p", F.col("r") / 255.0), "p").select("image_id", "y", "x")
 
 
-@query("mask_pair", """SELECT m.image_id, m.layer, m.y, m.x FROM fx_masks m WHERE m.layer <> 'target'
-  AND EXISTS (SELECT 1 FROM fx_masks r WHERE r.layer = 'target' AND r.image_id = m.image_id AND r.y = m.y AND r.x = m.x)""")
+@query("mask_pair", """WITH m AS MATERIALIZED (SELECT image_id, layer, y, x FROM fx_masks)
+  SELECT * FROM (SELECT * FROM m WHERE layer <> 'target') SEMI JOIN (SELECT * FROM m WHERE layer = 'target') r USING (image_id, y, x)""")
 def _(t):
     return raster.mask_pair(t.fx_masks, "target").select("image_id", "layer", "y", "x")
 

@@ -10,7 +10,7 @@ from filigree.operators import kernels, metrics
 from filigree.sources.scratch import saved
 from filigree.streaming import metrics as streams
 
-from .graphs import edits
+from .graphs import EDITS, edits
 from .registry import query
 
 
@@ -54,27 +54,34 @@ def _(t):
     return metrics.metric_report(metrics.micro(metrics.cl_counts(t.fx_masks)).withColumns(r6(*PRS)))
 
 
-@query("topo_counts")
+TOPO = f"""{EDITS}, counts AS (SELECT graph_id, n_pred - diff_pred AS correct_pred, n_pred AS total_pred, n_target - diff_target AS correct_target, n_target AS total_target FROM edits)"""
+TOPO_MICRO = f"{TOPO}, pr AS (SELECT sum(correct_pred) / (sum(total_pred) + 1e-6) AS p, sum(correct_target) / (sum(total_target) + 1e-6) AS r FROM counts)"
+TOPO_EACH = f"{TOPO}, pr AS (SELECT graph_id, correct_pred / (total_pred + 1e-6) AS p, correct_target / (total_target + 1e-6) AS r FROM counts)"
+
+
+@query("topo_counts", f"WITH RECURSIVE {TOPO} SELECT * FROM counts")
 def _(t):
     return metrics.topo_counts(edits(t), ["graph_id"])
 
 
-@query("topo_report")
+@query("topo_report", f"WITH RECURSIVE {TOPO_EACH} {MICRO_SELECT.replace('SELECT', 'SELECT graph_id,')}")
 def _(t):
     return metrics.topo_report(edits(t), ["graph_id"]).withColumns(r6(*PRS))
 
 
-@query("f1_topo")
+@query("f1_topo", f"WITH RECURSIVE {TOPO_MICRO} {MICRO_SELECT}")
 def _(t):
     return metrics.micro(metrics.topo_counts(edits(t), ["graph_id"])).withColumns(r6(*PRS))
 
 
-@query("mean_f1_topo")
+@query("mean_f1_topo", f"WITH RECURSIVE {TOPO_EACH} {MACRO_SELECT}")
 def _(t):
     return metrics.macro(metrics.topo_counts(edits(t), ["graph_id"])).withColumns(r6(*PRS))
 
 
-@query("weighted_score")
+@query("weighted_score", f"""WITH RECURSIVE {TOPO_MICRO}, {MICRO.replace("counts", "dice").replace("total AS", "dice_total AS").replace("FROM total)", "FROM dice_total)").replace("pr AS", "dice_pr AS")},
+  two AS (SELECT 2 * d.p * d.r / (d.p + d.r + 1e-6) AS first, 2 * pr.p * pr.r / (pr.p + pr.r + 1e-6) AS second FROM dice_pr d, pr)
+  SELECT round(first, 6) AS first, round(second, 6) AS second, round(0.5 * first + 0.5 * second, 6) AS score FROM two""")
 def _(t):
     dice, topo = metrics.micro(metrics.cl_counts(t.fx_masks)), metrics.micro(metrics.topo_counts(edits(t), ["graph_id"]))
     return metrics.weighted_score(dice, topo).withColumns(r6("first", "second", "score"))
@@ -219,7 +226,7 @@ def _(t):
     return streams.stream_macro(_stream(t, metrics.cl_counts(t.fx_masks))).withColumns(r6(*PRS))
 
 
-@query("stream_f1_topo")
+@query("stream_f1_topo", f"WITH RECURSIVE {TOPO_MICRO} {MICRO_SELECT}")
 def _(t):
     from filigree.operators import paths
 
