@@ -214,7 +214,9 @@ def _(t):
     return rewrite.simplify_degree2(t.fx_branches, t.fx_nodes, KEYS)[1].select(*KEYS, "node_id")
 
 
-@query("fused_pixels")
+@query("fused_pixels", f"""WITH RECURSIVE {FUSE}, own AS (SELECT {K}, node_id, min(branch_id) AS branch_id FROM inc JOIN two USING (graph_id, side, node_id) GROUP BY ALL)
+  SELECT o.graph_id, o.side, r.root AS branch_id, n.y, n.x FROM own o JOIN root r USING (graph_id, side, branch_id) JOIN fx_nodes n ON n.graph_id = o.graph_id AND n.side = o.side AND n.node_id = o.node_id
+  SEMI JOIN whole w ON w.graph_id = o.graph_id AND w.side = o.side AND w.branch_id = r.root""")
 def _(t):
     two = graph.node_degree(t.fx_branches, t.fx_nodes, KEYS).filter("degree = 2").select(*KEYS, "node_id")
     lookup = rewrite.fuse_nodes(t.fx_branches, t.fx_nodes, two, KEYS)[2]
@@ -228,7 +230,19 @@ def _pairs(t):
     return saved(both.filter("a < b").select(*KEYS, "a", "b"))
 
 
-@query("fuse_node_pairs")
+#: Ends in pairs, what their branches become when each pair is one, and the branches that are left.
+PAIRS = DEG.replace("WITH ", "") + f""", tip AS (SELECT {K}, node_id, row_number() OVER (PARTITION BY {K} ORDER BY node_id) - 1 AS k FROM deg WHERE degree = 1),
+  couple AS (SELECT {K}, min(node_id) AS a, max(node_id) AS b FROM tip GROUP BY {K}, k // 2 HAVING min(node_id) < max(node_id)),
+  joint AS (SELECT {K}, node_id, o.branch_id, c.a FROM (SELECT {K}, a, unnest([a, b]) AS node_id FROM couple) c JOIN inc o USING (graph_id, side, node_id)),
+  link AS (SELECT x.graph_id, x.side, x.branch_id AS b1, y.branch_id AS b2 FROM joint x JOIN joint y USING (graph_id, side, a)),
+  reach AS (SELECT {K}, branch_id, branch_id AS root FROM fx_branches UNION SELECT l.graph_id, l.side, l.b2, r.root FROM reach r JOIN link l ON l.graph_id = r.graph_id AND l.side = r.side AND l.b1 = r.branch_id),
+  root AS (SELECT {K}, branch_id, min(root) AS root FROM reach GROUP BY ALL),
+  ends AS (SELECT {K}, branch_id, unnest([node1, node2]) AS node_id FROM fx_branches),
+  whole AS (SELECT e.graph_id, e.side, r.root AS branch_id, min(e.node_id) AS node1, max(e.node_id) AS node2 FROM ends e JOIN root r USING (graph_id, side, branch_id)
+    ANTI JOIN joint ON joint.graph_id = e.graph_id AND joint.side = e.side AND joint.node_id = e.node_id GROUP BY ALL)"""
+
+
+@query("fuse_node_pairs", f"WITH RECURSIVE {PAIRS} SELECT {K}, branch_id, node1, node2 FROM whole")
 def _(t):
     return rewrite.fuse_node_pairs(t.fx_branches, t.fx_nodes, _pairs(t), KEYS)[0]
 
@@ -295,26 +309,50 @@ def _(t):
     return cluster_pairs(t.fx_nodes.select(*KEYS, F.expr(CLUSTER).alias("cluster_id"), F.col("node_id").alias("item_id")), KEYS)
 
 
-@query("remove_spurs_by_distance")
+#: Short branches from a junction to an end go; junctions that two branches are left of are fused.
+SPURS = DEG.replace("WITH ", "") + f""", two_ends AS (SELECT b.graph_id, b.side, b.branch_id, a.node_id AS n1, c.node_id AS n2, a.degree AS d1, c.degree AS d2, sqrt((a.y - c.y) * (a.y - c.y) + (a.x - c.x) * (a.x - c.x)) AS d FROM fx_branches b
+    JOIN deg a ON a.graph_id = b.graph_id AND a.side = b.side AND a.node_id = node1 JOIN deg c ON c.graph_id = b.graph_id AND c.side = b.side AND c.node_id = node2),
+  spur AS (SELECT {K}, CASE WHEN d1 = 1 THEN n1 ELSE n2 END AS node_id, CASE WHEN d1 = 1 THEN n2 ELSE n1 END AS junction FROM two_ends WHERE (d1 = 1) <> (d2 = 1) AND d < 60),
+  b2 AS MATERIALIZED (SELECT b.* FROM fx_branches b WHERE NOT EXISTS (SELECT 1 FROM spur s WHERE s.graph_id = b.graph_id AND s.side = b.side AND s.node_id IN (b.node1, b.node2))),
+  inc2 AS (SELECT {K}, branch_id, node1 AS node_id FROM b2 UNION SELECT {K}, branch_id, node2 FROM b2),
+  two AS MATERIALIZED (SELECT {K}, node_id FROM inc2 SEMI JOIN (SELECT {K}, junction AS node_id FROM spur) j USING (graph_id, side, node_id) GROUP BY ALL HAVING count(*) = 2),
+  link AS (SELECT a.graph_id, a.side, a.branch_id AS x, b.branch_id AS z FROM inc2 a JOIN inc2 b USING (graph_id, side, node_id) JOIN two USING (graph_id, side, node_id)),
+  reach AS (SELECT {K}, branch_id, branch_id AS root FROM b2 UNION SELECT l.graph_id, l.side, l.z, r.root FROM reach r JOIN link l ON l.graph_id = r.graph_id AND l.side = r.side AND l.x = r.branch_id),
+  root AS (SELECT {K}, branch_id, min(root) AS root FROM reach GROUP BY ALL),
+  ends AS (SELECT {K}, branch_id, unnest([node1, node2]) AS node_id FROM b2),
+  whole AS (SELECT e.graph_id, e.side, r.root AS branch_id, min(e.node_id) AS node1, max(e.node_id) AS node2 FROM ends e JOIN root r USING (graph_id, side, branch_id)
+    ANTI JOIN two ON two.graph_id = e.graph_id AND two.side = e.side AND two.node_id = e.node_id GROUP BY ALL)"""
+
+
+@query("remove_spurs_by_distance", f"WITH RECURSIVE {SPURS} SELECT {K}, branch_id, node1, node2 FROM whole")
 def _(t):
     return rewrite.remove_spurs_by_distance(t.fx_branches, t.fx_nodes, KEYS, 60)[0]
 
 
-@query("small_cycles", f"""WITH e AS (SELECT DISTINCT {K}, node1 AS p, node2 AS q FROM fx_branches WHERE node1 <> node2),
+CYCLES = f"""e AS (SELECT DISTINCT {K}, node1 AS p, node2 AS q FROM fx_branches WHERE node1 <> node2),
   s AS (SELECT {K}, p, q FROM e UNION SELECT {K}, q, p FROM e), d AS (SELECT a.graph_id, a.side, a.node_id AS p, b.node_id AS q, {D12} AS d FROM fx_nodes a JOIN fx_nodes b USING (graph_id, side)),
   c3 AS (SELECT x.graph_id, x.side, x.p AS n1, x.q AS n2, y.q AS n3, CAST(NULL AS BIGINT) AS n4 FROM s x JOIN s y ON y.graph_id = x.graph_id AND y.side = x.side AND y.p = x.q AND y.q > x.q
     JOIN s z ON z.graph_id = x.graph_id AND z.side = x.side AND z.p = y.q AND z.q = x.p WHERE x.p < x.q),
   c4 AS (SELECT w.graph_id, w.side, w.p AS n1, w.q AS n2, x.q AS n3, y.q AS n4 FROM s w JOIN s x ON x.graph_id = w.graph_id AND x.side = w.side AND x.p = w.q AND x.q > w.p
     JOIN s y ON y.graph_id = w.graph_id AND y.side = w.side AND y.p = x.q AND y.q > w.q JOIN s z ON z.graph_id = w.graph_id AND z.side = w.side AND z.p = y.q AND z.q = w.p
     WHERE w.p < w.q AND NOT EXISTS (SELECT 1 FROM s c WHERE c.graph_id = w.graph_id AND c.side = w.side AND (c.p = w.p AND c.q = x.q OR c.p = w.q AND c.q = y.q))),
-  a AS (SELECT * FROM c3 UNION ALL SELECT * FROM c4)
-  SELECT {K}, n1, n2, n3, n4 FROM a WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.graph_id = a.graph_id AND d.side = a.side AND d.d >= 150 AND d.p IN (n1, n2, n3, n4) AND d.q IN (n1, n2, n3, n4))""")
+  a AS (SELECT * FROM c3 UNION ALL SELECT * FROM c4),
+  cyc AS (SELECT {K}, n1, n2, n3, n4 FROM a WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.graph_id = a.graph_id AND d.side = a.side AND d.d >= 150 AND d.p IN (n1, n2, n3, n4) AND d.q IN (n1, n2, n3, n4)))"""
+
+
+@query("small_cycles", f"WITH {CYCLES} SELECT * FROM cyc")
 def _(t):
     c = rewrite.small_cycles(t.fx_branches, t.fx_nodes, KEYS, 150)
     return c.select(*KEYS, *[F.get("cycle_nodes", k).alias(f"n{k + 1}") for k in range(4)])
 
 
-@query("collapse_small_cycles")
+@query("collapse_small_cycles", f"""WITH RECURSIVE {CYCLES}, on_cycle AS (SELECT {K}, n1, unnest([n1, n2, n3, n4]) AS node_id FROM cyc),
+  near AS (SELECT {K}, n1 AS u, node_id AS v FROM on_cycle WHERE node_id IS NOT NULL UNION SELECT {K}, node_id, n1 FROM on_cycle WHERE node_id IS NOT NULL),
+  reach AS (SELECT {K}, node_id, node_id AS root FROM fx_nodes UNION SELECT l.graph_id, l.side, l.v, r.root FROM reach r JOIN near l ON l.graph_id = r.graph_id AND l.side = r.side AND l.u = r.node_id),
+  root AS (SELECT {K}, node_id, min(root) AS root FROM reach GROUP BY ALL)
+  SELECT b.graph_id, b.side, branch_id, least(p.root, q.root) AS node1, greatest(p.root, q.root) AS node2 FROM fx_branches b
+  JOIN root p ON p.graph_id = b.graph_id AND p.side = b.side AND p.node_id = node1 JOIN root q ON q.graph_id = b.graph_id AND q.side = b.side AND q.node_id = node2
+  WHERE p.root <> q.root OR node1 = node2""")
 def _(t):
     return rewrite.collapse_small_cycles(t.fx_branches, t.fx_nodes, KEYS, 150)[0]
 

