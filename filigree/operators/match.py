@@ -170,7 +170,11 @@ def match_nodes(pred: DataFrame, target: DataFrame, keys: list[str], limit: floa
     gains = saved(match_gains(pred, target, keys, limit, sigma, least, gamma))
     edges = gains.select(*keys, (F.col("pred_node") * 2).alias("a"), (F.col("target_node") * 2 + 1).alias("b"))
     part = connected_components(edges, "a", "b", keys).filter("id % 2 = 0").select(*keys, (F.col("id") / 2).cast("long").alias("pred_node"), "component")
-    return assign_component(gains.join(part, [*keys, "pred_node"]), keys)
+    rows = gains.join(part, [*keys, "pred_node"])
+    # A pair that is alone in its part is its best assignment; only the others go to Python.
+    sized = saved(rows.join(rows.groupBy(*keys, "component").agg(F.count("*").alias("_pairs")), [*keys, "component"]))
+    alone = sized.filter("_pairs = 1").select(*keys, "pred_node", "target_node", "distance")
+    return alone.unionByName(assign_component(sized.filter("_pairs > 1").drop("_pairs"), keys))
 
 
 def greedy_match(pairs: DataFrame, keys: list[str]) -> DataFrame:
