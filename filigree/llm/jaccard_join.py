@@ -523,9 +523,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     keys = ["_doc", "t1", "t2"]
     rows = saved(_components(docs, CHUNK, PART).filter("n_shingles > 0").withColumnRenamed("doc_id", "_doc").select(*keys, "root"))
     first = F.min(F.struct(F.col("_doc").isNull().alias("none"), *keys))
-    groups = rows.groupBy("root").agg(first.alias("f"), F.count("*").alias("many")).filter("many > 1")
+    # Written, so that Spark can broadcast them or split the rows of a large group.
+    groups = saved(rows.groupBy("root").agg(first.alias("f"), F.count("*").alias("many")).filter("many > 1"))
     stays = F.col("_doc").eqNullSafe(F.col("f._doc")) & (F.col("t1") == F.col("f.t1")) & (F.col("t2") == F.col("f.t2"))
-    told = saved(rows.join(groups, "root").select(*keys, stays.alias("stays")).groupBy(*keys, "stays").agg(F.count("*").alias("many")))
+    told = saved(rows.join(_small(groups), "root").select(*keys, stays.alias("stays")).groupBy(*keys, "stays").agg(F.count("*").alias("many")))
     own = [fresh(docs, k) for k in keys]
     named = docs.withColumns(dict(zip(own, [F.col("doc_id").cast("long"), *_text_keys()], strict=True)))
 
