@@ -47,8 +47,8 @@ FURNITURE_TAGS = {"nav", "header", "footer", "aside", "form", "dialog", "menu",
 #: Words of class names, ids and roles that name page furniture.
 FURNITURE = {
     "ad", "ads", "advert", "adverts", "advertisement", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent",
-    "cookie", "cookies", "footer", "form", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice",
-    "notices", "pagination", "popup", "promo", "related", "replies", "reply", "search", "share", "sharing", "sidebar", "social",
+    "cookie", "cookies", "discussion", "discussions", "disqus", "feedback", "footer", "form", "guestbook", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice",
+    "notices", "opinions", "pagination", "popup", "promo", "reactions", "related", "remarks", "replies", "reply", "responses", "search", "share", "sharing", "sidebar", "social",
     "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
 DEFAULT_WORD, FURNITURE_WORD, TAG = 1.0, -2.0, -0.2

@@ -427,6 +427,24 @@ def test_articles_with_an_aside_and_lists_are_whole(opened, closed):
     assert html_extract.extract(page, weights).split("\n") == [*items("a"), lead, rest, *items("b")]
 
 
+@pytest.mark.parametrize("name", ["discussion", "user-comments", "disqus_thread", "responses"])
+def test_reader_comments_outside_an_article_element_are_left_out(name):
+    weights = html_extract.fit([PAGE] * 50)
+    body = " ".join(["story"] * 40)
+    page = f"<body><nav>Menu</nav><div class='story'><h1>Head</h1><p>{body}</p></div><div class='{name}'><p>{'me too ' * 20}</p></div><footer>me</footer></body>"
+    assert html_extract.extract(page, weights) == f"Head\n{body}"
+
+
+def test_extraction_of_odd_rows(spark, odd, none):
+    pages = odd.withColumnsRenamed({"doc_id": "page_id", "text": "html"})
+    weights = html_extract.train(pages.filter("false"))
+    out = pages.withColumn("text", html_extract.main_text(weights, F.col("html"), spark))
+    rows = out.collect()
+    assert len(rows) == odd.count() and set(pages.columns) < set(out.columns) and all(r.text is not None for r in rows)
+    assert {r.text for r in rows if not (r.html or "").strip()} == {""}
+    assert none.withColumn("t", html_extract.main_text(weights, F.col("text"), spark)).count() == 0
+
+
 def test_extraction_equals_the_article_of_each_page(spark):
     import html
 
