@@ -154,7 +154,7 @@ def node_tangents(nodes: DataFrame, branch_pixels: DataFrame, keys: list[str], o
     """(keys, node_id, ty, tx) of nodes with a branch_id: unit vectors that continue the branch beyond the node.
 
     They point away from the mean of the branch's pixels in a window around the node, weighted by a
-    gaussian of their distance around the offset.
+    gaussian of their distance around the offset. Where that mean is the node itself, ty and tx are null.
     """
     side = 2 * (2 * std + offset)
     p = branch_pixels.select(*keys, "branch_id", F.col("y").alias("_py"), F.col("x").alias("_px"))
@@ -168,7 +168,7 @@ def node_tangents(nodes: DataFrame, branch_pixels: DataFrame, keys: list[str], o
     w = F.exp(-0.5 * (d - offset) * (d - offset) / (std * std))
     mean = near.withColumn("_w", w).groupBy(*keys, "node_id").agg(*[
         (F.sum((F.col(f"_p{c}") - F.col(c)) * F.col("_w")) / F.sum("_w")).alias(f"_{c}") for c in ("y", "x")])
-    norm = F.hypot("_y", "_x")
+    norm = F.nullif(F.hypot("_y", "_x"), F.lit(0.0))
     return mean.select(*keys, "node_id", (-F.col("_y") / norm).alias("ty"), (-F.col("_x") / norm).alias("tx"))
 
 

@@ -7,6 +7,8 @@ images at once, keyed by ``image_id``; rows with a null coordinate match nothing
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,13 +16,24 @@ KEY = "image_id"
 CELL = [KEY, "y", "x"]
 
 
-def read_images(spark, path: str) -> DataFrame:
-    """(origin, y, x, b, g, r) of image files; missing channels repeat the first."""
-    rows = spark.read.format("image").load(path).select("image.*").filter("height > 0")
-    n = F.col("nChannels")
-    spots = rows.select("origin", "width", n.alias("n"), "data", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("i"))
-    byte = lambda k: F.conv(F.hex(F.substring("data", (F.col("i") * F.col("n") + F.least(F.lit(k), F.col("n") - 1) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return spots.select("origin", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).cast("int").alias("x"), byte(0).alias("b"), byte(1).alias("g"), byte(2).alias("r"))
+def read_images(spark, path: str, lines: int = 256) -> DataFrame:
+    """(origin, y, x, b, g, r) of image files; missing channels repeat the first.
+
+    A task holds one image's bytes, and writes its pixels by so many lines at a time. Files that are no images give nothing.
+    """
+    files = spark.read.format("image").load(path).select("image.*").filter("height > 0")
+
+    def cells(batches):
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                data = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.nChannels)
+                for top in range(0, row.height, lines):
+                    part = data[top : top + lines].astype(np.int32)
+                    y, x = np.indices(part.shape[:2], np.int32)
+                    channels = {c: part[..., min(k, row.nChannels - 1)].ravel() for k, c in enumerate("bgr")}
+                    yield pd.DataFrame({"origin": row.origin, "y": (y + top).ravel(), "x": x.ravel(), **channels})
+
+    return files.mapInPandas(cells, "origin string, y int, x int, b int, g int, r int")
 
 
 def binarize_image(image: DataFrame) -> DataFrame:

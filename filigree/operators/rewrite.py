@@ -178,8 +178,11 @@ def merge_near_nodes(branches: DataFrame, nodes: DataFrame, keys: list[str], jun
     return branches, nodes, lookups
 
 
-def remove_spurs_by_distance(branches: DataFrame, nodes: DataFrame, keys: list[str], distance: float) -> tuple[DataFrame, DataFrame]:
-    """Removes branches from a junction to an end that is nearer than the distance; fuses junctions left with two branches."""
+def remove_spurs_by_distance(branches: DataFrame, nodes: DataFrame, keys: list[str], distance: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Removes branches from a junction to an end that is nearer than the distance; fuses junctions left with two branches.
+
+    Returns branches, nodes and the lookup of the ids of branches that were not removed.
+    """
     degree = saved(node_degree(branches, nodes, keys).join(nodes, [*keys, "node_id"]))
     rows = branches
     for k in ("1", "2"):
@@ -192,8 +195,7 @@ def remove_spurs_by_distance(branches: DataFrame, nodes: DataFrame, keys: list[s
     branches, nodes = saved(branches), saved(nodes)
     old = spurs.select(*keys, F.col("junction").alias("node_id")).distinct()
     two = node_degree(branches, nodes, keys).filter("degree = 2").join(old, [*keys, "node_id"], "left_semi")
-    branches, nodes, _ = fuse_nodes(branches, nodes, two.select(*keys, "node_id"), keys)
-    return branches, nodes
+    return fuse_nodes(branches, nodes, two.select(*keys, "node_id"), keys)
 
 
 def small_cycles(branches: DataFrame, nodes: DataFrame, keys: list[str], distance: float) -> DataFrame:
@@ -245,36 +247,54 @@ def simplify_degree2(branches: DataFrame, nodes: DataFrame, keys: list[str], pre
 
 def clean_graph(
     branches: DataFrame, nodes: DataFrame, keys: list[str], spurs: float = 0, junction: float = 0, termination: float = 0, node: float = 0, cycles: float = 0, simplify: str | None = "node", predicate=None
-) -> Graph:
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Spurs, near nodes, small cycles, parallel branches and chains, in this order; a distance of 0 skips a step.
 
     simplify: "branch", "node", "both" or None. Without "branch", parallel branches are merged only where the
-    ends are within ``cycles``.
+    ends are within ``cycles``. Returns branches, nodes and the lookup (keys, old_id, new_id) of all given
+    branches through all steps, null for those that were dropped.
     """
+    first, steps = branches, []
     if spurs > 0:
-        branches, nodes = (saved(d) for d in remove_spurs_by_distance(branches, nodes, keys, spurs))
+        branches, nodes, lookup = (saved(d) for d in remove_spurs_by_distance(branches, nodes, keys, spurs))
+        steps.append(lookup)
     if max(junction, termination, node) > 0:
-        branches, nodes, _ = merge_near_nodes(branches, nodes, keys, junction, termination, node)
+        branches, nodes, lookups = merge_near_nodes(branches, nodes, keys, junction, termination, node)
+        steps += lookups
     if cycles > 0:
-        branches, nodes, _ = collapse_small_cycles(branches, nodes, keys, cycles)
-        branches, nodes = saved(branches), saved(nodes)
+        branches, nodes, lookup = (saved(d) for d in collapse_small_cycles(branches, nodes, keys, cycles))
+        steps.append(lookup)
     every = simplify in ("branch", "both")
     if cycles > 0 or every:
-        branches, _ = merge_parallel_branches(branches, keys, nodes, None if every else cycles)
-        branches = saved(branches)
+        branches, lookup = (saved(d) for d in merge_parallel_branches(branches, keys, nodes, None if every else cycles))
+        steps.append(lookup)
     if simplify in ("node", "both"):
-        branches, nodes, _ = simplify_degree2(branches, nodes, keys, predicate)
-    return branches, nodes
+        branches, nodes, lookup = simplify_degree2(branches, nodes, keys, predicate)
+        steps.append(lookup)
+    return branches, nodes, follow_lookups(first, steps, keys)
 
 
-def clean_graph_by_width(branches: DataFrame, nodes: DataFrame, keys: list[str], width: float, **how) -> Graph:
+def follow_lookups(branches: DataFrame, lookups: list[DataFrame], keys: list[str]) -> DataFrame:
+    """(keys, old_id, new_id) of the branches through lookups one after the other; null once one drops or lacks an id."""
+    out = branches.select(*keys, F.col("branch_id").alias("old_id"), F.col("branch_id").alias("new_id"))
+    for lookup in lookups:
+        step = lookup.select(*keys, F.col("old_id").alias("new_id"), F.col("new_id").alias("_next"))
+        out = out.join(step, [*keys, "new_id"], "left").select(*keys, "old_id", F.col("_next").alias("new_id"))
+    return out
+
+
+def clean_graph_by_width(branches: DataFrame, nodes: DataFrame, keys: list[str], width: float, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``clean_graph`` with distances from the largest width of a line."""
     return clean_graph(branches, nodes, keys, spurs=width, junction=width // 2 + 1, termination=0, node=width // 2, cycles=width, **how)
 
 
-def masks_to_graphs(pixels: DataFrame, width: float | None = None, spurs: int = 0) -> tuple[DataFrame, DataFrame]:
-    """From masks to cleaned graphs, keyed by image_id."""
+def masks_to_graphs(pixels: DataFrame, width: float | None = None, spurs: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From masks to cleaned graphs, keyed by image_id: branches, nodes, and the branches' pixels under the cleaned ids."""
+    from .graph import relabel_pixels
     from .skeleton import parse_skeleton, skeleton_of_masks
 
-    _, branches, nodes = parse_skeleton(skeleton_of_masks(pixels, spurs))
-    return (branches, nodes) if width is None else clean_graph_by_width(branches, nodes, ["image_id"], width)
+    labels, branches, nodes = parse_skeleton(skeleton_of_masks(pixels, spurs))
+    if width is None:
+        return branches, nodes, labels
+    branches, nodes, lookup = clean_graph_by_width(branches, nodes, ["image_id"], width)
+    return branches, nodes, relabel_pixels(labels, lookup, ["image_id"])

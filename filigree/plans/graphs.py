@@ -166,20 +166,24 @@ def _(t):
     return _drawn(t)
 
 
-@query("node_tangents", f"""WITH {SEG}, near AS (SELECT n.graph_id, n.side, n.node_id, d.y - n.y AS dy, d.x - n.x AS dx
-  FROM fx_nodes n JOIN fx_branches b ON b.graph_id = n.graph_id AND b.side = n.side AND b.node1 = n.node_id AND b.branch_id % 3 = 0 AND b.node1 <> b.node2
-  JOIN drawn d ON d.graph_id = b.graph_id AND d.side = b.side AND d.branch_id = b.branch_id
-  WHERE n.node_id % 2 = 0 AND b.branch_id = (SELECT min(c.branch_id) FROM fx_branches c WHERE c.graph_id = n.graph_id AND c.side = n.side AND c.node1 = n.node_id AND c.node1 <> c.node2 AND c.branch_id % 3 = 0)
-  AND d.y >= greatest(n.y - 21, 0) AND d.y < greatest(n.y - 21, 0) + 42 AND d.x >= greatest(n.x - 21, 0) AND d.x < greatest(n.x - 21, 0) + 42),
+def _tangents(own: str) -> str:
+    """The tangents of nodes with a branch_id, the rows of ``own``."""
+    return f"""{SEG}, inc2 AS (SELECT {K}, branch_id, unnest([node1, node2]) AS node_id FROM fx_branches WHERE node1 <> node2),
+  own AS ({own}), near AS (SELECT n.graph_id, n.side, n.node_id, d.y - n.y AS dy, d.x - n.x AS dx
+  FROM fx_nodes n JOIN own USING (graph_id, side, node_id) JOIN drawn d ON d.graph_id = n.graph_id AND d.side = n.side AND d.branch_id = own.branch_id
+  WHERE d.y >= greatest(n.y - 21, 0) AND d.y < greatest(n.y - 21, 0) + 42 AND d.x >= greatest(n.x - 21, 0) AND d.x < greatest(n.x - 21, 0) + 42),
   m AS (SELECT {K}, node_id, sum(dy * w) / sum(w) AS y, sum(dx * w) / sum(w) AS x FROM (SELECT *, exp(-0.5 * pow(sqrt(dy * dy + dx * dx) - 7, 2) / 49) AS w FROM near) GROUP BY ALL)
-  SELECT {K}, node_id, round(-y / sqrt(y * y + x * x), 6) AS ty, round(-x / sqrt(y * y + x * x), 6) AS tx FROM m""")
+  SELECT {K}, node_id, round(-y / sqrt(y * y + x * x), 6) AS ty, round(-x / sqrt(y * y + x * x), 6) AS tx FROM m"""
+
+
+@query("node_tangents", f"WITH {_tangents(f'SELECT {K}, node_id, min(branch_id) AS branch_id FROM inc2 GROUP BY ALL')}")
 def _(t):
-    b = t.fx_branches.filter("node1 <> node2 and branch_id % 3 = 0 and node1 % 2 = 0").groupBy(*KEYS, F.col("node1").alias("node_id")).agg(F.min("branch_id").alias("branch_id"))
-    out = graph.node_tangents(t.fx_nodes.join(b, [*KEYS, "node_id"]), _drawn(t), KEYS)
+    ends = graph.incidence(t.fx_branches.filter("node1 <> node2"), KEYS).groupBy(*KEYS, "node_id").agg(F.min("branch_id").alias("branch_id"))
+    out = graph.node_tangents(t.fx_nodes.join(ends, [*KEYS, "node_id"]), _drawn(t), KEYS)
     return out.withColumns({"ty": r6("ty"), "tx": r6("tx")})
 
 
-@query("terminal_tangents")
+@query("terminal_tangents", f"WITH {_tangents(f'SELECT {K}, node_id, min(branch_id) AS branch_id FROM inc2 GROUP BY ALL HAVING count(*) = 1')}")
 def _(t):
     b = t.fx_branches.filter("node1 <> node2")
     return graph.terminal_tangents(b, t.fx_nodes, _drawn(t), KEYS).withColumns({"ty": r6("ty"), "tx": r6("tx")})
@@ -346,6 +350,12 @@ def _(t):
     return c.select(*KEYS, *[F.get("cycle_nodes", k).alias(f"n{k + 1}") for k in range(4)])
 
 
+@query("bounded_cycles", f"WITH {CYCLES} SELECT * FROM a")
+def _(t):
+    c = rewrite.small_cycles(t.fx_branches, t.fx_nodes, KEYS, float("inf"))
+    return c.select(*KEYS, *[F.get("cycle_nodes", k).alias(f"n{k + 1}") for k in range(4)])
+
+
 @query("collapse_small_cycles", f"""WITH RECURSIVE {CYCLES}, on_cycle AS (SELECT {K}, n1, unnest([n1, n2, n3, n4]) AS node_id FROM cyc),
   near AS (SELECT {K}, n1 AS u, node_id AS v FROM on_cycle WHERE node_id IS NOT NULL UNION SELECT {K}, node_id, n1 FROM on_cycle WHERE node_id IS NOT NULL),
   reach AS (SELECT {K}, node_id, node_id AS root FROM fx_nodes UNION SELECT l.graph_id, l.side, l.v, r.root FROM reach r JOIN near l ON l.graph_id = r.graph_id AND l.side = r.side AND l.u = r.node_id),

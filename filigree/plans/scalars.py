@@ -158,6 +158,16 @@ def _(t):
     return t.fx_rects.select("rect_id", r6(g.symlog(F.col("x") - 50, 5)).alias("v"), r6(g.symlog_back(F.col("y") / 10, 5)).alias("back"))
 
 
+@query("symlog_space", """WITH e AS (SELECT path_id, lo, hi, (hi - lo) / 7 AS t FROM (SELECT path_id, min(y) AS lo, max(y) AS hi FROM fx_vertices GROUP BY path_id) WHERE hi > lo),
+  s AS (SELECT path_id, t, unnest(range(7)) AS i, CASE WHEN abs(lo) <= t THEN lo / 0.9 ELSE sign(lo) * t * (1 / 0.9 + ln(greatest(abs(lo), 1e-300) / t) / 10) END AS lo,
+    CASE WHEN abs(hi) <= t THEN hi / 0.9 ELSE sign(hi) * t * (1 / 0.9 + ln(greatest(abs(hi), 1e-300) / t) / 10) END AS hi FROM e)
+  SELECT path_id, i, round(CASE WHEN abs(v) <= t / 0.9 THEN v * 0.9 ELSE sign(v) * t * pow(10, sign(v) * (v / t) - 1 / 0.9) END, 5) + 0.0 AS v
+  FROM (SELECT path_id, t, i, lo + (hi - lo) * i / 6 AS v FROM s)""")
+def _(t):
+    ends = t.fx_vertices.groupBy("path_id").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).filter("hi > lo")
+    return ends.select("path_id", F.posexplode(g.symlog_space(F.col("lo"), F.col("hi"), 7)).alias("i", "v")).withColumn("v", F.round("v", 5))
+
+
 @query("unravel_index", "SELECT rect_id, CAST(rect_id // 35 % 11 AS BIGINT) AS i, CAST(rect_id // 7 % 5 AS BIGINT) AS j, CAST(rect_id % 7 AS BIGINT) AS k FROM fx_rects")
 def _(t):
     return t.fx_rects.select("rect_id", *[c.cast("long").alias(n) for n, c in zip("ijk", g.unravel_index(F.col("rect_id"), (11, 5, 7)), strict=True)])
@@ -313,8 +323,10 @@ def _(t):
     return raster.index_to_mask(t.fx_nodes, loops, ["graph_id", "side", "node_id"]).select("graph_id", "side", "node_id", "flag")
 
 
-@query("validate_layers", """SELECT i.image_id, l.layer FROM (SELECT DISTINCT image_id FROM fx_masks WHERE y = 0 AND x < 6) i
-  CROSS JOIN (SELECT unnest(['pred', 'target']) AS layer) l
-  WHERE NOT EXISTS (SELECT 1 FROM fx_masks m WHERE m.y = 0 AND m.x < 6 AND m.image_id = i.image_id AND m.layer = l.layer)""")
+@query("validate_layers", """WITH line AS MATERIALIZED (SELECT DISTINCT image_id * 48 + y AS image_id, layer FROM fx_masks)
+  SELECT i.image_id, l.layer FROM (SELECT DISTINCT image_id FROM line) i CROSS JOIN (SELECT unnest(['pred', 'target', 'skel_pred', 'skel_target']) AS layer) l
+  ANTI JOIN line m ON m.image_id = i.image_id AND m.layer = l.layer""")
 def _(t):
-    return raster.validate_layers(t.fx_masks.filter("y = 0 and x < 6"))
+    # Each line of an image counts as an image, as whole images lack no layer.
+    lines = t.fx_masks.withColumn("image_id", F.col("image_id") * 48 + F.col("y"))
+    return raster.validate_layers(lines, ("pred", "target", "skel_pred", "skel_target"))

@@ -159,15 +159,27 @@ def _(t):
     return kernels.compose_kernels(*_base(t)).withColumns(r6("w"))
 
 
-@query("apply_composed", f"""WITH {KERNEL}, c AS (SELECT label % 2 AS o, dy, dx, sum(w * (kernel_id % 5)) AS w FROM kernel WHERE abs(dy) <= 1 AND abs(dx) <= 1 GROUP BY ALL)
+@query("apply_composed", f"""WITH {KERNEL}, c AS (SELECT label % 2 AS o, dy, dx, sum(w * (kernel_id % 5)) AS w FROM kernel GROUP BY ALL)
   SELECT image_id, o, y + dy AS y, x + dx AS x, round(sum(w), 5) AS v FROM fx_pixels, c GROUP BY ALL""")
 def _(t):
     weights, kernel = _base(t)
     values = t.fx_pixels.select("image_id", "y", "x", F.lit(0).alias("i"), F.lit(1.0).alias("v"))
-    out = kernels.apply_composed(values, weights, kernel.filter("abs(dy) <= 1 and abs(dx) <= 1"))
+    out = kernels.apply_composed(values, weights, kernel)
     return out.withColumn("v", F.round("v", 5))
 
 
+@query("radial_kernel", """WITH ring AS (SELECT dy, dx, CASE WHEN dy = 0 AND dx = 0 THEN 0 ELSE exp(-pow(sqrt(dy * dy + dx * dx) - 1.5, 2) / 0.5) / (0.5 * sqrt(2 * pi())) END AS a
+  FROM (SELECT unnest(range(5)) - 2 AS dy), (SELECT unnest(range(5)) - 2 AS dx)),
+  kernel AS (SELECT dy, dx, a * cos(atan2(dx, dy)) / (sqrt(sum(a * a) OVER ()) + 1e-8) AS w FROM ring)
+  SELECT image_id, 0 AS o, y + dy AS y, x + dx AS x, round(sum(w), 5) + 0.0 AS v FROM fx_pixels, kernel GROUP BY ALL""")
+def _(t):
+    ring = kernels.radial_kernel(t.spark, 5, 1, 1.5, normalize="square")
+    kernel = ring.select(F.lit(0).alias("kernel_id"), (F.col("y") - 2).cast("int").alias("dy"), (F.col("x") - 2).cast("int").alias("dx"), F.col("re").alias("w"))
+    weights = t.spark.range(1).select(*[F.lit(0).alias(c) for c in ("o", "i", "kernel_id")], F.lit(1.0).alias("weight"))
+    values = t.fx_pixels.select("image_id", "y", "x", F.lit(0).alias("i"), F.lit(1.0).alias("v"))
+    return kernels.apply_composed(values, weights, kernel).withColumn("v", F.round("v", 5))
+
+
 @query("ridge_fit", """WITH s AS (SELECT sum(w * w) + 0.1 AS a, sum(w * x) AS b, sum(x * x) + 0.1 AS c, sum(w * h) AS p, sum(x * h) AS q FROM fx_rects)
   SELECT 'w' AS name, round((p * c - q * b) / (a * c - b * b), 6) AS value FROM s UNION ALL SELECT 'x', round((a * q - b * p) / (a * c - b * b), 6) FROM s""")
 def _(t):

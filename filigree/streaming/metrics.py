@@ -16,14 +16,17 @@ from filigree.sources.scratch import shared_dir
 
 
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], DataFrame], mode: str) -> DataFrame:
-    """Runs a stream to its end; returns the rows of all batches with their batch_id."""
-    root = shared_dir(stream.sparkSession)
+    """Runs a stream to its end; returns the rows of all batches with their batch_id, of an empty stream those of an empty batch 0."""
+    root, ran = shared_dir(stream.sparkSession), []
 
     def store(batch: DataFrame, number: int) -> None:
         each(batch, number).write.mode("overwrite").parquet(f"{root}/out/batch_id={number}")
+        ran.append(number)
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).foreachBatch(store).start()
     q.awaitTermination()
+    if not ran:
+        store(stream.sparkSession.createDataFrame([], stream.schema), 0)
     return stream.sparkSession.read.parquet(f"{root}/out")
 
 

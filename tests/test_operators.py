@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -210,7 +212,47 @@ def test_symlog_space_and_radial_kernel(spark):
     assert rows.agg(F.sum(F.col("re") ** 2 + F.col("im") ** 2)).first()[0] == pytest.approx(1, abs=1e-6)
 
 
-def test_images_are_read_and_written(spark, tmp_path):
+def test_clean_graph_keeps_the_lineage_of_branches(spark):
+    # A line 0-1-2-3 with a spur at 1, a far loop of two parallel branches between 4 and 5, and an end at 6.
+    nodes = spots(spark, [(0, 0), (0, 30), (0, 60), (0, 90), (90, 0), (90, 40), (90, 90), (3, 30)])
+    branches = edges(spark, [(0, 1), (1, 2), (2, 3), (1, 7), (4, 5), (4, 5), (5, 6)])
+    kept, _, lookup = rewrite.clean_graph(branches, nodes, KEYS, spurs=5, simplify="both")
+    got = {r.old_id: r.new_id for r in lookup.collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: None, 4: 4, 5: 4, 6: 4}
+    assert {r.branch_id for r in kept.collect()} == {0, 4}
+
+
+def test_masks_to_graphs_labels_the_pixels_of_its_branches(spark):
+    line = "".join("1" if 3 <= x <= 37 else "0" for x in range(41))
+    mask = pixels(spark, " ".join([*["0" * 41] * 3, *[line] * 3, *["0" * 41] * 3]))
+    branches, nodes, labels = rewrite.masks_to_graphs(mask, 5)
+    assert branches.count() == 1 and nodes.count() == 2
+    assert {r.branch_id for r in labels.collect()} == {r.branch_id for r in branches.collect()}
+
+
+def test_tangents_of_a_branch_without_length_are_null(spark):
+    nodes = spots(spark, [(5, 5), (5, 5)])
+    cells = spark.createDataFrame([(0, 0, 5, 5)], "graph_id long, branch_id long, y long, x long")
+    rows = graph.terminal_tangents(edges(spark, [(0, 1)]), nodes, cells, KEYS).collect()
+    assert [(r.ty, r.tx) for r in rows] == [(None, None)] * 2
+
+
+def test_images_are_read(spark, tmp_path):
+    grey = np.arange(12, dtype=np.uint8).reshape(3, 4)
+    color = np.arange(60, dtype=np.uint8).reshape(5, 4, 3)
+    for name, kind, a in (("grey", b"P5", grey), ("color", b"P6", color)):
+        raw = b"".join(b"\0" + a[y].tobytes() for y in range(len(a)))
+        head = struct.pack(">IIBBBBB", a.shape[1], a.shape[0], 8, 0 if kind == b"P5" else 2, 0, 0, 0)
+        chunk = lambda t, d: struct.pack(">I", len(d)) + t + d + struct.pack(">I", zlib.crc32(t + d))
+        (tmp_path / f"{name}.png").write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+    (tmp_path / "none.png").write_bytes(b"no image")
+    got = {(r.origin.rsplit("/", 1)[1], r.y, r.x): (r.b, r.g, r.r) for r in raster.read_images(spark, f"file://{tmp_path}", lines=2).collect()}
+    want = {("grey.png", y, x): (int(grey[y, x]),) * 3 for y in range(3) for x in range(4)}
+    want |= {("color.png", y, x): tuple(int(v) for v in color[y, x][::-1]) for y in range(5) for x in range(4)}
+    assert got == want
+
+
+def test_images_are_written(spark, tmp_path):
     df = spark.createDataFrame([(0, 1, 2)], "image_id long, y int, x int")
     raster.write_tables({"pixels": df}, f"file://{tmp_path}/out")
     assert spark.read.parquet(f"file://{tmp_path}/out/pixels").count() == 1
@@ -226,6 +268,15 @@ def test_streams_agree_with_batches(spark):
     assert tuple(stream_macro(stream()).first()) == pytest.approx(tuple(metrics.macro(counts).first()))
 
 
+def test_empty_streams_give_what_empty_batches_give(spark, tmp_path):
+    from filigree.streaming.metrics import stream_f1_topo, stream_macro, stream_micro
+
+    schema = "image_id long, correct_pred long, total_pred long, correct_target long, total_target long"
+    stream = lambda: spark.readStream.schema(schema).parquet(f"file://{tmp_path}")
+    assert stream_micro(stream()).count() == stream_macro(stream()).count() == 0
+    assert stream_f1_topo(stream(), lambda b: b).first().score is None
+
+
 def test_distances_are_exact_at_any_depth(spark):
     rng = random.Random(9)
     grids = {0: {(y, x) for y in range(14) for x in range(17) if (y, x) != (2, 3)}, 1: {(y, x) for y in range(14) for x in range(17)}}
