@@ -27,6 +27,8 @@ END = 2
 LEAST_CUT = 16
 #: A group is closed at so many documents or tokens.
 GROUP_DOCS, GROUP_TOKENS = 4096, 8_000_000
+#: So many rows of an Arrow batch are Python strings at a time.
+SLICE = 256
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -138,9 +140,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, e
         tokens = word_tokens(tokenizer_path)
         number = TaskContext.get().partitionId() << 32
         ids, held, total = [], [], 0
-        for batch in batches:
-            names = batch.column(0).to_pylist()
-            texts = batch.column(1).to_pylist()
+        for part in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
+            names, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
             at = 0
             while at < len(texts):
                 upto, chars = at, 0
