@@ -13,6 +13,20 @@ from filigree.sources.scratch import discard, saved, shared_dir  # noqa: F401
 SPACE = r"\x20\x09-\x0D"
 
 
+#: A batch of rows that Python gets holds at most so many bytes, or one row.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of the session's Arrow batches by BATCH_BYTES, unless the user has set a bound.
+
+    Spark's own is 10,000 rows or 64 MB, which each task holds several times, in the JVM and in its Python worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
@@ -223,6 +225,7 @@ def train(pages: DataFrame, size: int = 1000) -> Weights:
 
 
 def main_text(weights: Weights, html: Column, spark: SparkSession) -> Column:
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(weights)
 
     @F.pandas_udf("string")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from filigree.operators.components import connected_components
 
-from .common import chunks, discard, fresh, saved
+from .common import bounded_batches, chunks, discard, fresh, saved
 
 WORDS = 5
 #: What a task takes of one group at most from each side, and what of it is dealt out first: a set of n hashes counts as n + EACH.
@@ -475,6 +475,7 @@ def near_components(docs: DataFrame, chunk: int = CHUNK, part: int = PART) -> Da
 
 def _components(docs: DataFrame, chunk: int, part: int) -> DataFrame:
     """(doc_id, t1, t2, n_shingles, component_id, root): t1 and t2 name the row's text, root its component."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_text_keys(), "text")
     sets = saved(texts.mapInArrow(_sets, "doc_id long, t1 long, t2 long, n long, class long, prefix binary"))
     named = saved(sets.drop("prefix"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh, held_out
+from .common import bounded_batches, chunks, fresh, held_out
 
 LETTERS = 64
 HASHED = 1 << 15
@@ -169,6 +169,7 @@ def train(docs: DataFrame, size: int = 6000) -> Model:
 
 def language(model: Model, text: Column, spark: SparkSession) -> Column:
     """A struct (lang_pred, score) for a text column."""
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import shared_dir
+from .common import bounded_batches, shared_dir
 
 ROW, PAD = 576, 255
 #: An archive is closed at so many bytes; so is a batch.
@@ -123,6 +123,7 @@ def created(root: str) -> str:
 
 def write_archives(docs: DataFrame) -> str:
     """Stores the texts of docs (doc_id, text) in archives; returns the folder of their manifest."""
+    bounded_batches(docs.sparkSession)
     root = created(shared_dir(docs.sparkSession))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     manifest = shared_dir(docs.sparkSession)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 LENGTH = 4096
 #: Ends a document.
 END = 2
@@ -130,6 +132,7 @@ def _rows(ids: list, tokens: list[np.ndarray], first: int, length: int) -> tuple
 def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end: int = END, seed: int = 11) -> DataFrame:
     """Pieces of all documents (doc_id, text), as SCHEMA; sequences are numbered within each task's range."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):

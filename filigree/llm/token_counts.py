@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, saved, shared_dir
+from .common import bounded_batches, chunks, saved, shared_dir
 from .media import _files, created
 
 #: Bytes of a block, and of a file at which the next one is begun; ids are little-endian and 16 bits wide.
@@ -60,6 +60,7 @@ def _write(root: str, tokenizer_path: str, end: int):
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end: int) -> DataFrame:
     """Writes docs (doc_id, text) to token files; returns (path, ordinal, doc_id): which document is where."""
+    bounded_batches(docs.sparkSession)
     root = created(shared_dir(docs.sparkSession))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return saved(rows.mapInArrow(_write(root, tokenizer_path, end), "path string, ordinal long, doc_id long"))

@@ -48,7 +48,7 @@ class WordTokens:
     by tokenizers.
     """
 
-    def __init__(self, path: str, words: int = 400_000, special: bool = True):
+    def __init__(self, path: str, words: int = 200_000, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, held_out
+from .common import bounded_batches, chunks, held_out
 
 DECAY = 0.6
 SPAN = 6
@@ -323,6 +323,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = 2000, clean: int = 50
 
 def toxicity(model: Model, text: str | Column, spark) -> Column:
     """The score of a text column, 0 to 1."""
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -628,3 +629,29 @@ def test_pipeline_keeps_what_its_stages_keep(spark):
     for members in groups.values():
         assert len(kept & set(members)) <= 1
     assert len(kept) >= 0.6 * len(clean)
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    from filigree.llm import common
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+    try:
+        spark.conf.unset(key)
+        common.bounded_batches(spark)
+        long = spark.range(0, 9000, 1, 1).select(F.repeat(F.lit("x"), 3000).alias("text"))
+        found = long.mapInArrow(sizes, "rows long, bytes long").collect()
+        assert sum(r["rows"] for r in found) == 9000
+        assert max(r["bytes"] for r in found) < 1.1 * common.BATCH_BYTES
+        spark.conf.set(key, "1m")
+        common.bounded_batches(spark)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
+        if before is not None:
+            spark.conf.set(key, before)
