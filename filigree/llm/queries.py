@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, jaccard_join, language_id, media, packing, secret_scan, token_counts, toxicity
+from . import (
+    byte_bpe, chat_format, decontaminate, hard_negatives, html_extract, jaccard_join, language_id, media, packing, secret_scan, token_counts, toxicity,
+    whitening,
+)
 from .common import held_out, table
 
 
@@ -153,8 +156,49 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "pos", "part", "run", "value", "score", "is_secret")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = table(spark, sf_dir, "documents").select("doc_id", byte_bpe.encoded(F.col("text"), *file, spark).alias("ids"))
+    docs = docs.withColumn("bytes", byte_bpe.decoded(F.col("ids"), *file, spark))
+    joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return docs.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")
+    )
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+#: All pairs of an anchor and a row.
+SQL_NEGATIVES = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INT) AS rank,
+  id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), scale=1024, offset=100_000)
+
+
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_language_id": op2_language_id, "op4_chat_format": op4_chat_format}
 QUERIES |= {"op3_token_counts": op3_token_counts}
 QUERIES |= {"op5_decontamination": op5_decontamination, "op10_secret_scan": op10_secret_scan}
 QUERIES |= {"op6_jaccard_join": op6_jaccard_join, "op7_packing": op7_packing, "op8_html_extract": op8_html_extract, "op9_media": op9_media}
-SQL = {"op4_chat_format": SQL_CHAT, "op5_decontamination": SQL_DECONTAMINATION, "op6_jaccard_join": SQL_JACCARD}
+QUERIES |= {"op11_byte_bpe": op11_byte_bpe, "op12_hard_negatives": op12_hard_negatives, "op13_whitening": op13_whitening}
+SQL = {"op12_hard_negatives": SQL_NEGATIVES, "op4_chat_format": SQL_CHAT, "op5_decontamination": SQL_DECONTAMINATION, "op6_jaccard_join": SQL_JACCARD}

@@ -12,7 +12,7 @@ _PLAIN = re.compile("[\t\n\r -~\xa1-\xa9\xab-\xae\xb0\xb1\xb4-\xb8\xbb\xbf-įı-
 _PLAIN_ASCII = re.compile("[\t\n\r -~]*")
 
 
-class _Memo(dict):
+class Memo(dict):
     """Numbers words in the order in which they are first seen."""
 
     def __init__(self):
@@ -65,7 +65,7 @@ class WordTokens:
         self._forget()
 
     def _forget(self) -> None:
-        self.memo = _Memo()
+        self.memo = Memo()
         self.ids, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self) -> None:
