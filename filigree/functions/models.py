@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -13,11 +14,6 @@ from pyspark.sql import types as T
 from filigree.operators import raster, skeleton
 
 
-def padded(n: int, m: int = 32) -> int:
-    """The smallest multiple of m that is at least n."""
-    return m - (n - 1) % m + n - 1
-
-
 def predict_masks(image: DataFrame, h: int, w: int, make_model: Callable[[], Callable[[np.ndarray], np.ndarray]], roi: DataFrame | str | None = "auto", multiple: int = 32, batch_size: int = 4) -> DataFrame:
     """(image, y, x) of the pixels that a model's second class is over one half for.
 
@@ -25,7 +21,7 @@ def predict_masks(image: DataFrame, h: int, w: int, make_model: Callable[[], Cal
     multiples of ``multiple``. roi: a pixel table, "auto" for the region of interest of the image, or None.
     One row holds one image, which is what a model takes.
     """
-    hh, ww = padded(h, multiple), padded(w, multiple)
+    hh, ww = (math.ceil(n / multiple) * multiple for n in (h, w))
     cell = F.struct("y", "x", "b", "g", "r")
     whole = image.groupBy(raster.KEY).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
     flat = F.flatten(F.transform("cells", lambda c: F.array(*[(c[k] / 255.0).cast("float") for k in "bgr"])))

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-KEY = "image_id"
+from .tiles import KEY, over_tiles
+
 CELL = [KEY, "y", "x"]
 
 
@@ -213,13 +215,24 @@ def convolve(values: DataFrame, kernel: DataFrame, value: str = "v") -> DataFram
 
 
 def median_blur(image: DataFrame, value: str, size: int, h: int, w: int) -> DataFrame:
-    """(image, y, x, v): the median of the window around each cell of a dense image; borders are repeated."""
+    """(image, y, x, v): the median of the window around each cell of a dense image; borders are repeated.
+
+    By tiles with a halo of half a window. Where cells are absent, medians are of those there.
+    """
     r = size // 2
-    # A border cell stands for the cells beyond it, too.
-    reach = lambda c, n: F.sequence(F.when(F.col(c) == 0, F.lit(-r)).otherwise(F.col(c)), F.when(F.col(c) == n - 1, F.lit(n - 1 + r)).otherwise(F.col(c)))
-    wide = image.select(KEY, F.explode(reach("y", h)).alias("y"), "x", F.col(value).alias("_v")).select(KEY, "y", F.explode(reach("x", w)).alias("x"), "_v")
-    near = _spread(wide, offsets(size, size), "_v").filter(F.col("y").between(0, h - 1) & F.col("x").between(0, w - 1))
-    return near.groupBy(*CELL).agg(F.expr("percentile(_v, 0.5)").alias("v"))
+
+    def blur(mask, v, top, left):
+        # A border cell stands for the cells beyond it, too.
+        spot = lambda first, n, side: np.clip(np.clip(np.arange(first, first + side), 0, n - 1) - first, 0, side - 1)
+        v = v[np.ix_(spot(top, h, len(v)), spot(left, w, len(v)))]
+        windows = np.lib.stride_tricks.sliding_window_view(v, (size, size)).reshape(len(v) - 2 * r, len(v) - 2 * r, -1)
+        ranked, there = np.sort(windows, axis=2), size * size - np.isnan(windows).sum(2)  # NaN comes last
+        middle = sum(np.take_along_axis(ranked, np.maximum(k, 0)[..., None], 2)[..., 0] for k in ((there - 1) // 2, there // 2)) / 2
+        y, x = (c + r for c in np.nonzero(there))
+        known = (y + top >= 0) & (y + top < h) & (x + left >= 0) & (x + left < w)
+        return y[known], x[known], middle[there > 0][known]
+
+    return over_tiles(image.filter(F.col(value).isNotNull()), r, blur, "v double", value)
 
 
 def avg_pyramid(dense: DataFrame, n: int, h: int, w: int, value: str = "v") -> DataFrame:
@@ -245,21 +258,67 @@ def _to_ends(pixels: DataFrame, along: str, size: int, name: str) -> DataFrame:
     return ranked.withColumn(name, ends.cast("long"))
 
 
+def lower_envelope(at: list[int], height: list[int], ask: list[int]) -> list[int]:
+    """The least (q - at)² + height over all parabolas, for each q of ``ask``; ``at`` and ``ask`` rise.
+
+    A stack of the parabolas that are lowest somewhere, each with where it begins to be so, in linear time.
+    """
+    stack, begins = [], []
+    for q, f in zip(at, height, strict=True):
+        start = float("-inf")
+        while stack:
+            p, g = stack[-1]
+            start = (f + q * q - g - p * p) / (2 * (q - p))
+            if start > begins[-1]:
+                break
+            stack.pop(), begins.pop()
+            start = float("-inf")
+        stack.append((q, f))
+        begins.append(start)
+    out, k, last = [], 0, len(stack) - 1
+    for q in ask:
+        while k < last and begins[k + 1] <= q:
+            k += 1
+        p, g = stack[k]
+        out.append((q - p) * (q - p) + g)
+    return out
+
+
 def distance_transform(pixels: DataFrame, radius: int | None, h: int, w: int) -> DataFrame:
     """(image, y, x, distance) of each set pixel to the nearest background cell of its image; up to the radius, if one is given.
 
-    Exact at any depth: distances along rows first, then the least sum of squares over the rows of the
-    pixel's run in its column, as no row beyond the background at its ends is nearer. Null where the image
-    has no background (within the radius).
+    Exact at any depth, in time that grows with the pixels: distances along rows first, then down each column
+    the lower envelope of the parabolas that stand on its cells, at the height of their squared row distances,
+    and on the background cells at its runs' ends. Null where the image has no background (within the radius).
+    Repeated pixels count once; rows with a null coordinate are left out.
     """
-    cells = _to_ends(_to_ends(pixels.select(*CELL).distinct(), "x", w, "_row"), "y", h, "_col")
-    own = F.least(F.col("_row"), F.col("_col"))
-    others = cells.filter(F.col("_row").isNotNull()).select(KEY, "x", "_col_run", F.col("y").alias("_y"), F.col("_row").alias("_far"))
-    near = cells.select(*CELL, "_col_run", own.alias("_own")).join(others, [KEY, "x", "_col_run"], "left")
-    off = F.col("y") - F.col("_y")
-    near = near.groupBy(*CELL).agg(F.least(F.min(off * off + F.col("_far") * F.col("_far")), F.first(F.col("_own") * F.col("_own"))).alias("_d"))
-    kept = F.col("_d") if radius is None else F.when(F.col("_d") <= radius * radius, F.col("_d"))
-    return pixels.select(*CELL).join(near.select(*CELL, F.sqrt(kept).alias("distance")), CELL, "left")
+    cells = _to_ends(pixels.select(*CELL).dropna(subset=["y", "x"]).distinct(), "x", w, "_row")
+    columns = cells.groupBy(KEY, "x").agg(F.sort_array(F.collect_list(F.struct("y", "_row"))).alias("c"))
+    columns = columns.select(KEY, "x", F.col("c.y").alias("y"), F.col("c._row").alias("far"))
+    kind = dict(pixels.dtypes)
+
+    def run(batches):
+        for batch in batches:
+            squares = []
+            for y, far in zip(batch.column("y"), batch.column("far"), strict=True):
+                y, far = y.as_py(), far.as_py()
+                stand = {}
+                for here, before, after in zip(y, [None, *y[:-1]], [*y[1:], None], strict=True):
+                    if before != here - 1 and here > 0:
+                        stand[here - 1] = 0
+                    if after != here + 1 and here < h - 1:
+                        stand[here + 1] = 0
+                stand |= {q: f * f for q, f in zip(y, far, strict=True) if f is not None}
+                at = sorted(stand)
+                squares.append(lower_envelope(at, [stand[q] for q in at], y) if at else [None] * len(y))
+            own = batch.column("y")
+            of = pa.array(np.repeat(np.arange(len(own)), np.diff(own.offsets.to_numpy())))
+            flat = pa.array([d for s in squares for d in s], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(KEY).take(of), own.flatten(), batch.column("x").take(of), flat], [*CELL, "d"])
+
+    found = columns.mapInArrow(run, f"{KEY} {kind[KEY]}, y {kind['y']}, x {kind['x']}, d long")
+    kept = F.col("d") if radius is None else F.when(F.col("d") <= radius * radius, F.col("d"))
+    return found.select(*CELL, F.sqrt(kept).alias("distance"))
 
 
 def inside(box: tuple[float, float, float, float]) -> Column:

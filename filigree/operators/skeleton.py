@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from functools import cache
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filigree.sources.scratch import saved
+from filigree.sources.scratch import discard, saved
 
 from .components import connected_components
 from .raster import CELL, CLOCKWISE, KEY, dilate, window_code
+from .tiles import SIZE, labels, over_tiles
 
 # 3 x 3 patterns row by row; 1 must be set, 0 must not, 2 may be either.
 JUNCTION_3 = ["101 010 212", "101 212 010", "010 211 120", "210 011 102", "202 111 010", "120 012 101"]
@@ -149,16 +151,36 @@ def removable(first: bool) -> tuple[bool, ...]:
     return tuple(rule(c) for c in range(256))
 
 
+#: Rounds that a tile runs by itself, which spoil twice as many cells at the edge of its halo.
+ROUNDS = 8
+
+
+def thinned(mask: np.ndarray, rounds: int) -> np.ndarray:
+    """Up to so many rounds of two passes; what is beyond the array is background."""
+    state = np.pad(mask, 1)
+    rings = [divmod(b, 3) for b in CLOCKWISE]
+    tables = [np.array(removable(first)) for first in (True, False)]
+    h, w = mask.shape
+    for _ in range(rounds):
+        left = state.sum()
+        for table in tables:
+            code = sum(state[i : i + h, j : j + w].astype(np.uint8) << k for k, (i, j) in enumerate(rings))
+            state[1:-1, 1:-1] &= ~table[code]
+        if state.sum() == left:
+            break
+    return state[1:-1, 1:-1]
+
+
 def thin(pixels: DataFrame) -> DataFrame:
-    """(image, y, x) of lines one pixel wide, by two passes a round until a round removes nothing."""
-    spark, state, before = pixels.sparkSession, saved(pixels.select(*CELL).distinct()), -1
-    ring = sum((F.when(F.col("code").bitwiseAND(F.lit(1 << b)) != 0, 1 << i).otherwise(0) for i, b in enumerate(CLOCKWISE)), F.lit(0))
+    """(image, y, x) of lines one pixel wide, by two passes a round until a round removes nothing.
+
+    By tiles: each runs ROUNDS rounds before tiles exchange their halos.
+    """
+    state, before = saved(pixels.select(*CELL).dropna(subset=["y", "x"]).distinct()), -1
     while (now := state.count()) != before:
-        before = now
-        for first in (True, False):
-            table = F.broadcast(spark.createDataFrame([(c,) for c in range(256) if removable(first)[c]], "ring int"))
-            state = window_code(state).withColumn("ring", ring).join(table, "ring", "left_anti").select(*CELL)
-        state = saved(state)
+        before, old = now, state
+        state = saved(over_tiles(state, 2 * ROUNDS, lambda mask, *_: np.nonzero(thinned(mask, ROUNDS)), ""))
+        discard(old)
     return state
 
 
@@ -170,15 +192,26 @@ def pixel_id(y: str = "y", x: str = "x"):
 
 
 def components_pixels(pixels: DataFrame, connectivity: int = 2) -> DataFrame:
-    """(image, y, x, component): numbered by their first pixel; connectivity 1 is by sides, 2 by corners too."""
-    own = pixels.select(*CELL, pixel_id().alias("id"))
+    """(image, y, x, component): numbered by their first pixel; connectivity 1 is by sides, 2 by corners too.
+
+    Each tile finds its own components; only those that touch across an edge of tiles meet as a graph.
+    """
+
+    def local(mask, _, top, left):
+        y, x = np.nonzero(mask)
+        ids = ((y + top).astype(np.int64) << 31) + x + left
+        return y, x, ids[labels(mask, connectivity)]
+
+    own = saved(over_tiles(pixels, 0, local, "part long"))
+    last = lambda c: F.pmod(F.col(c), F.lit(SIZE)).isin(0, SIZE - 1)
+    edge = own.filter(last("y") | last("x"))
     ahead = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 2 else [])
-    spots = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in [(0, 0), *ahead]])
-    moved = own.select(KEY, F.col("id").alias("a"), F.col("y").alias("_y"), F.col("x").alias("_x"), F.explode(spots).alias("o"))
-    moved = moved.select(KEY, "a", (F.col("_y") + F.col("o.dy")).alias("y"), (F.col("_x") + F.col("o.dx")).alias("x"))
-    edges = moved.join(own.withColumnRenamed("id", "b"), CELL).select(KEY, "a", "b")
-    found = connected_components(edges, "a", "b", [KEY])
-    return own.join(found, [KEY, "id"]).select(*CELL, "component")
+    spots = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in ahead])
+    moved = edge.select(KEY, F.col("part").alias("a"), "y", "x", F.explode(spots).alias("o"))
+    moved = moved.select(KEY, "a", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
+    edges = moved.join(edge.withColumnRenamed("part", "b"), CELL).filter("a <> b").select(KEY, "a", "b").distinct()
+    found = connected_components(edges, "a", "b", [KEY]).withColumnRenamed("id", "part")
+    return own.join(found, [KEY, "part"], "left").select(*CELL, F.coalesce("component", "part").alias("component"))
 
 
 def remove_small_components(pixels: DataFrame, least: int = 3) -> DataFrame:
