@@ -22,6 +22,7 @@ def read_images(spark, path: str, lines: int = 256) -> DataFrame:
     """(origin, y, x, b, g, r) of image files; missing channels repeat the first.
 
     A task holds one image's bytes, and writes its pixels by so many lines at a time. Files that are no images give nothing.
+    ``sources.images`` stores images in strips, which many tasks write and read.
     """
     files = spark.read.format("image").load(path).select("image.*").filter("height > 0")
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from filigree.functions import geometry as g
 from filigree.operators import graph, raster
+from filigree.sources import images
+from filigree.sources.scratch import shared_dir
 
 from .registry import query
 
@@ -242,6 +244,27 @@ def _(t):
     return a.union(b).distinct()
 
 
+# --- images and tables in stores
+
+
+@query("read_images", "SELECT image_id, y, x, b, g, r FROM fx_image")
+def _(t):
+    path = shared_dir(t.spark)
+    images.write_images(t.fx_image, path)
+    return images.read_stored(t.spark, path)
+
+
+@query("write_tables", "SELECT graph_id, side, branch_id, node1, node2, n1.y AS y1, n2.y AS y2 FROM fx_branches JOIN fx_nodes n1 USING (graph_id, side) JOIN fx_nodes n2 USING (graph_id, side) WHERE n1.node_id = node1 AND n2.node_id = node2")
+def _(t):
+    path = shared_dir(t.spark)
+    raster.write_tables({"branches": t.fx_branches, "nodes": t.fx_nodes}, path, "graph_id")
+    branches, nodes = (t.spark.read.parquet(f"{path}/{name}").drop("bucket") for name in ("branches", "nodes"))
+    for k in "12":
+        own = nodes.select("graph_id", "side", F.col("node_id").alias(f"node{k}"), F.col("y").alias(f"y{k}"))
+        branches = branches.join(own, ["graph_id", "side", f"node{k}"])
+    return branches.select("graph_id", "side", "branch_id", "node1", "node2", "y1", "y2")
+
+
 # --- rasters as tables
 
 
