@@ -145,6 +145,48 @@ def assign(gain: np.ndarray) -> list[tuple[int, int]]:
     return [(owner[j] - 1, j - 1) for j in range(1, m + 1) if owner[j] and gain[owner[j] - 1, j - 1] > 0]
 
 
+#: Dense gain tables of up to so many cells are solved by augmenting paths, larger parts by an auction over their pairs.
+DENSE = 40_000
+#: Steps of the auction as shares of the largest gain: the first, the last, and the ratio of one to the next.
+FIRST, LAST, RATIO = 0.25, 1e-12, 8
+
+
+def assign_sparse(pairs: list[tuple[int, int, float]]) -> set[tuple[int, int]]:
+    """The pairs (i, j, gain) of largest total gain, by an auction with epsilon scaling in memory that grows with the pairs.
+
+    Nodes may stay unmatched: each is a bidder and an object, the two of a node may take each other for
+    nothing, and for each pair the second node's bidder may take the first's object for nothing. So there is
+    always an object for everyone, and the total is within LAST times the largest gain of the best for each node.
+    """
+    wants: dict[int, dict[int, float]] = {}
+    for i, j, gain in pairs:
+        for bidder, thing, worth in ((2 * i, 2 * j + 1, gain), (2 * j + 1, 2 * i, 0.0), (2 * i, 2 * i, 0.0), (2 * j + 1, 2 * j + 1, 0.0)):
+            own = wants.setdefault(bidder, {})
+            own[thing] = max(own.get(thing, 0.0), worth)
+    most = max((gain for *_, gain in pairs), default=0.0)
+    choices = {k: (list(own), list(own.values())) for k, own in wants.items()}
+    price, step, owner = dict.fromkeys(wants, 0.0), most * FIRST, {}
+    while most > 0:
+        owner, waiting = {}, list(wants)
+        while waiting:
+            bidder = waiting.pop()
+            best = second = float("-inf")
+            for thing, gain in zip(*choices[bidder], strict=True):
+                value = gain - price[thing]
+                if value > best:
+                    best, second, chosen = value, best, thing
+                elif value > second:
+                    second = value
+            price[chosen] += best - second + step
+            if (before := owner.get(chosen)) is not None:
+                waiting.append(before)
+            owner[chosen] = bidder
+        if step <= most * LAST:
+            break
+        step = max(step / RATIO, most * LAST)
+    return {(bidder // 2, thing // 2) for thing, bidder in owner.items() if thing % 2 and not bidder % 2}
+
+
 def assign_component(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """The best assignment in each component (keys, component, pred_node, target_node, distance, gain)."""
     schema = pairs.select(*keys, "pred_node", "target_node", "distance").schema
@@ -152,25 +194,32 @@ def assign_component(pairs: DataFrame, keys: list[str]) -> DataFrame:
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["distance", "pred_node", "target_node"])
         a, b = np.unique(part.pred_node), np.unique(part.target_node)
-        gain = np.zeros((len(a), len(b)))
         i, j = np.searchsorted(a, part.pred_node), np.searchsorted(b, part.target_node)
-        gain[i, j] = part.gain
-        chosen = set(assign(gain))
+        if len(a) * len(b) <= DENSE:
+            gain = np.zeros((len(a), len(b)))
+            gain[i, j] = part.gain
+            chosen = set(assign(gain))
+        else:
+            chosen = assign_sparse(list(zip(i.tolist(), j.tolist(), part.gain.tolist(), strict=True)))
         keep = [(x, y) in chosen for x, y in zip(i, j, strict=True)]
         return part.loc[keep, [f.name for f in schema]]
 
     return pairs.groupBy(*keys, "component").applyInPandas(solve, schema)
 
 
+def gain_parts(gains: DataFrame, keys: list[str]) -> DataFrame:
+    """``gains`` with the connected part of each pair, as ``component``."""
+    edges = gains.select(*keys, (F.col("pred_node") * 2).alias("a"), (F.col("target_node") * 2 + 1).alias("b"))
+    part = connected_components(edges, "a", "b", keys).filter("id % 2 = 0").select(*keys, (F.col("id") / 2).cast("long").alias("pred_node"), "component")
+    return gains.join(part, [*keys, "pred_node"])
+
+
 def match_nodes(pred: DataFrame, target: DataFrame, keys: list[str], limit: float, sigma: float | None = None, least: float | None = None, gamma: float = 0) -> DataFrame:
     """(keys, pred_node, target_node, distance) of the assignment with the largest total weight.
 
     Pairs without a gain never improve it, so it is solved in each connected part of the pairs with one.
     """
-    gains = saved(match_gains(pred, target, keys, limit, sigma, least, gamma))
-    edges = gains.select(*keys, (F.col("pred_node") * 2).alias("a"), (F.col("target_node") * 2 + 1).alias("b"))
-    part = connected_components(edges, "a", "b", keys).filter("id % 2 = 0").select(*keys, (F.col("id") / 2).cast("long").alias("pred_node"), "component")
-    rows = gains.join(part, [*keys, "pred_node"])
+    rows = gain_parts(saved(match_gains(pred, target, keys, limit, sigma, least, gamma)), keys)
     # A pair that is alone in its part is its best assignment; only the others go to Python.
     sized = saved(rows.join(rows.groupBy(*keys, "component").agg(F.count("*").alias("_pairs")), [*keys, "component"]))
     alone = sized.filter("_pairs = 1").select(*keys, "pred_node", "target_node", "distance")

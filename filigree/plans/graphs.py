@@ -450,8 +450,8 @@ def _(t):
 
 @query("assign_component", BEST_PAIRS)
 def _(t):
-    gains = match.match_gains(*sides(t.fx_nodes), ["graph_id"], 20).withColumn("component", F.lit(0))
-    return match.assign_component(gains, ["graph_id"]).withColumn("distance", r6("distance"))
+    gains = saved(match.match_gains(*sides(t.fx_nodes), ["graph_id"], 20))
+    return match.assign_component(match.gain_parts(gains, ["graph_id"]), ["graph_id"]).withColumn("distance", r6("distance"))
 
 
 @query("greedy_match", f"""WITH pairs AS (SELECT a.graph_id, a.node_id AS p, b.node_id AS q, {D12} AS d FROM {AB}),
