@@ -6,12 +6,14 @@ id. Candidates within a limit are found by cells of its size; without a limit al
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filigree.sources.scratch import saved
+from filigree.sources.scratch import discard, saved
 
 from .components import connected_components
 
@@ -44,6 +46,41 @@ def nearest_node(pairs: DataFrame, keys: list[str], side: str = "pred_node", oth
     return best.select(*keys, side, f"_b.{other}", "_b.distance")
 
 
+def _known(nodes: DataFrame) -> DataFrame:
+    """The nodes that have a place."""
+    return nodes.filter((F.abs("y") < float("inf")) & (F.abs("x") < float("inf")))
+
+
+def nearest(pred: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pred_node, target_node, distance): the nearest target of each pred, without a table of all pairs.
+
+    Cells are as wide as a graph's targets lie apart on average. Each pred looks in the cells around its own;
+    those that find a target within a cell's width are done, the others look again in cells four times as
+    wide. Nodes without a finite place and graphs without targets give no row.
+    """
+    extent = lambda c: F.max(c) - F.min(c)
+    n, h, w = F.count("*"), extent("y"), extent("x")
+    spots = _known(target)
+    spacing = spots.groupBy(*keys).agg(F.greatest(F.sqrt(h * w / n), F.greatest(h, w) / n).alias("_s")).withColumn("_s", F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0))
+    place = lambda df, name, k: saved(df.join(spacing, keys).select(*keys, F.col("node_id").alias(name), F.col("y").alias(f"_y{k}"), F.col("x").alias(f"_x{k}"), "_s"))
+    left, spots, out, reach = place(_known(pred), "pred_node", 1), place(spots, "target_node", 2), None, 1.0
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    while True:
+        # A little wider than the reach, so that rounding puts no target within it two cells away.
+        cell = lambda c: F.floor(F.col(c) / (F.col("_s") * (reach * (1 + 1e-9))))  # noqa: E731, B023
+        a = left.withColumn("_o", F.explode(around)).withColumns({"_cy": cell("_y1") + F.col("_o.i"), "_cx": cell("_x1") + F.col("_o.j")})
+        b = spots.withColumns({"_cy": cell("_y2"), "_cx": cell("_x2")}).drop("_s")
+        d = F.hypot(F.col("_y1") - F.col("_y2"), F.col("_x1") - F.col("_x2"))
+        pairs = a.join(b, [*keys, "_cy", "_cx"]).withColumn("distance", d).filter(F.col("distance") <= F.col("_s") * reach)
+        found = saved(nearest_node(pairs, keys))
+        out = found if out is None else out.unionByName(found)
+        rest, before = saved(left.join(found, [*keys, "pred_node"], "left_anti")), left
+        discard(before)
+        if rest.isEmpty():
+            return out
+        left, reach = rest, reach * 4
+
+
 def mutual_nearest(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs that are each other's nearest."""
     a = nearest_node(pairs, keys)
@@ -51,11 +88,26 @@ def mutual_nearest(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, [*keys, "pred_node", "target_node"])
 
 
+#: What the nodes beyond the reach of a density may add to it at most.
+DENSITY_ERROR = 1e-9
+
+
+def density_reach(most: int, sigma: float) -> float:
+    """A radius beyond which ``most`` nodes add at most DENSITY_ERROR to a sum of exp(-d² / 2 sigma²)."""
+    return sigma * math.sqrt(2 * math.log(max(most, 1) / DENSITY_ERROR))
+
+
 def node_density(pred: DataFrame, target: DataFrame, keys: list[str], sigma: float) -> DataFrame:
-    """(keys, node_id, density) of pred: means of how crowded its own and the other graph are there, each 0 to 1."""
+    """(keys, node_id, density) of pred: means of how crowded its own and the other graph are there, each 0 to 1.
+
+    Nodes are looked up by cells up to the radius beyond which all nodes of the largest graph together add
+    less than DENSITY_ERROR, so a density is too small by at most that.
+    """
+    counts = pred.groupBy(*keys).count().unionByName(target.groupBy(*keys).count())
+    reach = density_reach(counts.agg(F.max("count")).first()[0] or 1, sigma)
 
     def crowd(other: DataFrame) -> DataFrame:
-        pairs = cross_distance(pred, other, keys)
+        pairs = cross_distance(pred, other, keys, reach)
         weight = F.exp(-F.col("distance") * F.col("distance") / (2 * sigma * sigma))
         return pairs.groupBy(*keys, F.col("pred_node").alias("node_id")).agg(F.sum(weight).alias("_s"))
 
@@ -69,7 +121,7 @@ def node_density(pred: DataFrame, target: DataFrame, keys: list[str], sigma: flo
 def match_limits(pred: DataFrame, target: DataFrame, keys: list[str], limit: float, sigma: float, least: float | None = None) -> DataFrame:
     """(keys, node_id, max_distance) of pred: the limit times what the density of the nearest node opposite leaves."""
     least = max(limit / 20, 1) if least is None else least
-    near = nearest_node(cross_distance(pred, target, keys), keys)
+    near = nearest(pred, target, keys)
     density = node_density(target, pred, keys, sigma).withColumnRenamed("node_id", "target_node")
     own = near.join(density, [*keys, "target_node"])
     value = F.least(F.greatest(limit * (1 - F.col("density")), F.lit(float(least))), F.lit(float(limit)))
@@ -102,7 +154,7 @@ def match_gains(pred: DataFrame, target: DataFrame, keys: list[str], limit: floa
     """(keys, pred_node, target_node, distance, gain) of the pairs with a gain, which lie within the limit.
 
     The largest distance of a graph cancels out of gains, so only near pairs are looked at. With a sigma, the limits
-    of the nodes are at most ``limit`` too; they still come from all pairs, as no density is cut.
+    of the nodes are at most ``limit`` too.
     """
     if limit is None:
         return match_weights(pred, target, keys, limit, sigma, least, gamma).filter("gain > 0").drop("weight")

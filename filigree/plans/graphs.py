@@ -398,7 +398,7 @@ def _(t):
 
 @query("nearest_node", f"WITH {NEAREST} SELECT graph_id, pred_node, target_node, round(distance, 6) AS distance FROM near")
 def _(t):
-    out = match.nearest_node(match.cross_distance(*sides(t.fx_nodes), ["graph_id"]), ["graph_id"])
+    out = match.nearest(*sides(saved(t.fx_nodes)), ["graph_id"])
     return out.withColumn("distance", r6("distance"))
 
 
