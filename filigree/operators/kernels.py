@@ -12,15 +12,67 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from filigree.sources.scratch import saved
+
+
+#: Parts that a range of values is cut into by each round of a selection.
+PARTS = 1024
+
+
+def order_statistics(values: DataFrame, key: str, value: str, asked: DataFrame) -> DataFrame:
+    """(key, rank, v): the value of each rank from 0 in each group, exactly, without holding or sorting a group.
+
+    ``asked`` has key and rank. Each asked rank has a range of values that holds it. A round counts the values
+    of a range in PARTS parts, and the part that holds the rank, from its least to its largest value, is the
+    next range, until these are the same; every other round parts it by orders of magnitude. What a group keeps is bounded by PARTS times its ranks. Values must
+    be finite; ranks that a group does not have give no row.
+    """
+    own = values.select(key, F.col(value).cast("double").alias("_w"))
+    whole = own.groupBy(key).agg(F.count("*").alias("_n"), F.min("_w").alias("_lo"), F.max("_w").alias("_hi"))
+    state = saved(asked.select(key, F.col("rank").cast("long").alias("rank")).distinct().join(whole, key).filter("rank >= 0 and rank < _n").select(key, "rank", "_lo", "_hi", F.lit(0).cast("long").alias("_below")))
+    done, turn = state.filter("_lo = _hi"), 0
+    while not (wide := state.filter("_lo < _hi")).isEmpty():
+        ranges = wide.select(key, "_lo", "_hi").distinct()
+        # Halves, where the width of a range would overflow.
+        off, width = F.col("_w") - F.col("_lo"), F.col("_hi") - F.col("_lo")
+        half_off, half_width = F.col("_w") / 2 - F.col("_lo") / 2, F.col("_hi") / 2 - F.col("_lo") / 2
+        share = F.when(half_width > 1e300, half_off / half_width).otherwise(off / width)
+        if turn % 2:  # by orders of magnitude, for values of very different sizes
+            size = lambda c: F.when(F.col(c) == 0, 0.0).otherwise(F.signum(c) * (F.log(F.abs(c)) + 746))
+            share = F.when(size("_hi") > size("_lo"), (size("_w") - size("_lo")) / (size("_hi") - size("_lo"))).otherwise(share)
+        turn += 1
+        at = F.floor(share * PARTS)
+        inside = own.join(ranges, key).filter("_w between _lo and _hi").withColumn("_part", F.least(at, F.lit(PARTS - 1)))
+        parts = inside.groupBy(key, "_lo", "_hi", "_part").agg(F.count("*").alias("_c"), F.min("_w").alias("_a"), F.max("_w").alias("_z"))
+        before = F.sum("_c").over(Window.partitionBy(key, "_lo", "_hi").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+        parts = parts.withColumn("_before", F.coalesce(before, F.lit(0)))
+        first = F.col("_below") + F.col("_before")
+        held = wide.join(parts, [key, "_lo", "_hi"]).filter((F.col("rank") >= first) & (F.col("rank") < first + F.col("_c")))
+        state = saved(held.select(key, "rank", F.col("_a").alias("_lo"), F.col("_z").alias("_hi"), first.alias("_below")))
+        done = done.unionByName(state.filter("_lo = _hi"))
+    return done.select(key, "rank", F.col("_lo").alias("v"))
+
 
 def weight_quantiles(weights: DataFrame, bands: int = 3) -> DataFrame:
-    """Median and nested bands of each kernel's weights, by linear interpolation: q0 is the innermost."""
-    share = [(i + 1) / (bands + 1) / 2 for i in range(bands)]
-    q = lambda p: F.expr(f"percentile(w, {p}D)")
-    columns = [q(0.5).alias("median")]
-    for i, s in enumerate(share):
-        columns += [q(0.5 + s).alias(f"q{i}"), q(0.5 - s).alias(f"minus_q{i}")]
-    return weights.groupBy("kernel_id").agg(*columns)
+    """Median and nested bands of each kernel's weights, by linear interpolation: q0 is the innermost.
+
+    Weights that are null, NaN or infinite don't count; a kernel without others has null quantiles.
+    """
+    share = {"median": 0.5}
+    for i in range(bands):
+        half = (i + 1) / (bands + 1) / 2
+        share |= {f"q{i}": 0.5 + half, f"minus_q{i}": 0.5 - half}
+    known = weights.select("kernel_id", F.col("w").cast("double").alias("w")).filter(F.abs("w") < float("inf"))
+    names = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(p).alias("p")) for k, p in share.items()])).alias("q")
+    spots = known.groupBy("kernel_id").agg(F.count("*").alias("n")).select("kernel_id", "n", names).select("kernel_id", "q.name", (F.col("q.p") * (F.col("n") - 1)).alias("at"))
+    spots = saved(spots.select("kernel_id", "name", "at", F.floor("at").alias("low"), F.ceil("at").alias("high")))
+    asked = spots.select("kernel_id", F.explode(F.array("low", "high")).alias("rank"))
+    found = saved(order_statistics(known, "kernel_id", "w", asked))
+    for side in ("low", "high"):
+        spots = spots.join(found.select("kernel_id", F.col("rank").alias(side), F.col("v").alias(f"_{side}")), ["kernel_id", side])
+    value = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("at") - F.col("low"))
+    wide = spots.groupBy("kernel_id").agg(*[F.max(F.when(F.col("name") == k, value)).alias(k) for k in share])
+    return weights.select("kernel_id").distinct().join(wide, "kernel_id", "left")
 
 
 def edges(low: float, high: float, bins: int, space: str = "linear", scale: float | None = None) -> list[float]:

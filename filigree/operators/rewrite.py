@@ -199,31 +199,42 @@ def remove_spurs_by_distance(branches: DataFrame, nodes: DataFrame, keys: list[s
 
 
 def small_cycles(branches: DataFrame, nodes: DataFrame, keys: list[str], distance: float) -> DataFrame:
-    """(keys, cycle_nodes) of chordless cycles of three or four nodes whose nodes are all nearer than the distance."""
-    pairs = branches.filter("node1 <> node2").select(*keys, F.col("node1").alias("p"), F.col("node2").alias("q")).distinct()
+    """(keys, cycle_nodes) of chordless cycles of three or four nodes whose nodes are all nearer than the distance.
+
+    Nodes are ranked by their degree. A cycle is looked for from corners below its highest node, which have
+    few neighbours where that one has many, so a hub's neighbours never meet each other: about the number of
+    links to the power of 1.5 corners in all. Of four, the highest node and the one opposite are tested first.
+    """
+    pairs = branches.filter("node1 <> node2").select(*keys, F.least("node1", "node2").alias("p"), F.greatest("node1", "node2").alias("q")).distinct()
     pos = nodes.select(*keys, "node_id", "y", "x")
-    for k in ("p", "q"):
-        pairs = pairs.join(pos.withColumnsRenamed({"node_id": k, "y": f"_y{k}", "x": f"_x{k}"}), [*keys, k])
+
+    def spanned(df: DataFrame, u: str, v: str) -> DataFrame:
+        """The rows whose two nodes are nearer than the distance."""
+        for k in (u, v):
+            df = df.join(pos.withColumnsRenamed({"node_id": k, "y": f"_y{k}", "x": f"_x{k}"}), [*keys, k])
+        near = F.hypot(F.col(f"_y{u}") - F.col(f"_y{v}"), F.col(f"_x{u}") - F.col(f"_x{v}")) < distance
+        return df.filter(near).drop(f"_y{u}", f"_y{v}", f"_x{u}", f"_x{v}")
+
     # Only sides that are short enough can be in such a cycle, but any side is a chord.
-    chords = saved(pairs.select(*keys, "p", "q"))
-    short = saved(pairs.filter(F.hypot(F.col("_yp") - F.col("_yq"), F.col("_xp") - F.col("_xq")) < distance).select(*keys, "p", "q"))
-    both = short.unionByName(short.select(*keys, F.col("q").alias("p"), F.col("p").alias("q")))
-    ab, bc = short.select(*keys, F.col("p").alias("a"), F.col("q").alias("b")), short.select(*keys, F.col("p").alias("b"), F.col("q").alias("c"))
-    three = ab.join(bc, [*keys, "b"]).join(short.select(*keys, F.col("p").alias("a"), F.col("q").alias("c")), [*keys, "a", "c"])
-    three = three.select(*keys, F.array("a", "b", "c").alias("cycle_nodes"))
-    # Four: a is the smallest, b and d its neighbours in order, c opposite.
-    arm = both.filter("p < q").select(*keys, F.col("p").alias("a"), F.col("q").alias("b"))
-    wing = arm.join(arm.select(*keys, "a", F.col("b").alias("d")), [*keys, "a"]).filter("b < d")
-    tip = both.select(*keys, F.col("p").alias("b"), F.col("q").alias("c"))
-    four = wing.join(tip, [*keys, "b"]).filter("c > a and c <> d").join(both.select(*keys, F.col("p").alias("d"), F.col("q").alias("c")), [*keys, "d", "c"])
-    for u, v in (("a", "c"), ("b", "d")):
-        cut = chords.select(*keys, F.col("p").alias("_u"), F.col("q").alias("_v"))
-        four = four.withColumns({"_u": F.least(u, v), "_v": F.greatest(u, v)}).join(cut, [*keys, "_u", "_v"], "left_anti").drop("_u", "_v")
-    diagonals = four.select(*keys, "a", "b", "c", "d")
-    for k in "abcd":
-        diagonals = diagonals.join(pos.withColumnsRenamed({"node_id": k, "y": f"_y{k}", "x": f"_x{k}"}), [*keys, k])
-    span = lambda u, v: F.hypot(F.col(f"_y{u}") - F.col(f"_y{v}"), F.col(f"_x{u}") - F.col(f"_x{v}"))
-    four = diagonals.filter(F.greatest(span("a", "c"), span("b", "d")) < distance).select(*keys, F.array("a", "b", "c", "d").alias("cycle_nodes"))
+    chords = saved(pairs)
+    short = spanned(chords, "p", "q").select(*keys, "p", "q")
+    both = saved(short.unionByName(short.select(*keys, F.col("q").alias("p"), F.col("p").alias("q"))))
+    rank = both.groupBy(*keys, "p").agg(F.count("*").alias("n")).select(*keys, "p", F.struct("n", "p").alias("_r"))
+    links = both.join(rank, [*keys, "p"]).join(rank.withColumnsRenamed({"p": "q", "_r": "_s"}), [*keys, "q"])
+    links = saved(links.select(*keys, F.col("p").alias("u"), F.col("q").alias("v"), "_r", "_s"))
+    up = links.filter("_r < _s").select(*keys, "u", "v", F.col("_s").alias("_v"))
+    corner = up.join(links.select(*keys, "u", F.col("v").alias("w"), F.col("_s").alias("_w"), (F.col("_r") < F.col("_s")).alias("_up")), [*keys, "u"])
+    corner = corner.filter("_w < _v").select(*keys, "u", "v", "w", F.least("v", "w").alias("p"), F.greatest("v", "w").alias("q"), "_up")
+    # Three: both other nodes above u, and linked.
+    three = corner.filter("_up").join(short, [*keys, "p", "q"], "left_semi")
+    three = three.select(*keys, F.array_sort(F.array("u", "v", "w")).alias("cycle_nodes"))
+    # Four: v is the highest, w opposite; any two u between the same v and w.
+    open_ = saved(spanned(corner.join(chords, [*keys, "p", "q"], "left_anti").select(*keys, "u", "v", "w"), "v", "w"))
+    four = open_.join(open_.withColumnRenamed("u", "o"), [*keys, "v", "w"]).filter("u < o").select(*keys, "u", "o", "v", "w")
+    four = spanned(four.join(chords.withColumnsRenamed({"p": "u", "q": "o"}), [*keys, "u", "o"], "left_anti"), "u", "o")
+    # The smallest node first, its two neighbours in order around the one opposite.
+    p, q = F.least("v", "w"), F.greatest("v", "w")
+    four = four.select(*keys, F.when(F.col("u") < p, F.array("u", p, "o", q)).otherwise(F.array(p, "u", q, "o")).alias("cycle_nodes"))
     return three.unionByName(four)
 
 
