@@ -30,7 +30,9 @@ def tiled(cells: DataFrame, halo: int, value: str | None = None, size: int = SIZ
     v = F.lit(1.0) if value is None else F.col(value).cast("double")
     own = cells.select(KEY, "y", "x", v.alias("v")).dropna(subset=["y", "x"]).withColumn("ty", F.explode(reach("y"))).withColumn("tx", F.explode(reach("x")))
     at = (F.col("y") - F.col("ty") * size + halo) * side + F.col("x") - F.col("tx") * size + halo
-    each = own.groupBy(KEY, "ty", "tx").agg(F.collect_list(F.struct(at.cast("int").alias("at"), "v")).alias("cells"))
+    # By a number of partitions, which are not merged for being small: work on a tile grows with its window, not its bytes.
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = own.repartition(tasks, KEY, "ty", "tx").groupBy(KEY, "ty", "tx").agg(F.collect_list(F.struct(at.cast("int").alias("at"), "v")).alias("cells"))
     return each.select(KEY, "ty", "tx", F.col("cells.at").alias("at"), F.col("cells.v").alias("v"))
 
 

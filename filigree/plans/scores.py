@@ -222,33 +222,41 @@ def _(t):
 # --- streams
 
 
-def _stream(t, df):
-    """A table as a stream of files."""
-    df = saved(df)
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 16).parquet(df._scratch)
+def _stream(t, df, files: int = 2):
+    """A table as a stream of files, dealt out by a hash of whole rows, so that what belongs together comes apart."""
+    df = saved(df.repartition(6, F.xxhash64(*df.columns)))
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(df._scratch)
 
 
 @query("stream_cl_dice", f"WITH {MICRO} {MICRO_SELECT}")
 def _(t):
-    return streams.stream_micro(_stream(t, metrics.cl_counts(t.fx_masks))).withColumns(r6(*PRS))
+    return streams.stream_cl_dice(_stream(t, t.fx_masks)).withColumns(r6(*PRS))
 
 
 @query("stream_mean_metric", f"WITH {MACRO} {MACRO_SELECT}")
 def _(t):
-    return streams.stream_macro(_stream(t, metrics.cl_counts(t.fx_masks))).withColumns(r6(*PRS))
+    return streams.stream_mean_cl_dice(_stream(t, t.fx_masks)).withColumns(r6(*PRS))
 
 
 @query("stream_f1_topo", f"WITH RECURSIVE {TOPO_MICRO} {MICRO_SELECT}")
 def _(t):
     from filigree.operators import paths
 
-    def counts(batch):
-        own = saved(batch)
-        part = [d.filter(F.col("side") == k).drop("side").join(own, "graph_id", "left_semi") for k in ("pred", "target") for d in (t.fx_branches, t.fx_nodes)]
+    branches = t.fx_branches.select("graph_id", "side", F.lit("branch").alias("kind"), F.col("branch_id").alias("id"), "node1", "node2", F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("x"))
+    none = F.lit(None).cast("long")
+    nodes = t.fx_nodes.select("graph_id", "side", F.lit("node").alias("kind"), F.col("node_id").alias("id"), none.alias("node1"), none.alias("node2"), "y", "x")
+
+    def counts(rows):
+        rows = saved(rows)
+        part = []
+        for side in ("pred", "target"):
+            own = rows.filter(F.col("side") == side)
+            part.append(own.filter("kind = 'branch'").select("graph_id", F.col("id").alias("branch_id"), "node1", "node2"))
+            part.append(own.filter("kind = 'node'").select("graph_id", F.col("id").alias("node_id"), "y", "x"))
         return metrics.topo_counts(paths.edit_distance(*part, ["graph_id"], 20), ["graph_id"])
 
-    graphs = _stream(t, t.fx_branches.select("graph_id").distinct().coalesce(2))
-    return streams.stream_f1_topo(graphs, counts).withColumns(r6(*PRS))
+    stream = _stream(t, branches.unionByName(nodes), 3)
+    return streams.stream_f1_topo_rows(stream, ["graph_id"], counts).withColumns(r6(*PRS))
 
 
 # --- user functions
