@@ -31,19 +31,20 @@ def sides(df):
 # --- relabelling
 
 
-@query("compact_ids", f"SELECT {K}, node_id, CAST(dense_rank() OVER (PARTITION BY {K} ORDER BY node_id) - 1 AS BIGINT) AS new_id FROM fx_nodes WHERE node_id % 3 <> 0")
+@query("compact_ids", f"SELECT {K}, node_id, CAST(dense_rank() OVER (PARTITION BY {K} ORDER BY node_id) - 1 AS BIGINT) AS new_id FROM fx_nodes")
 def _(t):
-    return graph.compact_ids(t.fx_nodes.filter("node_id % 3 <> 0"), KEYS, "node_id").select(*KEYS, "node_id", "new_id")
+    return graph.compact_ids(t.fx_nodes, KEYS, "node_id").select(*KEYS, "node_id", "new_id")
 
 
 def _lookup(t):
     new = F.when(F.col("node_id") % 7 != 0, F.expr(CLUSTER))
-    return t.fx_nodes.filter("node_id % 2 = 0").select(*KEYS, F.col("node_id").alias("old_id"), new.alias("new_id"))
+    return t.fx_nodes.select(*KEYS, F.col("node_id").alias("old_id"), new.alias("new_id"))
 
 
 @query("apply_lookup", f"SELECT {K}, branch_id, CASE WHEN node1 % 2 = 1 THEN node1 WHEN node1 % 7 <> 0 THEN node1 % 10 END AS node1, node2 FROM fx_branches")
 def _(t):
-    return graph.apply_lookup(t.fx_branches, _lookup(t), KEYS, "node1")
+    # Ids that a lookup does not list stay.
+    return graph.apply_lookup(t.fx_branches, _lookup(t).filter("old_id % 2 = 0"), KEYS, "node1")
 
 
 @query("add_background", f"SELECT {K}, branch_id + 1 AS branch_id FROM fx_branches")
@@ -51,7 +52,7 @@ def _(t):
     return graph.add_background(t.fx_branches.select(*KEYS, "branch_id"), "branch_id")
 
 
-@query("invert_lookup", f"SELECT {K}, node_id % 10 AS new_id, min(node_id) AS old_id, count(*) AS n FROM fx_nodes WHERE node_id % 2 = 0 AND node_id % 7 <> 0 GROUP BY ALL")
+@query("invert_lookup", f"SELECT {K}, node_id % 10 AS new_id, min(node_id) AS old_id, count(*) AS n FROM fx_nodes WHERE node_id % 7 <> 0 GROUP BY ALL")
 def _(t):
     return graph.invert_lookup(_lookup(t), KEYS)
 
@@ -295,14 +296,14 @@ def _(t):
     return connected_components(t.fx_branches, "node1", "node2", KEYS)
 
 
-@query("unite_clusters", f"""WITH RECURSIVE member AS (SELECT {K}, branch_id AS cluster_id, unnest([node1, node2]) AS item_id FROM fx_branches WHERE branch_id % 2 = 0),
+@query("unite_clusters", f"""WITH RECURSIVE member AS (SELECT {K}, branch_id AS cluster_id, unnest([node1, node2]) AS item_id FROM fx_branches),
   reach AS (SELECT {K}, item_id, item_id AS root FROM member UNION SELECT n.graph_id, n.side, n.item_id, r.root FROM reach r
   JOIN member m ON m.graph_id = r.graph_id AND m.side = r.side AND m.item_id = r.item_id JOIN member n ON n.graph_id = m.graph_id AND n.side = m.side AND n.cluster_id = m.cluster_id)
   SELECT {K}, item_id, min(root) AS cluster_id FROM reach GROUP BY {K}, item_id""")
 def _(t):
     from filigree.operators.clusters import unite_clusters
 
-    members = t.fx_branches.filter("branch_id % 2 = 0").select(*KEYS, F.col("branch_id").alias("cluster_id"), F.explode(F.array("node1", "node2")).alias("item_id"))
+    members = t.fx_branches.select(*KEYS, F.col("branch_id").alias("cluster_id"), F.explode(F.array("node1", "node2")).alias("item_id"))
     return unite_clusters(members, KEYS)
 
 
