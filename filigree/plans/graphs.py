@@ -429,19 +429,32 @@ def _(t):
     return out.select("graph_id", "pred_node", "target_node", r6("weight").alias("weight"), r6("gain").alias("gain"))
 
 
-#: All choices of pairs that share no node, part by part of the pairs that gain, and the best of each part.
-BEST = f"""gains AS MATERIALIZED (SELECT * FROM (SELECT a.graph_id, a.node_id AS p, b.node_id AS q, {D12} AS d FROM {AB}) WHERE d < 20),
+def best_of(gains: str) -> str:
+    """All choices of pairs that share no node, part by part of the pairs that gain, and the best of each part.
+
+    ``gains`` selects (graph_id, p, q, d, g): a pair, its distance and its gain.
+    """
+    return f"""gains AS MATERIALIZED ({gains}),
   steps AS (SELECT DISTINCT x.graph_id, x.p AS a, y.p AS b FROM gains x JOIN gains y ON x.graph_id = y.graph_id AND x.q = y.q),
   reach AS (SELECT graph_id, a, b FROM steps UNION SELECT r.graph_id, r.a, s.b FROM reach r JOIN steps s ON s.graph_id = r.graph_id AND s.a = r.b),
   part AS (SELECT graph_id, a AS p, min(b) AS c FROM reach GROUP BY graph_id, a),
   listed AS MATERIALIZED (SELECT g.*, c, row_number() OVER (PARTITION BY g.graph_id, c ORDER BY d, g.p, q) AS k FROM gains g JOIN part USING (graph_id, p)),
   choice AS (SELECT DISTINCT graph_id, c, 0::BIGINT AS k, []::BIGINT[] AS ps, []::BIGINT[] AS qs, 0.0::DOUBLE AS total FROM listed
-    UNION ALL SELECT x.graph_id, x.c, x.k + 1, CASE WHEN take THEN list_append(ps, l.p) ELSE ps END, CASE WHEN take THEN list_append(qs, l.q) ELSE qs END, total + CASE WHEN take THEN 20 - d ELSE 0 END
+    UNION ALL SELECT x.graph_id, x.c, x.k + 1, CASE WHEN take THEN list_append(ps, l.p) ELSE ps END, CASE WHEN take THEN list_append(qs, l.q) ELSE qs END, total + CASE WHEN take THEN g ELSE 0 END
     FROM choice x JOIN listed l ON l.graph_id = x.graph_id AND l.c = x.c AND l.k = x.k + 1, (VALUES (true), (false)) v(take)
     WHERE NOT take OR NOT list_contains(ps, l.p) AND NOT list_contains(qs, l.q)),
   won AS (SELECT graph_id, arg_max(ps, total) AS ps, arg_max(qs, total) AS qs FROM choice GROUP BY graph_id, c),
   best AS MATERIALIZED (SELECT graph_id, unnest(ps) AS p, unnest(qs) AS q FROM won)"""
+
+
+BEST = best_of(f"SELECT *, 20 - d AS g FROM (SELECT a.graph_id, a.node_id AS p, b.node_id AS q, {D12} AS d FROM {AB}) WHERE d < 20")
 BEST_PAIRS = f"WITH RECURSIVE {BEST} SELECT graph_id, p AS pred_node, q AS target_node, round(d, 6) AS distance FROM best JOIN gains USING (graph_id, p, q)"
+#: Limits of 20 that crowds around the nearest node opposite lessen.
+CROWDED = f"""{NEAREST}, {DENSITY}, own_limit AS (
+    SELECT graph_id, 'pred' AS side, pred_node AS node_id, least(greatest(20 * (1 - density), 1), 20) AS m FROM near JOIN dens USING (graph_id) WHERE dens.side = 'target' AND dens.node_id = target_node
+    UNION ALL SELECT graph_id, 'target', target_node, least(greatest(20 * (1 - density), 1), 20) FROM back JOIN dens USING (graph_id) WHERE dens.side = 'pred' AND dens.node_id = pred_node),
+  """ + best_of(f"""SELECT * FROM (SELECT a.graph_id, a.node_id AS p, b.node_id AS q, {D12} AS d, (lp.m + lq.m) / 2 - {D12} AS g FROM {AB}
+    JOIN own_limit lp ON lp.graph_id = a.graph_id AND lp.side = 'pred' AND lp.node_id = a.node_id JOIN own_limit lq ON lq.graph_id = b.graph_id AND lq.side = 'target' AND lq.node_id = b.node_id) WHERE g > 0 AND d <= 20""")
 
 
 @query("match_nodes", BEST_PAIRS)
@@ -449,6 +462,11 @@ def _(t):
     return match.match_nodes(*sides(saved(t.fx_nodes)), ["graph_id"], 20).withColumn("distance", r6("distance"))
 
 
+@query("match_nodes_crowded", f"WITH RECURSIVE {CROWDED} SELECT graph_id, p AS pred_node, q AS target_node, round(d, 6) AS distance FROM best JOIN gains USING (graph_id, p, q)")
+def _(t):
+    return match.match_nodes(*sides(saved(t.fx_nodes)), ["graph_id"], 20, 20.0).withColumn("distance", r6("distance"))
+
+
 @query("assign_component", BEST_PAIRS)
 def _(t):
     gains = saved(match.match_gains(*sides(t.fx_nodes), ["graph_id"], 20))
@@ -494,12 +512,6 @@ def _paths(t):
     return [paths.unmatched_paths(b, ids, ["graph_id"]) for b in sides(t.fx_branches)]
 
 
-@query("unmatched_paths", f"WITH RECURSIVE {HOPS} SELECT graph_id, side, source, node, hops FROM hop")
-def _(t):
-    p, q = _paths(t)
-    return p.withColumn("side", F.lit("pred")).unionByName(q.withColumn("side", F.lit("target"))).select("graph_id", "side", "source", "node", "hops")
-
-
 #: The links between nodes, the ways by hops, and of the shortest ones the one with the smallest branches, step by step.
 WAYS = """lk AS MATERIALIZED (SELECT graph_id, side, p, q, min(branch_id) AS branch_id FROM (SELECT graph_id, side, node1 AS p, node2 AS q, branch_id FROM fx_branches
     UNION ALL SELECT graph_id, side, node2, node1, branch_id FROM fx_branches) GROUP BY ALL),
@@ -530,6 +542,13 @@ EDITS = f"""{MATCHED}, {BY_HOPS}, {LINKED}, each AS (SELECT b.graph_id, b.side,
   CAST(coalesce(sum(lone) FILTER (side = 'pred'), 0) AS BIGINT) AS diff_pred, CAST(coalesce(sum(lone) FILTER (side = 'target'), 0) AS BIGINT) AS diff_target FROM each GROUP BY graph_id)"""
 
 
+@query("unmatched_paths", f"WITH RECURSIVE {SAME}, {BY_HOPS}, {WAYS} SELECT graph_id, side, source, node, hops, array_to_string(path, ',') AS path FROM way")
+def _(t):
+    p, q = _paths(t)
+    both = p.withColumn("side", F.lit("pred")).unionByName(q.withColumn("side", F.lit("target")))
+    return both.select("graph_id", "side", "source", "node", "hops", F.concat_ws(",", F.col("path").cast("array<string>")).alias("path"))
+
+
 @query("backtrack_paths", f"""WITH RECURSIVE {SAME}, {BY_HOPS}, {WAYS} SELECT graph_id, source, node, CAST(unnest(range(len(path))) AS INT) AS step, unnest(path) AS branch_id FROM way WHERE side = 'pred'""")
 def _(t):
     return paths.backtrack_paths(_paths(t)[0], ["graph_id"])
@@ -570,3 +589,9 @@ def edits(t):
 @query("edit_distance", f"WITH RECURSIVE {EDITS} SELECT * FROM edits")
 def _(t):
     return edits(t)
+
+
+@query("edit_distance_crowded", f"WITH RECURSIVE {EDITS.replace(BEST, CROWDED)} SELECT * FROM edits")
+def _(t):
+    part = [saved(d) for pair in zip(sides(t.fx_branches), sides(t.fx_nodes), strict=True) for d in pair]
+    return paths.edit_distance(*part, ["graph_id"], 20, 20.0)
