@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from filigree.sources.scratch import saved
 
 
-#: Parts that a range of values is cut into by each round of a selection.
-PARTS = 1024
+#: Parts that a range of values is cut into by each round of a selection; a range of no more than SORTED values is sorted.
+PARTS, SORTED = 1024, 4096
 
 
 def order_statistics(values: DataFrame, key: str, value: str, asked: DataFrame) -> DataFrame:
@@ -24,14 +24,16 @@ def order_statistics(values: DataFrame, key: str, value: str, asked: DataFrame)
 
     ``asked`` has key and rank. Each asked rank has a range of values that holds it. A round counts the values
     of a range in PARTS parts, and the part that holds the rank, from its least to its largest value, is the
-    next range, until these are the same; every other round parts it by orders of magnitude. What a group keeps is bounded by PARTS times its ranks. Values must
+    next range, until these are the same or the range holds no more than SORTED values, which are then sorted; every
+    other round parts it by orders of magnitude. What a group keeps is bounded by these numbers times its ranks. Values must
     be finite; ranks that a group does not have give no row.
     """
     own = values.select(key, F.col(value).cast("double").alias("_w"))
     whole = own.groupBy(key).agg(F.count("*").alias("_n"), F.min("_w").alias("_lo"), F.max("_w").alias("_hi"))
-    state = saved(asked.select(key, F.col("rank").cast("long").alias("rank")).distinct().join(whole, key).filter("rank >= 0 and rank < _n").select(key, "rank", "_lo", "_hi", F.lit(0).cast("long").alias("_below")))
-    done, turn = state.filter("_lo = _hi"), 0
-    while not (wide := state.filter("_lo < _hi")).isEmpty():
+    state = saved(asked.select(key, F.col("rank").cast("long").alias("rank")).distinct().join(whole, key).filter("rank >= 0 and rank < _n").select(key, "rank", "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_c")))
+    large = F.expr(f"_lo < _hi and _c > {SORTED}")
+    done, turn = state.filter(~large), 0
+    while not (wide := state.filter(large).drop("_c")).isEmpty():
         ranges = wide.select(key, "_lo", "_hi").distinct()
         # Halves, where the width of a range would overflow.
         off, width = F.col("_w") - F.col("_lo"), F.col("_hi") - F.col("_lo")
@@ -48,9 +50,13 @@ def order_statistics(values: DataFrame, key: str, value: str, asked: DataFrame)
         parts = parts.withColumn("_before", F.coalesce(before, F.lit(0)))
         first = F.col("_below") + F.col("_before")
         held = wide.join(parts, [key, "_lo", "_hi"]).filter((F.col("rank") >= first) & (F.col("rank") < first + F.col("_c")))
-        state = saved(held.select(key, "rank", F.col("_a").alias("_lo"), F.col("_z").alias("_hi"), first.alias("_below")))
-        done = done.unionByName(state.filter("_lo = _hi"))
-    return done.select(key, "rank", F.col("_lo").alias("v"))
+        state = saved(held.select(key, "rank", F.col("_a").alias("_lo"), F.col("_z").alias("_hi"), first.alias("_below"), "_c"))
+        done = done.unionByName(state.filter(~large))
+    few = done.filter("_lo < _hi")
+    own = own.join(few.select(key, "_lo", "_hi").distinct(), key).filter("_w between _lo and _hi")
+    own = own.withColumn("_at", F.row_number().over(Window.partitionBy(key, "_lo", "_hi").orderBy("_w")) - 1)
+    found = few.withColumn("_at", F.col("rank") - F.col("_below")).join(own, [key, "_lo", "_hi", "_at"]).select(key, "rank", F.col("_w").alias("v"))
+    return found.unionByName(done.filter("_lo = _hi").select(key, "rank", F.col("_lo").alias("v")))
 
 
 def weight_quantiles(weights: DataFrame, bands: int = 3) -> DataFrame:

@@ -4,13 +4,16 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 
 from filigree.operators import kernels, rewrite
 
 KEYS = ["graph_id"]
 
 
-def test_quantiles(spark):
+@pytest.mark.parametrize("size", [4096, 30, 1])
+def test_quantiles(spark, monkeypatch, size):
+    monkeypatch.setattr(kernels, "SORTED", size)
     rng = np.random.default_rng(1)
     groups = {
         0: rng.standard_normal(2000), 1: np.exp(rng.uniform(-600, 600, 300)) * rng.choice([-1, 1], 300), 2: np.full(50, 2.5), 3: np.array([7.0]),
@@ -28,7 +31,9 @@ def test_quantiles(spark):
                 assert abs(out[k][name] - want) <= 1e-12 * abs(want), (k, name)
 
 
-def test_order_statistics_of_every_rank(spark):
+@pytest.mark.parametrize("size", [4096, 10, 1])
+def test_order_statistics_of_every_rank(spark, monkeypatch, size):
+    monkeypatch.setattr(kernels, "SORTED", size)
     rng = random.Random(2)
     rows = [(g, float(rng.choice([rng.randint(-3, 3), rng.gauss(0, 1e9), rng.gauss(0, 1e-9)]))) for g in range(3) for _ in range(70)]
     values = spark.createDataFrame(rows, "g int, w double").repartition(4)
