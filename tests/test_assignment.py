@@ -47,7 +47,7 @@ def test_a_part_of_twenty_thousand_nodes():
 
 def test_both_solvers_in_spark(spark, monkeypatch):
     rng = np.random.default_rng(7)
-    side = lambda: spark.createDataFrame([(g, k, float(y), float(x)) for g in range(3) for k, (y, x) in enumerate(rng.uniform(0, 12, (40, 2)))], "graph_id long, node_id long, y double, x double")
+    side = lambda: spark.createDataFrame([(g, k, float(y), float(x)) for g in range(2) for k, (y, x) in enumerate(rng.uniform(0, 12, (40, 2)))], "graph_id long, node_id long, y double, x double")
     pred, target = side(), side()
     exact = sorted(map(tuple, match.match_nodes(pred, target, ["graph_id"], 2.5).collect()))
     monkeypatch.setattr(match, "DENSE", 0)
