@@ -287,7 +287,8 @@ def greedy_match(pairs: DataFrame, keys: list[str]) -> DataFrame:
         b = left.groupBy(*keys, "target_node").agg(F.min(order).alias("_b")).select(*keys, "target_node", "_b.pred_node")
         best = saved(left.join(a.join(b, [*keys, "pred_node", "target_node"]), [*keys, "pred_node", "target_node"]))
         out = best if out is None else out.unionByName(best)
-        left = saved(left.join(best.select(*keys, "pred_node"), [*keys, "pred_node"], "left_anti").join(best.select(*keys, "target_node"), [*keys, "target_node"], "left_anti"))
+        done, left = left, saved(left.join(best.select(*keys, "pred_node"), [*keys, "pred_node"], "left_anti").join(best.select(*keys, "target_node"), [*keys, "target_node"], "left_anti"))
+        discard(done)
     rows = left if out is None else out
     return rows.select(*keys, "pred_node", "target_node", "distance")
 
