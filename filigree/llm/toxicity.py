@@ -2,10 +2,12 @@
 
 The kernel compares words as sequences of letters. It counts common subsequences of three letters within
 ``SPAN`` letters, each weighted by ``DECAY`` to the power of the letters it stretches over, so that a
-gapped or misspelt insult stays close to the plain one; marks inside a word ("i.d.i.o.t"), digits in
+gapped or misspelt insult stays close to the plain one, and the machine is trained on written misspellings (a letter
+put in, doubled or left out) of the toxic words it finds, unless they are about as close to a clean word; marks inside a word ("i.d.i.o.t"), digits in
 place of letters and single spaced-out letters are undone before. It is normalised by the lengths of both
 words. No text is split into sentences: a word of a clean document is clean; of a toxic document at least one
-word is toxic, which training finds by turns (multiple-instance learning). Insults of several ordinary words are
+word is toxic: at first the words that explain most toxic documents and few clean ones, then those of the highest
+margins, by turns (multiple-instance learning). Insults of several ordinary words are
 not found. Nystroem features of a word are its
 kernel values with the landmarks times the inverse square root of the landmarks' own kernel matrix; as
 they are linear in the word's subsequences, the trained machine folds into one table of subsequence
@@ -17,6 +19,7 @@ Repeated rows each get their score. Other columns are neither read nor changed.
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +38,12 @@ FLOOR = -3.0
 #: A word of three letters with its edges; shorter ones are not looked at.
 SHORT = 5
 GAPS = [(a, b) for a in range(1, SPAN - 1) for b in range(1, SPAN - a)]
+#: A word stands for toxic documents if its share of the clean ones is at most this times its share of the toxic ones.
+RARE = 0.1
+#: Toxic words with a higher kernel value with a clean one have no misspelt forms: those could be the clean word as well.
+NEAR = 0.6
+#: What a toxic word's misspelt forms count together, against the word in training and against its document at the cut.
+FORMS, FORMS_AT_CUT = 3.0, 0.4
 #: Digits that stand for letters.
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 DROPPED, BREAK = 254, 255
@@ -160,7 +169,9 @@ def kernel(words: list[bytes], landmarks: list[bytes], block: int = 16) -> np.nd
         for at, number, weight in _triples(lw):
             np.add.at(dense, (number, low[at]), weight)
         for rows, number, weight in found:
-            np.add.at(out[:, k : k + len(part)], rows, dense[number] * weight)
+            if len(rows):  # in order of the words, so each word is one run
+                head = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+                out[rows[head], k : k + len(part)] += np.add.reduceat(dense[number], head) * weight
     return out * _scale(w.size)[:, None] * _scale(np.array([len(x) for x in landmarks]))[None, :]
 
 
@@ -173,10 +184,13 @@ def _fold(landmarks: list[bytes], beta: np.ndarray) -> np.ndarray:
     return table.astype(np.float32)
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """A linear machine with squared hinge loss and balanced classes, by Newton steps on its support vectors."""
+def _svm(x: np.ndarray, y: np.ndarray, share: np.ndarray, cost: float = 10.0, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """A linear machine with squared hinge loss and balanced classes, by Newton steps on its support vectors.
+
+    share: what each row counts within its class.
+    """
     x1 = np.c_[x, np.ones(len(x))]
-    share = np.where(y > 0, len(y) / 2 / max((y > 0).sum(), 1), len(y) / 2 / max((y < 0).sum(), 1))
+    share = share * np.where(y > 0, len(y) / 2 / max(share[y > 0].sum(), 1e-9), len(y) / 2 / max(share[y < 0].sum(), 1e-9))
     ridge = np.eye(x1.shape[1])
     ridge[-1, -1] = 1e-3
     w = np.zeros(x1.shape[1])
@@ -191,12 +205,18 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30) ->
     return w[:-1], float(w[-1])
 
 
-def _probability(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the probability: 0.5 is at the cut with the fewest errors (the widest gap of
-    those), and the slope is the likeliest one for labels smoothed by one case each."""
-    order = np.argsort(m, kind="stable")
-    ms, ys = m[order], y[order]
-    errors = np.r_[0, np.cumsum(ys)] + np.r_[np.cumsum((1 - ys)[::-1])[::-1], 0]
+def _probability(m: np.ndarray, y: np.ndarray, forms: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the probability of documents with margins m and labels y.
+
+    0.5 is at the cut with the fewest errors (the widest gap of those), where the margins of misspelt insults
+    (``forms``) count together ``FORMS_AT_CUT`` times the toxic documents; the slope is the likeliest one for the labels,
+    smoothed by one case each.
+    """
+    each = FORMS_AT_CUT * y.sum() / max(len(forms), 1)
+    order = np.argsort(np.r_[m, forms], kind="stable")
+    ms, toxic = np.r_[m, forms][order], np.r_[y, np.full(len(forms), each)][order]
+    clean = np.r_[1 - y, np.zeros(len(forms))][order]
+    errors = np.round(np.r_[0, np.cumsum(toxic)] + np.r_[np.cumsum(clean[::-1])[::-1], 0], 6)
     gap = np.diff(np.r_[ms[0] - 0.1, ms, ms[-1] + 0.1])
     best = max(np.flatnonzero(gap > 1e-9), key=lambda k: (-errors[k], gap[k]))
     cut = np.r_[ms[0] - 0.1, ms][best] + gap[best] / 2
@@ -230,53 +250,111 @@ class Model:
         return out
 
 
-def _odds(texts: list[str], y: np.ndarray) -> np.ndarray:
-    """Log odds of each subsequence by the labelled documents that hold it: the first guess at toxic words."""
-    seen = np.zeros((2, LETTERS**3))
-    for k, t in enumerate(texts):
-        numbers = [n for _, n, _ in _triples(words_of([t]))]
-        if numbers:
-            seen[int(y[k]), np.unique(np.concatenate(numbers))] += 1
-    n0, n1 = (y == 0).sum(), (y == 1).sum()
-    odds = np.log((seen[1] + 0.5) / (n1 + 1)) - np.log((seen[0] + 0.5) / (n0 + 1))
-    odds[seen[1] < min(3, max(1, n1 // 10))] = 0
-    return np.clip(odds, -8, 8).astype(np.float32)
-
-
-def fit(texts: list[str], y: np.ndarray, landmarks: int = 192, rounds: int = 4, seed: int = 7) -> Model:
+def _cover(bags: list[set[bytes]], telling, depth: int) -> dict[bytes, int]:
+    """Words that explain the toxic documents, each up to ``depth`` times: again and again the telling word that
+    most of the documents hold that are not explained as often yet."""
+    holders: dict[bytes, list[int]] = {}
+    for k, bag in enumerate(bags):
+        for word in filter(telling, bag):
+            holders.setdefault(word, []).append(k)
+    heap = [(-len(found), word) for word, found in holders.items()]
+    heapq.heapify(heap)
+    found: dict[bytes, int] = {}
+    left = [depth] * len(bags)
+    while heap:
+        gain, word = heapq.heappop(heap)
+        open_ = [k for k in holders[word] if left[k]]
+        if len(open_) < -gain:
+            if open_:
+                heapq.heappush(heap, (-len(open_), word))
+            continue
+        found[word] = len(open_)
+        for k in open_:
+            left[k] -= 1
+    most = max(found.values(), default=0)
+    return {word: n for word, n in found.items() if n >= min(3, most)}
+
+
+def misspelt(word: bytes, rng: np.random.Generator, count: int) -> list[bytes]:
+    """Forms of a word (with its edges) with one letter a to z put in, doubled or left out, never its first or last."""
+    inner = word[1:-1]
+    at = rng.integers(1, max(len(inner), 2), count)
+    letters = rng.integers(1, 27, count)
+    forms = []
+    for k, (i, letter) in enumerate(zip(at, letters, strict=True)):
+        if k % 4 == 0 and len(inner) > 4:
+            i = min(i, len(inner) - 2)
+            forms.append(inner[:i] + inner[i + 1 :])
+        else:
+            forms.append(inner[:i] + (inner[i - 1 : i] if k % 4 == 1 else bytes([letter])) + inner[i:])
+    return [word[:1] + f + word[-1:] for f in sorted(set(forms))]
+
+
+def fit(texts: list[str], y: np.ndarray, landmarks: int = 640, rounds: int = 3, depth: int = 5, examples: int = 10000, misspellings: int = 160, seed: int = 7) -> Model:
     """Train on labelled documents (1: toxic). Without both labels the score is a constant 0.
 
     landmarks: at most so many words, half of them toxic, half of them the clean words closest to them.
+    rounds: how often the toxic words of each toxic document are looked for anew; depth: at most so many of one document.
+    examples: at most so many clean words besides those closest to toxic ones, chosen at random (half of those closest
+    stay for the next round), and at most so many misspelt forms.
+    misspellings: at most so many written forms of each toxic word that two or more documents hold.
     """
     y = np.asarray(y).astype(int)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(LETTERS**3, np.float32), 0.0, 1.0, -30.0, [])
     rng = np.random.default_rng(seed)
-    table, bias, marks = _odds(texts, y), 0.0, []
     clean: dict[bytes, int] = {}
-    for _, part in chunks([t for t, k in zip(texts, y, strict=True) if not k], 1 << 18):
+    toxic: dict[bytes, int] = {}
+    bags: list[set[bytes]] = []
+    for start, part in chunks(texts, 1 << 18):
         w = words_of(part)
-        for _, word in {(w.doc[k], w.word(k)) for k in range(len(w.size))}:
-            clean[word] = clean.get(word, 0) + 1
-    for _ in range(rounds):
-        pos: dict[bytes, int] = {}
-        neg: dict[bytes, float] = {}
-        for start, part in chunks(texts, 1 << 18):
-            w = words_of(part)
-            m = margins(w, table, bias)
-            order = np.lexsort((-m, w.doc))
-            head = np.flatnonzero(np.r_[True, w.doc[order][1:] != w.doc[order][:-1]]) if len(order) else order
-            last = np.r_[head[1:], len(order)]
-            for h, e in zip(head, last, strict=True):
-                if y[start + w.doc[order[h]]]:
-                    words = (w.word(k) for k in order[h:e])
-                    word = next((x for x in words if len(x) >= SHORT and clean.get(x, 0) < 2), None)
-                    if word is not None:
-                        pos[word] = pos.get(word, 0) + 1
-                else:
-                    for k in {h, min(h + 1, e - 1), int(rng.integers(h, e))}:
-                        if len(word := w.word(order[k])) >= SHORT:
-                            neg[word] = float(m[order[k]])
+        found: list[set[bytes]] = [set() for _ in part]
+        for k in np.flatnonzero(w.size >= SHORT):
+            found[w.doc[k]].add(w.word(k))
+        for bag, label in zip(found, y[start : start + len(part)], strict=True):
+            seen = toxic if label else clean
+            for word in bag:
+                seen[word] = seen.get(word, 0) + 1
+            if label:
+                bags.append(bag)
+    most = RARE * (y == 0).sum() / (y == 1).sum()
+
+    def telling(word: bytes) -> bool:
+        """Whether a word may stand for a toxic document: its share among the clean ones is small."""
+        return clean.get(word, 0) <= max(1, most * toxic.get(word, 0))
+
+    def witnesses(w: Words, m: np.ndarray, order: np.ndarray) -> list[bytes]:
+        """The telling words of a document that have the highest margins: one, and others above the machine's border."""
+        found: list[bytes] = []
+        for k in order:
+            if len(found) == depth or (found and m[k] <= 0):
+                break
+            if w.size[k] >= SHORT and (word := w.word(k)) not in found and telling(word):
+                found.append(word)
+        return found
+
+    pos = _cover(bags, telling, depth)
+    common = sorted(clean, key=lambda x: (-clean[x], x))
+    neg = {common[i]: 0.0 for i in rng.permutation(len(common))[:examples] if common[i] not in pos}
+    table, bias, marks, forms = np.zeros(LETTERS**3, np.float32), 0.0, [], []
+    for turn in range(rounds + 1):
+        if turn:
+            pos, close = {}, {}
+            for start, part in chunks(texts, 1 << 18):
+                w = words_of(part)
+                m = margins(w, table, bias)
+                order = np.lexsort((-m, w.doc))
+                head = np.flatnonzero(np.r_[True, w.doc[order][1:] != w.doc[order][:-1]]) if len(order) else order
+                last = np.r_[head[1:], len(order)]
+                for h, e in zip(head, last, strict=True):
+                    if y[start + w.doc[order[h]]]:
+                        for word in witnesses(w, m, order[h:e]):
+                            pos[word] = pos.get(word, 0) + 1
+                    else:
+                        for k in {h, min(h + 1, e - 1), int(rng.integers(h, e))}:
+                            if len(word := w.word(order[k])) >= SHORT:
+                                close[word] = float(m[order[k]])
+            neg = {word: margin for word, margin in zip(hard, margins(_words(hard), table, bias), strict=True)} | close
         for word in set(pos) & set(neg):
             if pos[word] > 1:
                 del neg[word]
@@ -284,19 +362,27 @@ def fit(texts: list[str], y: np.ndarray, landmarks: int = 192, rounds: int = 4,
                 del pos[word]
         good = sorted(pos, key=lambda x: (-pos[x], x))
         bad = sorted(neg, key=lambda x: (-neg[x], x))
+        hard = bad[: examples // 2]
         if not good or not bad:
             break
+        repeated = [x for x in good if pos[x] > 1][: landmarks // 2] or good[: landmarks // 2]
         marks = good[: landmarks // 2] + bad[: landmarks // 2]
         rest = bad[landmarks // 2 :]
-        bad = bad[: landmarks // 2] + [rest[i] for i in rng.permutation(len(rest))[:4000]]
+        bad = bad[: landmarks // 2] + [rest[i] for i in rng.permutation(len(rest))[:examples]]
+        near = kernel(repeated, bad[: landmarks // 2]).max(1)
+        repeated = [x for x, closest in zip(repeated, near, strict=True) if closest < NEAR]
+        each = max(1, min(misspellings, examples // max(len(repeated), 1)))
+        written = [(x, f) for x in repeated for f in misspelt(x, rng, each) if f not in clean and f not in neg]
+        forms = [f for _, f in written]
         val, vec = np.linalg.eigh(kernel(marks, marks))
         root = vec[:, val > 1e-8] / np.sqrt(val[val > 1e-8])
-        x = kernel(good + bad, marks) @ root
-        weight, bias = _svm(x, np.r_[np.ones(len(good)), -np.ones(len(bad))])
+        x = kernel(good + forms + bad, marks) @ root
+        share = np.r_[[pos[g] for g in good], [FORMS * pos[g] / each for g, _ in written], np.ones(len(bad))]
+        weight, bias = _svm(x, np.r_[np.ones(len(good) + len(forms)), -np.ones(len(bad))], share)
         table = _fold(marks, root @ weight)
     model = Model(table, bias, 1.0, 0.0, marks)
     m = np.concatenate([model.margin(part) for _, part in chunks(texts)])
-    model.slope, model.offset = _probability(m, y)
+    model.slope, model.offset = _probability(m, y, margins(_words(forms), table, bias))
     return model
 
 

@@ -5,9 +5,11 @@ import hashlib
 import itertools
 import random
 import re
+import string
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -105,6 +107,41 @@ def test_toxic_words_are_learned_and_gaps_tolerated():
     assert (model.score([None, "", "the on re"]) < 0.5).all()
 
 
+def test_the_kernel_is_the_sum_over_all_subsequences():
+    words = toxicity.words_of(["idiot idixot banana an"])
+    words = [words.word(k) for k in range(4)]
+
+    def weights(word):
+        out = {}
+        for i, j, k in itertools.combinations(range(len(word)), 3):
+            if k - i < toxicity.SPAN:
+                key = (word[i], word[j], word[k])
+                out[key] = out.get(key, 0) + toxicity.DECAY ** (k - i + 1)
+        return out
+
+    scale = toxicity._scale(np.array([len(w) for w in words]))
+    brute = [[sum(v * weights(b).get(key, 0) for key, v in weights(a).items()) for b in words] for a in words]
+    assert np.allclose(toxicity.kernel(words, words, block=3), np.array(brute) * scale[:, None] * scale[None, :], rtol=1e-5)
+
+
+def test_misspelt_forms_of_learned_insults_are_toxic():
+    docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"])
+    labels = pd.read_parquet("/root/testdata/sf0.01/labels.parquet", columns=["doc_id", "toxic"])
+    rows = docs.merge(labels[labels.toxic.isin([0, 1])], on="doc_id")
+    held = np.array([zlib.crc32(str(k).encode()) % 5 == 0 for k in rows.doc_id])
+    rows["text"] = rows.text.fillna("")
+    model = toxicity.fit(rows.text[~held].tolist(), rows.toxic[~held].to_numpy())
+    insults = ["trash", "idiot", "scum", "clown", "moron", "loser", "stupid", "pathetic", "disgusting", "worthless"]
+    learned = [w for w, score in zip(insults, model.score(insults), strict=True) if score >= 0.5]
+    assert len(learned) >= 9  # "disgusting" never stands alone in this small table
+    inside = [w[:i] + c + w[i:] for w in learned for i in range(1, len(w)) for c in string.ascii_lowercase]
+    without = [w[:i] + w[i + 1 :] for w in learned for i in range(1, len(w) - 1)]
+    assert (model.score(inside) >= 0.5).mean() > 0.7
+    assert (model.score(without) >= 0.5).mean() > 0.5
+    clean = rows[held & (rows.toxic == 0)]
+    assert (model.score(clean.text.tolist()) >= 0.5).mean() < 0.06
+
+
 def test_toxicity_without_both_labels_is_zero():
     assert toxicity.fit(["a word here"], np.array([1])).score(["a word here"])[0] < 1e-6
 
