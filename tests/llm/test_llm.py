@@ -133,7 +133,7 @@ def test_misspelt_forms_of_learned_insults_are_toxic():
     model = toxicity.fit(rows.text[~held].tolist(), rows.toxic[~held].to_numpy())
     insults = ["trash", "idiot", "scum", "clown", "moron", "loser", "stupid", "pathetic", "disgusting", "worthless"]
     learned = [w for w, score in zip(insults, model.score(insults), strict=True) if score >= 0.5]
-    assert len(learned) >= 9  # "disgusting" never stands alone in this small table
+    assert len(learned) >= 9  # this small table is too little for one of them
     inside = [w[:i] + c + w[i:] for w in learned for i in range(1, len(w)) for c in string.ascii_lowercase]
     without = [w[:i] + w[i + 1 :] for w in learned for i in range(1, len(w) - 1)]
     assert (model.score(inside) >= 0.5).mean() > 0.7
