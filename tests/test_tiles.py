@@ -114,3 +114,68 @@ def test_lower_envelope():
         height = [rng.randint(0, 40) ** 2 * rng.randint(0, 1) for _ in at]
         ask = sorted(rng.sample(range(60), 15))
         assert raster.lower_envelope(at, height, ask) == [min((q - p) ** 2 + f for p, f in zip(at, height, strict=True)) for q in ask]
+
+
+def shuffled_rows(spark):
+    """Rows that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    gateway = sc._gateway
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def cost(spark, df):
+    before = shuffled_rows(spark)
+    df.write.format("noop").mode("overwrite").save()
+    return shuffled_rows(spark) - before
+
+
+def test_window_codes_over_tiles(spark):
+    masks, top, left = {1: blobs(150, 140, 1), 2: blobs(20, 30, 2)}, -9, 120
+    for h, w in ((3, 3), (5, 3), (2, 2)):
+        want = {}
+        for k, m in masks.items():
+            for y, x in np.argwhere(m):
+                for bit in range(h * w):
+                    at = k, int(y) + top - (bit // w - h // 2), int(x) + left - (bit % w - w // 2)
+                    want[at] = want.get(at, 0) | 1 << bit
+        pixels = table(spark, masks, top, left)  # with repeated rows
+        assert cells(raster.window_code(pixels, h, w, background=True), "code") == sorted((*at, c) for at, c in want.items())
+        assert cells(raster.dilate(pixels, h, w)) == sorted(want)
+        assert cells(raster.erode(pixels, h, w)) == sorted(at for at, c in want.items() if c == (1 << h * w) - 1)
+    ring = raster.extract_patches(pixels, pixels.limit(50)).collect()
+    assert len(ring) == 50 and all(r["patch"][4] == (r["y"] is not None and r["image_id"] is not None) for r in ring)
+
+
+def test_kinds_and_spurs_do_not_depend_on_tiles(spark):
+    """The same drawing inside a tile and across four."""
+    m = {1: blobs(60, 60, 9) & (np.random.default_rng(9).random((60, 60)) < 0.6)}
+    for work in (skeleton.fix_hollow_cross, skeleton.classify_pixels, lambda p: skeleton.remove_1px_spurs(skeleton.classify_pixels(p))):
+        inside, across = (sorted((r[1] - d, r[2] - d, r[3]) for r in work(table(spark, m, d, d)).collect()) for d in (20, 100))
+        assert inside and inside == across
+
+
+def test_a_pixel_is_sent_once_for_its_window(spark):
+    pixels = table(spark, {k: blobs(64, 64, k) for k in range(8)}).dropna().dropDuplicates().cache()
+    n = pixels.count()
+    typed = skeleton.classify_pixels(pixels).cache()
+    typed.count()
+    for df in (raster.window_code(pixels), raster.hit_or_miss(raster.window_code(pixels), skeleton.junction_patterns(spark), "sum"), skeleton.classify_pixels(pixels), skeleton.remove_1px_spurs(typed)):
+        assert cost(spark, df) < 1.5 * n
+    assert cost(spark, raster.extract_patches(pixels, pixels)) < 3 * n
+    kernel = spark.range(49).selectExpr("cast(id div 7 - 3 as int) as dy", "cast(id % 7 - 3 as int) as dx", "cast(id as double) as w")
+    assert cost(spark, raster.convolve(pixels.withColumn("v", F.lit(1.0)), kernel)) < 1.5 * n
+
+
+def test_kernels_add_up_over_tiles(spark):
+    rng = random.Random(5)
+    values = [(1, rng.randrange(3), rng.randint(-4, 8), rng.randint(124, 131), rng.choice([None, 0.5, 2.0, -1.0])) for _ in range(60)]
+    taps = [(o, i, dy, dx, rng.choice([None, 1.0, -2.0, 0.25])) for o in (7, 9) for i in (0, 1) for dy in (-3, 0, 1) for dx in (-1, 2)]
+    want = {}
+    for k, i, y, x, v in values:
+        for o, of, dy, dx, w in taps:
+            if of == i:
+                at = k, o, y + dy, x + dx
+                want[at] = want.get(at) if v is None or w is None else (want.get(at) or 0.0) + v * w
+    got = raster.spread(spark.createDataFrame(values, "image_id long, i int, y int, x int, v double"), spark.createDataFrame(taps, "o long, i long, dy int, dx int, w double"))
+    assert {(r["image_id"], r["o"], r["y"], r["x"]): r["v"] for r in got.collect()} == want and got.count() == len(want)
