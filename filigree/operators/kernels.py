@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from filigree.sources.scratch import saved
 
+from .raster import spread
+
 
 #: Parts that a range of values is cut into by each round of a selection; a range of no more than SORTED values is sorted.
 PARTS, SORTED = 1024, 4096
@@ -153,10 +155,7 @@ def compose_kernels(weights: DataFrame, kernel: DataFrame) -> DataFrame:
 def apply_composed(values: DataFrame, weights: DataFrame, kernel: DataFrame) -> DataFrame:
     """(image_id, o, y, x, v) of values (image_id, i, y, x, v): kernels are combined first, which shuffles less."""
     # A kernel base and its weights belong to one layer, which bounds their size.
-    composed = F.broadcast(compose_kernels(weights, kernel).withColumnRenamed("w", "_w"))
-    spread = values.join(composed, "i")
-    moved = spread.withColumns({"y": F.col("y") + F.col("dy"), "x": F.col("x") + F.col("dx")})
-    return moved.groupBy("image_id", "o", "y", "x").agg(F.sum(F.col("v") * F.col("_w")).alias("v"))
+    return spread(values, compose_kernels(weights, kernel))
 
 
 def ridge_fit(rows: DataFrame, features: list[str], targets: list[str], alpha: float = 0.1, bias: bool = False) -> dict[str, list[float]]:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from filigree.operators import raster, skeleton
+from filigree.operators import kernels, raster, skeleton
 from filigree.operators.tiles import labels
 
 
@@ -179,3 +179,11 @@ def test_kernels_add_up_over_tiles(spark):
                 want[at] = want.get(at) if v is None or w is None else (want.get(at) or 0.0) + v * w
     got = raster.spread(spark.createDataFrame(values, "image_id long, i int, y int, x int, v double"), spark.createDataFrame(taps, "o long, i long, dy int, dx int, w double"))
     assert {(r["image_id"], r["o"], r["y"], r["x"]): r["v"] for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_composed_kernels_send_a_value_once(spark):
+    values = table(spark, {k: blobs(64, 64, k) for k in range(8)}).dropna().dropDuplicates().selectExpr("*", "0 as i", "1D as v").cache()
+    n = values.count()
+    base = spark.range(64).selectExpr("cast(id % 2 as int) as kernel_id", "cast(id div 8 - 4 as int) as dy", "cast(id % 8 - 4 as int) as dx", "cast(id as double) as w")
+    weights = spark.createDataFrame([(o, 0, k, 1.0) for o in (0, 1) for k in (0, 1)], "o int, i int, kernel_id int, weight double")
+    assert cost(spark, kernels.apply_composed(values, weights, base)) < 1.5 * n + 1000
