@@ -52,3 +52,35 @@ def test_both_solvers_in_spark(spark, monkeypatch):
     exact = sorted(map(tuple, match.match_nodes(pred, target, ["graph_id"], 2.5).collect()))
     monkeypatch.setattr(match, "DENSE", 0)
     assert sorted(map(tuple, match.match_nodes(pred, target, ["graph_id"], 2.5).collect())) == exact
+
+
+def stages(spark):
+    sc = spark.sparkContext
+    gateway = sc._gateway
+    found = sc._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return [found.apply(k) for k in range(found.size())]
+
+
+def grid(spark, graphs, nodes, off=0.0):
+    rows = spark.range(graphs * nodes).selectExpr(f"id div {nodes} as graph_id", f"id % {nodes} as node_id")
+    return rows.selectExpr("*", f"node_id div 20 * 100D + {off} as y", f"node_id % 20 * 100D + {off} as x")
+
+
+def test_matching_sends_the_driver_no_table(spark):
+    """Written tables of a few MB were broadcast by their files' sizes, which are a tenth of what the driver then held."""
+    before = sum(s.resultSize() for s in stages(spark))
+    pairs = match.match_nodes(grid(spark, 1500, 200), grid(spark, 1500, 200, 3.0), ["graph_id"], 20)
+    assert pairs.count() == 300_000
+    assert sum(s.resultSize() for s in stages(spark)) - before < 1_500_000
+
+
+def test_pairs_that_share_no_node_are_parts_at_once(spark):
+    rows = [(0, k, k + 1000, 1.0, 2.0) for k in range(20_000)] + [(1, 0, 0, 1.0, 2.0), (1, 0, 1, 2.0, 1.0), (1, 1, 1, 1.5, 1.5), (1, 2, 2, 3.0, 0.0)]
+    gains = spark.createDataFrame(rows, "graph_id long, pred_node long, target_node long, distance double, gain double")
+    before = sum(s.shuffleWriteRecords() for s in stages(spark))
+    parts = match.gain_parts(gains, ["graph_id"])
+    got = parts.collect()
+    assert sum(s.shuffleWriteRecords() for s in stages(spark)) - before < 2.5 * len(rows)
+    assert len(got) == len(rows) and {(r["pred_node"], r["component"]) for r in got if r["graph_id"]} == {(0, 0), (1, 0), (2, 4)}
+    best = match.assign_component(parts.filter("graph_id = 1"), ["graph_id"]).collect()
+    assert sorted((r["pred_node"], r["target_node"]) for r in best) == [(0, 0), (1, 1)]
