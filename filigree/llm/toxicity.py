@@ -44,6 +44,8 @@ RARE = 0.1
 NEAR = 0.6
 #: What a toxic word's misspelt forms count together, against the word in training and against its document at the cut.
 FORMS, FORMS_AT_CUT = 3.0, 0.4
+#: Words whose kernel values or features training copies at a time: 10 MB.
+ROWS = 2048
 #: Digits that stand for letters.
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 DROPPED, BREAK = 254, 255
@@ -184,20 +186,33 @@ def _fold(landmarks: list[bytes], beta: np.ndarray) -> np.ndarray:
     return table.astype(np.float32)
 
 
-def _svm(x: np.ndarray, y: np.ndarray, share: np.ndarray, cost: float = 10.0, rounds: int = 30) -> tuple[np.ndarray, float]:
+def _features(words: list[bytes], landmarks: list[bytes], root: np.ndarray) -> np.ndarray:
+    """Nystroem features of all words and a last column of ones; kernel values are held for ROWS words at a time."""
+    x1 = np.ones((len(words), root.shape[1] + 1))
+    for k in range(0, len(words), ROWS):
+        x1[k : k + ROWS, :-1] = kernel(words[k : k + ROWS], landmarks) @ root
+    return x1
+
+
+def _svm(x1: np.ndarray, y: np.ndarray, share: np.ndarray, cost: float = 10.0, rounds: int = 30) -> tuple[np.ndarray, float]:
     """A linear machine with squared hinge loss and balanced classes, by Newton steps on its support vectors.
 
-    share: what each row counts within its class.
+    x1: features, the last of them 1. share: what each row counts within its class. No second table of the features' size is made.
     """
-    x1 = np.c_[x, np.ones(len(x))]
     share = share * np.where(y > 0, len(y) / 2 / max(share[y > 0].sum(), 1e-9), len(y) / 2 / max(share[y < 0].sum(), 1e-9))
     ridge = np.eye(x1.shape[1])
     ridge[-1, -1] = 1e-3
     w = np.zeros(x1.shape[1])
     for _ in range(rounds):
-        active = y * (x1 @ w) < 1
-        xa, c = x1[active], cost * share[active]
-        new = np.linalg.solve(ridge + (xa * c[:, None]).T @ xa, (xa * c[:, None]).T @ y[active])
+        active = np.flatnonzero(y * (x1 @ w) < 1)
+        left, right = ridge.copy(), np.zeros(len(w))
+        for k in range(0, len(active), ROWS):
+            rows = active[k : k + ROWS]
+            xa = x1[rows]
+            xc = (xa * (cost * share[rows])[:, None]).T
+            left += xc @ xa
+            right += xc @ y[rows]
+        new = np.linalg.solve(left, right)
         done = np.abs(new - w).max() < 1e-6
         w = new
         if done:
@@ -376,9 +391,10 @@ def fit(texts: list[str], y: np.ndarray, landmarks: int = 640, rounds: int = 3,
         forms = [f for _, f in written]
         val, vec = np.linalg.eigh(kernel(marks, marks))
         root = vec[:, val > 1e-8] / np.sqrt(val[val > 1e-8])
-        x = kernel(good + forms + bad, marks) @ root
+        x1 = _features(good + forms + bad, marks, root)
         share = np.r_[[pos[g] for g in good], [FORMS * pos[g] / each for g, _ in written], np.ones(len(bad))]
-        weight, bias = _svm(x, np.r_[np.ones(len(good) + len(forms)), -np.ones(len(bad))], share)
+        weight, bias = _svm(x1, np.r_[np.ones(len(good) + len(forms)), -np.ones(len(bad))], share)
+        del x1
         table = _fold(marks, root @ weight)
     model = Model(table, bias, 1.0, 0.0, marks)
     m = np.concatenate([model.margin(part) for _, part in chunks(texts)])

@@ -692,3 +692,20 @@ def test_batches_are_bounded_by_bytes(spark):
         spark.conf.unset(key)
         if before is not None:
             spark.conf.set(key, before)
+
+
+def test_training_makes_no_second_table_of_its_features():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x = np.c_[rng.normal(size=(20_000, 100)), np.ones(20_000)]
+    y = np.where(rng.random(20_000) < 0.5, 1.0, -1.0)
+    tracemalloc.start()
+    weight, bias = toxicity._svm(x, y, np.ones(20_000))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(weight) == 100 and most < x.nbytes / 2  # four times x.nbytes before
+    words = [bytes([0, *rng.integers(1, 27, 6), 0]) for _ in range(toxicity.ROWS + 50)]
+    root = rng.normal(size=(8, 5))
+    got = toxicity._features(words, words[:8], root)
+    assert np.allclose(got, np.c_[toxicity.kernel(words, words[:8]) @ root, np.ones(len(words))])
