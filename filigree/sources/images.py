@@ -27,8 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from filigree.operators.tiles import packed
+
 #: Lines of a strip at most, bytes of a strip (or one line), and about so many bytes to a reading task.
 LINES, STRIP_BYTES, RANGE_BYTES = 256, 4 << 20, 16 << 20
+#: A cell of a line on its way to the writer.
+CELL = np.dtype([("x", "<i4"), ("b", "u1"), ("g", "u1"), ("r", "u1")])
 CELLS = "image_id long, y int, x int, b int, g int, r int"
 MANIFESTS = "_manifests"
 
@@ -76,8 +80,24 @@ def parsed(stream) -> tuple[int, int, np.ndarray] | None:
     return int(image), int(y), np.frombuffer(data, np.uint8).reshape(shape)
 
 
+def cells_of(line: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """x of a line's cells, and their values with alpha as one number, whose bytes are red, green, blue and alpha."""
+    if pa.types.is_binary(line.type):
+        data = np.frombuffer(line.as_buffer(), CELL)
+        x, b, g, r = (data[c] for c in CELL.names)
+    else:
+        x, b, g, r = (line.values.field(c).to_numpy(zero_copy_only=False) for c in CELL.names)
+    value = np.uint32(255 << 24)
+    for c, shift in ((b, 16), (g, 8), (r, 0)):
+        value = value | c.astype("<u4") << np.uint32(shift)
+    return x, value
+
+
 class StripWriter(DataSourceArrowWriter):
-    """Gets lines (image_id, strip, first, lines, width, y, cells) sorted by image and line; see ``write_images``."""
+    """Gets lines, or parts of lines, (image_id, first, lines, width, y, cells) with a strip's in a row; see ``write_images``.
+
+    Cells are packed (CELL) or structs, sorted; of equal cells of several parts, too, the largest stays.
+    """
 
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
@@ -107,10 +127,10 @@ class StripWriter(DataSourceArrowWriter):
                         stream = store.open_output_stream(f"{root}/{done.file}")
                     if key != (image, first):
                         close_strip()
-                        key, strip = (image, first), np.zeros((lines, width, 4), np.uint8)
-                    cells = batch.column("cells")[k].values
-                    x, *channels = (cells.field(c).to_numpy(zero_copy_only=False) for c in ("x", "r", "g", "b"))
-                    strip[y - first, x] = np.stack([*channels, np.full(len(x), 255)], axis=1)
+                        key, strip = (image, first), np.zeros((lines, width), "<u4")
+                    x, value = cells_of(batch.column("cells")[k])
+                    line = strip[y - first]
+                    line[x] = np.maximum(line[x], value)
             close_strip()
             if stream is not None:
                 done.cuts.append(stream.tell())
@@ -210,12 +230,12 @@ def write_images(image: DataFrame, path: str, mode: str = "append", lines: int =
     cells = image.select(F.col("image_id").cast("long").alias("image_id"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *map(channel, "bgr"))
     cells = cells.filter("image_id is not null and y >= 0 and x >= 0")
     # Sorted by x, then channels, so that the largest of equal cells comes last and is written over the others.
-    rows = cells.groupBy("image_id", "y").agg(F.sort_array(F.collect_list(F.struct("x", "b", "g", "r"))).alias("cells"))
-    sizes = rows.groupBy("image_id").agg((F.max("y") + 1).alias("height"), (F.max(F.element_at("cells", -1)["x"]) + 1).alias("width"))
+    rows = packed(cells, ["image_id", "y"], CELL)
+    sizes = cells.groupBy("image_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
     each = F.greatest(F.least(F.lit(lines), F.floor(F.lit(STRIP_BYTES) / (4 * F.col("width")))), F.lit(1)).cast("int")
     cut = rows.join(sizes, "image_id").withColumn("each", each).withColumn("strip", F.floor(F.col("y") / F.col("each")).cast("int"))
     cut = cut.withColumn("first", F.col("strip") * F.col("each")).withColumn("lines", F.least("each", F.col("height") - F.col("first")))
-    dealt = cut.repartition("image_id", "strip").sortWithinPartitions("image_id", "strip", "y")
+    dealt = cut.repartition("image_id", "strip").sortWithinPartitions("image_id", "strip")
     dealt.select("image_id", "first", "lines", "width", "y", "cells").write.format("filigree_images").mode(mode).save(path)
 
 

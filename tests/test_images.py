@@ -65,6 +65,27 @@ def test_odd_rows(spark, tmp_path):
     assert stored(spark, str(tmp_path / "none")) == [] == stored(spark, str(tmp_path / "never"))
 
 
+def test_cells_are_sent_packed_and_parts_of_a_line_meet(spark, tmp_path):
+    rows = noise(5, {1: (3, 40), 2: (2, 9)})
+    cells = frame(spark, rows + [(1, 0, 7, 255, 0, 0), (1, 0, 7, 254, 9, 9)])
+    lines = images.packed(cells, ["image_id", "y"], images.CELL).collect()
+    assert sum(len(line.cells) for line in lines) == 7 * (len(rows) + 2)  # structs of a line took 48 bytes a cell
+    assert len(lines) > len({(line.image_id, line.y) for line in lines})
+    images.write_images(cells, str(tmp_path))
+    want = {r[:3]: r[3:] for r in rows} | {(1, 0, 7): max((255, 0, 0), {r[:3]: r[3:] for r in rows}.get((1, 0, 7), (0, 0, 0)))}
+    assert stored(spark, str(tmp_path)) == sorted((*k, *v) for k, v in want.items())
+
+
+def test_images_of_the_plans_are_made_by_all_tasks(spark):
+    from filigree.plans.registry import Tables
+
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    if not os.path.exists(tables.sf_dir):
+        pytest.skip("no given tables here")
+    for name in ("fx_image", "fx_vessels"):
+        assert getattr(tables, name).select(F.spark_partition_id()).distinct().count() == 4
+
+
 def test_a_failed_job_leaves_nothing(spark, tmp_path):
     before = noise(3, {1: (4, 4)})
     images.write_images(frame(spark, before), str(tmp_path))
