@@ -6,12 +6,17 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filigree.operators import raster, skeleton
+from filigree.operators.tiles import packed
+
+#: A cell of an image on its way to its model.
+CELL = np.dtype([("y", "<i4"), ("x", "<i4"), ("b", "<f4"), ("g", "<f4"), ("r", "<f4")])
 
 
 def predict_masks(image: DataFrame, h: int, w: int, make_model: Callable[[], Callable[[np.ndarray], np.ndarray]], roi: DataFrame | str | None = "auto", multiple: int = 32, batch_size: int = 4) -> DataFrame:
@@ -22,9 +27,18 @@ def predict_masks(image: DataFrame, h: int, w: int, make_model: Callable[[], Cal
     One row holds one image, which is what a model takes.
     """
     hh, ww = (math.ceil(n / multiple) * multiple for n in (h, w))
-    cell = F.struct("y", "x", "b", "g", "r")
-    whole = image.groupBy(raster.KEY).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
-    flat = F.flatten(F.transform("cells", lambda c: F.array(*[(c[k] / 255.0).cast("float") for k in "bgr"])))
+    first = {c: F.coalesce(F.col(c).cast("int"), F.lit(-1 << 31)) for c in ("y", "x")}
+    cells = image.select(raster.KEY, *[v.alias(c) for c, v in first.items()], *[(F.col(c) / 255.0).cast("float").alias(c) for c in "bgr"])
+    whole = packed(cells, [raster.KEY], CELL).groupBy(raster.KEY).agg(F.collect_list("cells").alias("cells"))
+
+    @F.pandas_udf("array<float>")
+    def flat(parts: pd.Series) -> pd.Series:
+        out = []
+        for part in parts:
+            data = np.frombuffer(b"".join(part), CELL)
+            data = data[np.lexsort([data[c] for c in reversed(CELL.names)])]
+            out.append(np.stack([data[c] for c in "bgr"], axis=1).ravel())
+        return pd.Series(out, dtype=object)
 
     def factory():
         model = make_model()
@@ -37,7 +51,7 @@ def predict_masks(image: DataFrame, h: int, w: int, make_model: Callable[[], Cal
         return run
 
     scores = predict_batch_udf(factory, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size, input_tensor_shapes=[[h * w * 3]])
-    each = whole.select(raster.KEY, scores(flat).alias("s")).select(raster.KEY, F.posexplode("s").alias("i", "score"))
+    each = whole.select(raster.KEY, scores(flat("cells")).alias("s")).select(raster.KEY, F.posexplode("s").alias("i", "score"))
     spots = each.select(raster.KEY, F.floor(F.col("i") / w).cast("int").alias("y"), (F.col("i") % w).cast("int").alias("x"), "score")
     mask = raster.threshold_class(spots, "score").select(*raster.CELL)
     if isinstance(roi, str):
