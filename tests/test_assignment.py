@@ -1,5 +1,7 @@
 """The auction over sparse pairs against the exact solver."""
 
+import itertools
+import random
 import numpy as np
 import pytest
 
@@ -84,3 +86,20 @@ def test_pairs_that_share_no_node_are_parts_at_once(spark):
     assert len(got) == len(rows) and {(r["pred_node"], r["component"]) for r in got if r["graph_id"]} == {(0, 0), (1, 0), (2, 4)}
     best = match.assign_component(parts.filter("graph_id = 1"), ["graph_id"]).collect()
     assert sorted((r["pred_node"], r["target_node"]) for r in best) == [(0, 0), (1, 1)]
+
+
+def test_parts_come_to_python_many_in_a_batch(spark):
+    rng = random.Random(8)
+    rows = [(g, f"k{g % 3}", c, 2 * c + i, 2 * c + j, float(rng.randrange(9)), rng.random() - 0.2) for g in range(4) for c in range(9) for i in (0, 1) for j in (0, 1) if (i, j) != (1, 1) or c % 2]
+    pairs = spark.createDataFrame(rows, "graph int, name string, component long, pred_node long, target_node long, distance double, gain double")
+    out = match.assign_component(pairs, ["graph", "name"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan  # a call for each part before
+    got = {tuple(r) for r in out.collect()}
+    want = set()
+    for g in range(4):
+        for c in range(9):
+            own = {(p, t): (d, gain) for graph, _, part, p, t, d, gain in rows if (graph, part) == (g, c)}
+            best = max((s for n in range(3) for s in itertools.combinations(own, n) if len({p for p, _ in s}) == len({t for _, t in s}) == n), key=lambda s: sum(own[k][1] for k in s))
+            want |= {(g, f"k{g % 3}", *k, own[k][0]) for k in best}
+    assert got == want
