@@ -187,3 +187,21 @@ def test_composed_kernels_send_a_value_once(spark):
     base = spark.range(64).selectExpr("cast(id % 2 as int) as kernel_id", "cast(id div 8 - 4 as int) as dy", "cast(id % 8 - 4 as int) as dx", "cast(id as double) as w")
     weights = spark.createDataFrame([(o, 0, k, 1.0) for o in (0, 1) for k in (0, 1)], "o int, i int, kernel_id int, weight double")
     assert cost(spark, kernels.apply_composed(values, weights, base)) < 1.5 * n + 1000
+
+
+def test_blur_looks_at_the_windows_that_hold_cells_only(monkeypatch):
+    makes, seen, sort = [], [], np.sort
+    monkeypatch.setattr(raster, "over_tiles", lambda cells, halo, make, *_: makes.append(make))
+    monkeypatch.setattr(np, "sort", lambda a, **how: seen.append(a.shape) or sort(a, **how))
+
+    class Image:
+        filter = lambda self, _: self
+
+    monkeypatch.setattr(raster.F, "col", lambda _: type("C", (), {"isNotNull": lambda self: True})())
+    raster.median_blur(Image(), "r", 5, 48, 48)
+    values = np.full((132, 132), np.nan)
+    values[2:50, 2:50] = np.arange(48 * 48).reshape(48, 48)
+    y, x, v = makes[0](~np.isnan(values), values, -2, -2)
+    assert seen == [(48, 48, 25)]  # of 128 x 128 windows before
+    assert len(v) == 48 * 48 and v[(y == 26) & (x == 26)] == values[26, 26]
+    assert [len(c) for c in makes[0](~np.isnan(values), np.full((132, 132), np.nan), -2, -2)] == [0, 0, 0]
