@@ -20,6 +20,8 @@ Repeated rows each get their score. Other columns are neither read nor changed.
 from __future__ import annotations
 
 import heapq
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -417,10 +419,23 @@ def training_sample(docs: DataFrame, labels: DataFrame, toxic: int, clean: int)
     )
 
 
+def _fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row: the pickled model of all rows (doc_id, text, toxic) of a bounded sample."""
+    parts = list(batches)
+    if parts:
+        rows = pd.concat(parts).sort_values(["doc_id", "toxic", "text"])
+        yield pd.DataFrame({"model": [pickle.dumps(fit(rows["text"].tolist(), rows["toxic"].to_numpy()))]})
+
+
 def train(docs: DataFrame, labels: DataFrame, toxic: int = 2000, clean: int = 5000) -> Model:
-    """Fit on a bounded sample of the labelled rows that are not held out: so many documents of each label."""
-    rows = training_sample(docs, labels, toxic, clean).toPandas().sort_values(["doc_id", "toxic", "text"])
-    return fit(rows["text"].tolist(), rows["toxic"].to_numpy())
+    """Fit on a bounded sample of the labelled rows that are not held out: so many documents of each label.
+
+    The sample goes to one task, and only the model comes to the driver, whose memory a whole pipeline shares.
+    """
+    bounded_batches(docs.sparkSession)
+    rows = training_sample(docs, labels, toxic, clean).repartition(1)
+    found = rows.mapInPandas(_fitted, "model binary").first()
+    return pickle.loads(found["model"]) if found else fit([], np.zeros(0, int))
 
 
 def toxicity(model: Model, text: str | Column, spark) -> Column:

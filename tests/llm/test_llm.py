@@ -155,6 +155,21 @@ def test_toxicity_on_odd_rows(spark, odd, none):
     assert toxicity.score_documents(none, toxicity.train(none, labels)).count() == 0
 
 
+def test_toxicity_is_trained_in_a_task(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet") for name in ("documents", "labels"))
+    rows = toxicity.training_sample(docs, labels, 2000, 5000).toPandas().sort_values(["doc_id", "toxic", "text"])
+    assert rows.toxic.nunique() == 2
+    want = toxicity.fit(rows.text.tolist(), rows.toxic.to_numpy())
+
+    def on_the_driver(*_):
+        raise AssertionError("the driver trains")
+
+    monkeypatch.setattr(toxicity, "fit", on_the_driver)
+    got = toxicity.train(docs, labels)
+    assert got.landmarks == want.landmarks and np.allclose(got.table, want.table, atol=1e-4)
+    assert np.allclose([got.bias, got.slope, got.offset], [want.bias, want.slope, want.offset], atol=1e-4)
+
+
 # --- 2 language
 
 
