@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from filigree.operators import components, graph, match, metrics, paths, raster, rewrite, skeleton
+from filigree.operators import components, graph, match, metrics, paths, raster, rewrite, skeleton, tiles
 
 KEYS = ["graph_id"]
 
@@ -287,3 +287,36 @@ def test_distances_are_exact_at_any_depth(spark):
     for (k, y, x), d in got.items():
         free = [(y - v) ** 2 + (x - u) ** 2 for v, u in grids[1] - grids[k]]
         assert d == (pytest.approx(min(free) ** 0.5) if free else None)
+
+
+def test_blocks_hold_each_cell_once(spark):
+    """Negative, distant, repeated and null coordinates; a whole block, whose number is negative."""
+    cells = [(0, y, x) for y in range(-8, 8) for x in range(-8, 8)] + [(0, 3, 3), (1, 3, 3), (1, 2**31 - 1, -(2**31)), (1, None, 5), (1, None, 5), (1, 5, None), (1, None, None), (None, 7, 7)]
+    for kind in ("int", "long"):
+        pixels = spark.createDataFrame(cells, f"branch_id long, y {kind}, x {kind}")
+        blocks = tiles.in_blocks(pixels, ["branch_id"])
+        got = tiles.cells_of(tiles.joined_blocks(blocks.unionByName(blocks), ["branch_id"]), ["branch_id"])
+        assert dict(got.dtypes) == dict(pixels.dtypes)
+        assert blocks.count() == 4 + 6 and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, set(cells)))
+
+
+def test_lines_are_drawn_by_all_tasks(spark):
+    segments = spark.createDataFrame([(k, 0.0, 0.0, 0.0, 50.0) for k in range(40)], "branch_id long, y1 double, x1 double, y2 double, x2 double").coalesce(1)
+    drawn = rewrite.draw_segments(segments, ["branch_id"])
+    assert drawn.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and drawn.count() == 40 * 51
+
+
+def test_bridges_send_no_row_for_each_pixel(spark):
+    """Two ends become one branch; pixels keep their cells, are returned once, and meet as blocks."""
+    branches = spark.createDataFrame([(0, 0, 0, 1), (0, 1, 2, 3), (0, 2, 4, 5)], "g long, branch_id long, node1 long, node2 long")
+    nodes = spark.createDataFrame([(0, 0, 0.0, 0.0), (0, 1, 0.0, 99.0), (0, 2, 0.0, 105.0), (0, 3, 0.0, 200.0), (0, 4, 9.0, 0.0), (0, 5, 9.0, 9.0)], "g long, node_id long, y double, x double")
+    pixels = [(0, 0, 0, x) for x in range(100)] * 2 + [(0, 1, 0, x) for x in range(105, 201)] + [(0, 2, 9, x) for x in range(10)] + [(0, 9, 1, 1)]
+    given = spark.createDataFrame(pixels, "g long, branch_id long, y int, x int")
+    pairs = spark.createDataFrame([(0, 1, 2)], "g long, a long, b long")
+    whole, _, out = rewrite.bridge_nodes(branches, nodes, given, pairs, ["g"])
+    assert {tuple(r) for r in whole.collect()} == {(0, 0, 0, 3), (0, 2, 4, 5)}
+    want = {(0, 0, 0, x) for x in range(201)} | {(0, 2, 9, x) for x in range(10)} | {(0, 9, 1, 1)}
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(want) and set(got) == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_or" in plan
