@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 
 from filigree.operators import kernels, raster, skeleton
 from filigree.operators.tiles import labels
+from filigree.plans import catalog
+from filigree.plans.registry import Tables
+
+SMOKE = "/root/testdata/sf0.001"
 
 
 def blobs(h, w, seed, share=0.5):
@@ -167,6 +171,14 @@ def test_a_pixel_is_sent_once_for_its_window(spark):
     assert cost(spark, raster.convolve(pixels.withColumn("v", F.lit(1.0)), kernel)) < 1.5 * n
 
 
+@pytest.mark.parametrize("name", ["hit_or_miss"])
+def test_window_queries_send_a_pixel_twice_at_most(spark, name):
+    """Once to tell pixels apart and once to their tiles: cells of windows are neither sent nor held by a task as rows."""
+    made = catalog.QUERIES[name](spark, SMOKE)
+    n = Tables(spark, SMOKE).fx_pixels.count()
+    assert n < cost(spark, made) < 2.5 * n
+
+
 def test_kernels_add_up_over_tiles(spark):
     rng = random.Random(5)
     values = [(1, rng.randrange(3), rng.randint(-4, 8), rng.randint(124, 131), rng.choice([None, 0.5, 2.0, -1.0])) for _ in range(60)]
