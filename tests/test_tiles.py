@@ -171,7 +171,7 @@ def test_a_pixel_is_sent_once_for_its_window(spark):
     assert cost(spark, raster.convolve(pixels.withColumn("v", F.lit(1.0)), kernel)) < 1.5 * n
 
 
-@pytest.mark.parametrize("name", ["hit_or_miss", "hit_or_miss_rows"])
+@pytest.mark.parametrize("name", ["hit_or_miss", "hit_or_miss_rows", "junction_patterns"])
 def test_window_queries_send_a_pixel_twice_at_most(spark, name):
     """Once to tell pixels apart and once to their tiles: cells of windows are neither sent nor held by a task as rows."""
     made = catalog.QUERIES[name](spark, SMOKE)
