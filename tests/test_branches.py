@@ -87,13 +87,13 @@ def test_pixels_of_branches_meet_as_rows_and_not_on_the_driver(spark, plans):
     assert "SortMergeJoin" in plans[-1] and not any("BroadcastHashJoin" in p for p in plans)
 
 
-def test_components_bound_what_joins_broadcast(spark):
+def test_branches_bound_what_joins_broadcast(spark):
     names = [f"spark.sql.{a}autoBroadcastJoinThreshold" for a in ("", "adaptive.")]
     before = [spark.conf.get(n, None) for n in names]
     for n in names:
         spark.conf.unset(n)
     try:
-        components.connected_components(spark.createDataFrame([(0, 1, 2)], "image_id long, a long, b long"), "a", "b", ["image_id"])
+        skeleton.label_branches(table(spark, {4: KINDS[4]}))
         assert [int(spark.conf.get(n)) for n in names] == [BROADCAST_BYTES] * 2
     finally:
         for n, v in zip(names, before, strict=True):
