@@ -106,3 +106,34 @@ def test_runs_of_small_images_need_no_graph(spark, monkeypatch):
     monkeypatch.setattr(skeleton, "connected_components", lambda e, *a: edges.append(e.count()) or components.connected_components(e, *a))
     assert skeleton.label_branches(table(spark, {2: KINDS[2]})).count() == len(WANT[2])
     assert edges == [0]
+
+
+def around(kind, y, x):
+    return [(y + a, x + b) for a, b in skeleton.RING if 0 <= y + a < kind.shape[0] and 0 <= x + b < kind.shape[1]]
+
+
+def test_ends_and_branches_over_tiles(spark):
+    skeleton_ = saved(table(spark, KINDS))
+    _, ends, nodes = skeleton.parse_skeleton(skeleton_, keep_open=True)
+    number = {k: {(int(y), int(x)): n for n, (y, x) in enumerate(np.argwhere((v != 0) & (v != 2)))} for k, v in KINDS.items()}
+    assert sorted(map(tuple, nodes.select("image_id", "node_id", "y", "x").collect())) == sorted((k, n, *at) for k, v in number.items() for at, n in v.items())
+    want = {(k, b, number[k][p], *p) for k, w in WANT.items() for at, b in w.items() for p in around(KINDS[k], *at) if p in number[k]}
+    got = sorted(map(tuple, ends.select("image_id", "branch_id", "node_id", "y", "x").collect()))
+    assert got == sorted(want)
+    pairs = {}
+    for k, b, n, *_ in want:
+        pairs.setdefault((k, b), set()).add(n)
+    whole = sorted((k, b, min(v), max(v)) for (k, b), v in pairs.items() if len(v) > 1)
+    order = {k: [b for i, b, *_ in whole if i == k] for k in KINDS}
+    pixels, branches, _ = skeleton.parse_skeleton(skeleton_)
+    assert sorted(map(tuple, branches.select("image_id", "branch_id", "node1", "node2").collect())) == [(k, order[k].index(b), *n) for k, b, *n in whole]
+    kept = sorted((k, order[k].index(b), *at) for k, w in WANT.items() for at, b in w.items() if b in order[k])
+    assert sorted(map(tuple, pixels.select("image_id", "branch_id", "y", "x").collect())) == kept
+
+
+
+def test_parts_of_parsed_skeletons_are_no_broadcast(spark, plans):
+    """The join that gave nodes and branches their numbers is gone, and that of pixels and branches is a merge join."""
+    plans += [plan(df) for df in skeleton.parse_skeleton(table(spark, {2: KINDS[2]}))]
+    assert len(plans) > 6 and not any("BroadcastHashJoin" in p for p in plans)
+    assert not any("Join" in p for p in plans if "node_id" in p and "kind" in p)
