@@ -137,3 +137,23 @@ def test_parts_of_parsed_skeletons_are_no_broadcast(spark, plans):
     plans += [plan(df) for df in skeleton.parse_skeleton(table(spark, {2: KINDS[2]}))]
     assert len(plans) > 6 and not any("BroadcastHashJoin" in p for p in plans)
     assert not any("Join" in p for p in plans if "node_id" in p and "kind" in p)
+
+
+
+def test_short_spurs_are_the_same_in_one_tile_and_four(spark):
+    got = []
+    for top, left in [(0, 0), (-20, -25)]:
+        rows = skeleton.remove_short_spurs(table(spark, {2: KINDS[2]}, top, left), 6).filter("image_id = 2").select("y", "x", "kind").collect()
+        got.append(sorted((y - top, x - left, k) for y, x, k in rows))
+    assert got[0] == got[1]
+    tips = {}
+    for (y, x), b in WANT[2].items():
+        tips.setdefault(b, set()).update(p for p in around(KINDS[2], y, x) if KINDS[2][p] == 1)
+    short = [b for b, t in tips.items() if t and list(WANT[2].values()).count(b) < 6]
+    gone = {p for p, b in WANT[2].items() if b in short}
+    assert short and gone.isdisjoint((y, x) for y, x, _ in got[0])
+
+
+def test_short_spurs_are_no_broadcast(spark, plans):
+    plans.append(plan(skeleton.remove_short_spurs(table(spark, {2: KINDS[2]}), 4)))
+    assert len(plans) > 6 and not any("BroadcastHashJoin" in p for p in plans)
