@@ -131,6 +131,10 @@ def test_ends_and_branches_over_tiles(spark):
     assert sorted(map(tuple, pixels.select("image_id", "branch_id", "y", "x").collect())) == kept
 
 
+def test_ends_of_branches_are_no_broadcast(spark, plans):
+    skeleton.parse_skeleton(table(spark, {2: KINDS[2]}), keep_open=True)
+    assert len(plans) > 2 and not any("BroadcastHashJoin" in p for p in plans)
+
 
 def test_parts_of_parsed_skeletons_are_no_broadcast(spark, plans):
     """The join that gave nodes and branches their numbers is gone, and that of pixels and branches is a merge join."""
