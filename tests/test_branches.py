@@ -143,6 +143,11 @@ def test_parts_of_parsed_skeletons_are_no_broadcast(spark, plans):
     assert not any("Join" in p for p in plans if "node_id" in p and "kind" in p)
 
 
+def test_skeletons_of_labels_are_no_broadcast(spark, plans):
+    out = skeleton.skeleton_of_labels(skeleton.label_branches(table(spark, {2: KINDS[2]})))
+    assert "BroadcastHashJoin" not in plan(out)
+    assert {(r.y, r.x) for r in out.collect()} == set(WANT[2])
+
 
 def test_short_spurs_are_the_same_in_one_tile_and_four(spark):
     got = []
