@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from filigree.operators import components, skeleton
+from filigree.operators import components, rewrite, skeleton
+from filigree.plans import catalog
 from filigree.sources.scratch import BROADCAST_BYTES, saved
 
 
@@ -166,3 +167,41 @@ def test_short_spurs_are_the_same_in_one_tile_and_four(spark):
 def test_short_spurs_are_no_broadcast(spark, plans):
     plans.append(plan(skeleton.remove_short_spurs(table(spark, {2: KINDS[2]}), 4)))
     assert len(plans) > 6 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_masks_to_graphs_labels_fused_nodes(spark):
+    """The pixels of nodes that became a part of a branch were left out, as a spur's junction."""
+    spur = np.zeros((14, 64), bool)
+    spur[10, 3:61] = spur[6:10, 30] = True
+    rows = [(1, int(y), int(x)) for y, x in np.argwhere(spur)]
+    branches, nodes, labels = rewrite.masks_to_graphs(spark.createDataFrame(rows, "image_id long, y int, x int"), 7)
+    assert branches.count() == 1 and nodes.count() == 2
+    assert sorted(tuple(r) for r in labels.select("y", "x").collect()) == [(10, x) for x in range(4, 60)]
+    assert {r.branch_id for r in labels.collect()} == {r.branch_id for r in branches.collect()}
+
+
+def test_fused_nodes_follow_later_lookups(spark):
+    keys = ["image_id"]
+    lookups = [spark.createDataFrame(rows, "image_id long, old_id long, new_id long") for rows in ([(1, 0, 0)], [(1, 0, 5), (1, 3, None), (1, 7, 7)])]
+    first = spark.createDataFrame([(1, 0, 2.9, 3.0), (1, 3, 4.0, 4.0), (1, 7, 8.0, 8.0)], "image_id long, branch_id long, y double, x double")
+    last = spark.createDataFrame([(1, 9, 8.5, 8.2), (1, 6, 8.1, 8.9)], "image_id long, branch_id long, y double, x double")
+    got = rewrite._last_fused([(1, first), (2, last)], lookups, keys)
+    assert sorted(tuple(r) for r in got.select("branch_id", "y", "x").collect()) == [(5, 2, 3), (6, 8, 8)]
+
+
+def test_fused_nodes_beside_a_spur(spark):
+    """The smallest branch at the node may be the spur, which the lookup does not list."""
+    nodes = spark.createDataFrame([(1, n, float(n), 1.0) for n in range(3)], "image_id long, node_id long, y double, x double")
+    branches = spark.createDataFrame([(1, 0, 1, 9), (1, 1, 0, 1), (1, 2, 1, 2)], "image_id long, branch_id long, node1 long, node2 long")
+    lookup = spark.createDataFrame([(1, 1, 1), (1, 2, 1)], "image_id long, old_id long, new_id long")
+    got = rewrite.fused_pixels(nodes, branches, nodes.filter("node_id = 1").select("image_id", "node_id"), lookup, ["image_id"])
+    assert [tuple(r) for r in got.collect()] == [(1, 1, 1.0, 1.0)]
+
+
+def test_the_query_of_graphs_gives_branches_nodes_and_pixels(spark):
+    rows = catalog.QUERIES["masks_to_graphs"](spark, "/root/testdata/sf0.001").toPandas()
+    assert set(rows["part"]) == {"branch", "node", "pixel"}
+    pixels, branches = rows[rows["part"] == "pixel"], rows[rows["part"] == "branch"]
+    assert not pixels.duplicated(["image_id", "y", "x"]).any()
+    own = set(map(tuple, branches[["image_id", "branch_id"]].to_numpy()))
+    assert set(map(tuple, pixels[["image_id", "branch_id"]].to_numpy())) <= own
