@@ -205,3 +205,14 @@ def test_the_query_of_graphs_gives_branches_nodes_and_pixels(spark):
     assert not pixels.duplicated(["image_id", "y", "x"]).any()
     own = set(map(tuple, branches[["image_id", "branch_id"]].to_numpy()))
     assert set(map(tuple, pixels[["image_id", "branch_id"]].to_numpy())) <= own
+
+
+def test_clean_up_broadcasts_no_written_table(spark, plans, monkeypatch):
+    """Nodes and branches look small by their files, and the driver held all of them several times."""
+    monkeypatch.setattr(rewrite.scratch, "saved", lambda df: plans.append(plan(df)) or saved(df))
+    monkeypatch.setattr(rewrite, "connected_components", lambda *a: rewrite.saved(components.connected_components(*a)))
+    _, branches, nodes = skeleton.parse_skeleton(table(spark, {2: KINDS[2]}))
+    plans.clear()
+    rewrite._cleaned(branches.hint("merge"), nodes.hint("merge"), ["image_id"], **rewrite.by_width(5))
+    assert sum("SortMergeJoin" in p for p in plans) > 6
+    assert not any("BroadcastHashJoin" in p for p in plans if "component" not in p)
